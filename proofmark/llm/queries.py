@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofmark.llm import addresses, canonical, confusables, leak, mix, quality
+from proofmark.llm import addresses, canonical, confusables, leak, mix, quality, scan_noise
 from proofmark.runtime import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def p1_rewrites(spark: SparkSession, d: str) -> DataFrame:
     return addresses.normalised_parts(load(spark, d, "sample_application"))[1]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.noisy_lines(load(spark, d, "batch"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_noise.repaired(load(spark, d, "batch"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     one = lambda table, text: confusables.inconsistent_rows(load(spark, d, table), text).select(F.lit(table).alias("table_name"), "row_id")
     return one("sample_application", "brand_name").unionByName(one("batch", "detected_text"))
@@ -75,7 +83,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_premises, p1_rewrites, p4_found, p4_groups, p7_found, p7_entries, p7_misses, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_premises, p1_rewrites, p2_found, p2_repaired, p4_found, p4_groups, p7_found, p7_entries, p7_misses, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
