@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from proofmark.llm.address_parts import parse
 from proofmark.llm.canonical import abbreviates, deletions, distance
-from proofmark.runtime import broadcast_if_small, checkpointed
+from proofmark.runtime import checkpointed
 
 PARTS = ["number", "direction", "street", "kind", "town", "state", "zip"]
 #: Street names known to the reader: at least this share of all records, so 1 / share at most.
@@ -96,7 +96,7 @@ def mine(parts: DataFrame, part: str, keys: list[list[str]]) -> DataFrame:
     pairs = []
     for key in keys:
         seen = has.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in key])).select(F.concat_ws("|", *key).alias("key"), F.col(part).alias("v")).groupBy("key", "v").agg(F.count("*").alias("in_key"))
-        seen = seen.join(broadcast_if_small(counts), "v")
+        seen = seen.join(counts, "v")
         top = seen.groupBy("key").agg(F.max(F.struct("n", "v")).alias("top"), F.count("*").alias("spellings")).where("spellings > 1")
         pairs.append(seen.join(top, "key").where(F.col("v") != F.col("top.v")).select(F.col("v").alias("old"), F.col("top.v").alias("new"), F.col("n").alias("n_old"), F.col("top.n").alias("n_new"), "in_key"))
     found = reduce(DataFrame.unionByName, pairs).groupBy("old", "new", "n_old", "n_new").agg(F.least(F.sum("in_key"), F.col("n_old")).alias("n_both"))
@@ -109,10 +109,10 @@ def mine(parts: DataFrame, part: str, keys: list[list[str]]) -> DataFrame:
 
 def near_known(parts: DataFrame, part: str, state_too: bool) -> DataFrame:
     """(part, old, new) for spellings no record agrees on: a rare one with exactly one common
-    spelling within an edit (two in long words), met by symmetric deletion in a join; for towns
+    spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to 60 letters); for towns
     the records' own state must be the common town's, if they tell one."""
     counts = parts.where(F.col(part).isNotNull()).groupBy(F.col(part).alias("v")).agg(F.count("*").alias("n"), F.mode("state").alias("state"))
-    keyed = counts.where(F.length("v") >= 6).withColumn("d", F.explode(_deleted("v")))
+    keyed = counts.where(F.length("v").between(6, 60)).withColumn("d", F.explode(_deleted("v")))
     rare = keyed.select(F.col("v").alias("old"), F.col("n").alias("n_old"), F.col("state").alias("s_old"), "d")
     common = keyed.where("n >= 5").select(F.col("v").alias("new"), F.col("n").alias("n_new"), F.col("state").alias("s_new"), "d")
     met = rare.join(common, "d").where((F.col("old") != F.col("new")) & (F.col("n_new") >= 10 * F.col("n_old")))
@@ -135,11 +135,11 @@ def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def rewritten(parts: DataFrame, rewrites: DataFrame) -> DataFrame:
-    """Parts re-normalised. Rewrites grow with the slips in the data: joined by broadcast only
-    behind a check of their number."""
+    """Parts re-normalised. Rewrites grow with the slips in the data, so nothing is hinted:
+    adaptive execution broadcasts them where their measured size allows and splits skew else."""
     for part in ("street", "town"):
         own = rewrites.where(F.col("part") == part).select(F.col("old").alias(part), F.col("new").alias("_new"))
-        parts = parts.join(broadcast_if_small(own), part, "left").withColumn(part, F.coalesce("_new", part)).drop("_new")
+        parts = parts.join(own, part, "left").withColumn(part, F.coalesce("_new", part)).drop("_new")
     return parts
 
 
@@ -165,14 +165,14 @@ def located(parts: DataFrame) -> DataFrame:
     state of records with the same number, street and town, then by the town's majority."""
     placed = parts.where("zip is not null and town is not null and state is not null").groupBy("zip", "town", "state").agg(F.count("*").alias("n"))
     by_zip = placed.groupBy("zip").agg(F.max(F.struct("n", "town", "state")).alias("z")).where("z.n >= 2")
-    df = parts.join(broadcast_if_small(by_zip), "zip", "left")
+    df = parts.join(by_zip, "zip", "left")
     # A ZIP code tells town and state unless the record names another state itself.
     trust = F.col("z").isNotNull() & (F.col("state").isNull() | (F.col("state") == F.col("z.state")))
     df = df.withColumn("town", F.when(trust, F.col("z.town")).otherwise(F.col("town"))).withColumn("state", F.coalesce(F.when(trust, F.col("z.state")), "state")).drop("z")
     same = df.where("state is not null").groupBy("number", "street", "town").agg(F.min("state").alias("s1"), F.max("state").alias("s2")).where("s1 = s2").select("number", "street", "town", F.col("s1").alias("same_state"))
     usual = df.where("state is not null").groupBy("town").agg(F.mode("state").alias("usual_state"))
     whole, lacking = df.where("state is not null"), df.where("state is null and number is not null and street is not null and town is not null")
-    lacking = lacking.join(same, ["number", "street", "town"], "left").join(broadcast_if_small(usual), "town", "left").withColumn("state", F.coalesce("same_state", "usual_state")).drop("same_state", "usual_state")
+    lacking = lacking.join(same, ["number", "street", "town"], "left").join(usual, "town", "left").withColumn("state", F.coalesce("same_state", "usual_state")).drop("same_state", "usual_state")
     return whole.unionByName(lacking).where("number is not null and street is not null and town is not null and state is not null")
 
 

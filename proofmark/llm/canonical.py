@@ -135,11 +135,14 @@ class Index:
         for s in self.spellings:
             for d in set(deletions(s.replace(" ", ""), bound(s))):
                 self.under[d].append(s)
+        self.longest = max((len(s) for s in self.spellings), default=0) + MAX_EDITS
         self.memo: dict[str, tuple[int, float | None]] = {}
 
     def near(self, value: str) -> list[tuple[float, float, int]]:
         flat = value.replace(" ", "")
         best: dict[int, float] = {}
+        if len(flat) > self.longest:  # longer than any spelling and its edits
+            return []
         for s in {s for d in set(deletions(flat, bound(value) or (1 if len(flat) == 3 else 0))) for s in self.under.get(d, ())}:
             edits, weight = distance(flat, s.replace(" ", ""))
             if edits <= bound(s) and (bound(value) or edits <= 1):

@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from zlib import crc32
 
 import pyarrow as pa
@@ -84,24 +85,25 @@ def tiles(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> list[
             if q is not None:
                 start = last = q
     doc_used, item_used, out = set(), set(), []
-    runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-    while runs:
-        n, q, p = runs.pop(0)
+    heap = [(-n, q, p) for n, q, p in runs]
+    heapify(heap)
+    while heap and len(item_used) <= len(item) - SEED:
+        n, q, p = heappop(heap)
+        n = -n
         free = [k for k in range(n) if q + k not in doc_used and p + k not in item_used]
         if len(free) == n:
             out.append((q, p, n))
             doc_used.update(range(q, q + n))
             item_used.update(range(p, p + n))
             continue
-        again, k = [], 0
+        k = 0
         while k < len(free):
             j = k
             while j + 1 < len(free) and free[j + 1] == free[j] + 1:
                 j += 1
             if j - k + 1 >= SEED:
-                again.append((j - k + 1, q + free[k], p + free[k]))
+                heappush(heap, (-(j - k + 1), q + free[k], p + free[k]))
             k = j + 1
-        runs = sorted(runs + again, key=lambda r: (-r[0], r[1], r[2])) if again else runs
     return out
 
 

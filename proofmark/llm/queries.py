@@ -82,9 +82,27 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(load(spark, d, "documents"))
 
 
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts alone: built-in expressions only."""
+    return load(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in quality.plain_counts(F.col("text")).items()])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_premises, p1_rewrites, p2_found, p2_repaired, p4_found, p4_groups, p7_found, p7_entries, p7_misses, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics)}
+    return {f.__name__: f for f in (p1_found, p1_premises, p1_rewrites, p2_found, p2_repaired, p4_found, p4_groups, p7_found, p7_entries, p7_misses, p8_found, p8_report, p9_mix, p9_shares, p10_found, p10_statistics, p10_counts)}
+
+
+# White space as Unicode has it.
+WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    gone = lambda p: f"len(regexp_replace(text, '{p}', '', 'g'))"
+    share = lambda a, b: f"case when {b} > 0 then ({a})::double / {b} else 0.0::double end"
+    ending = """[.!?][''")\\]»”’]*\\s*$""".replace("\\\\", "\\")
+    return {
+        "p10_counts": f"""
+        with c as (select doc_id, text, len(regexp_extract_all(text, '\\p{{L}}+')) as w, {gone("[^\\p{L}]+")} as letters, {gone(WS + "+")} as solid,
+          len(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as alnum, {gone("[^\\p{N}]+")} as digits, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents)
+        select doc_id, cast(w as integer) as n_words, {share("letters", "w")} as mean_word_length, {share("solid - alnum", "solid")} as symbol_ratio, {share("digits", "solid")} as digit_ratio, cast(len(l) as integer) as n_lines,
+          {share(f"len(list_filter(l, lambda x: regexp_matches(x, '{ending}')))", "len(l)")} as punctuated_line_share from c""".replace("\\\\p", "\\p"),
+    }

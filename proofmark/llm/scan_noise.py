@@ -80,6 +80,7 @@ class Model:
 
     def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int):
         self.words, self.pairs, self.total = words, pairs, max(1, total)
+        self.longest = max(map(len, words), default=0) + 4  # no confusion chain shortens a word by more
         self.options: dict[str, list[tuple[str, float]]] = {}
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
@@ -88,6 +89,8 @@ class Model:
         is not itself a candidate where it has others."""
         if w in self.options:
             return self.options[w]
+        if len(w) > self.longest:
+            return [(w, 0.0)]
         known = w in self.words
         count = self.words.get(w, 0)
         mixed = re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@]", w) is not None
@@ -189,10 +192,10 @@ def page_part(line: str) -> tuple[str | None, str]:
 
 
 def alike(a: str, b: str) -> bool:
-    """Equal but for a few misread characters."""
+    """Equal but for a few misread characters; lines longer than any header must be equal."""
     if a == b:
         return True
-    if not a or not b or abs(len(a) - len(b)) > 2:
+    if not a or not b or abs(len(a) - len(b)) > 2 or len(a) > 200:
         return False
     from proofmark.llm.canonical import distance
 
