@@ -160,6 +160,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def first_deliveries(files: DataFrame) -> DataFrame:
     """Of files delivered twice (same feed and file_no) the smallest file_id. Rows without feed
     or file_no can't be ordered and are left out."""
+    files = files.select("file_id", "feed", "file_no", "file_format", "content")
     keep = files.where(F.col("feed").isNotNull() & F.col("file_no").isNotNull()).groupBy("feed", "file_no").agg(F.min("file_id").alias("file_id"))
     return files.join(keep, ["feed", "file_no", "file_id"], "left_semi").dropDuplicates(["file_id"])
 

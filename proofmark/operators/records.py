@@ -51,8 +51,9 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
     Null raw_record counts as an empty record. A file without a header (record_no 0) gives
     reason `no_header`. Of a header name held twice the first column counts. Repeated record
-    ids stay repeated. Extra columns of the input pass through.
+    ids stay repeated. Columns beyond the four are left out.
     """
+    raw = raw.select("record_id", "source_file", "record_no", "raw_record")
     header = (
         raw.where(F.col("record_no") == 0)
         .groupBy("source_file")
@@ -82,8 +83,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
         .when(F.size("_values") != F.size("_names"), "column_count")
         .when(bad_name | bad_word, "invalid_value")
     )
-    keep = [c for c in raw.columns]
-    return df.select(*keep, "_names", "_values", reason.alias("reason"))
+    return df.select(*raw.columns, "_names", "_values", reason.alias("reason"))
 
 
 def load_valid(parsed: DataFrame) -> DataFrame:

@@ -219,13 +219,14 @@ def standard_amounts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     (also) in the target unit or the note says that bare numbers are.
 
     Sources are few and joined by broadcast behind a size check; of a source_id held twice
-    the smallest note counts. Null texts give null amounts; rows repeat as given.
+    the smallest note counts. Null texts give null amounts; rows repeat as given; other columns are ignored.
     """
 
     @F.pandas_udf(NOTES)
     def told(notes: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([note_units(n if isinstance(n, str) else None) for n in notes], columns=["strength", "contents"])
 
+    rows = rows.select("row_id", "source_id", "alcohol_content", "net_contents")
     units = sources.groupBy("source_id").agg(F.min("note").alias("note")).select(F.col("source_id").alias("_source"), told("note").alias("_told"))
     df = rows.join(broadcast_if_small(units), F.col("source_id") == F.col("_source"), "left")
     strength = canonical_amount(F.col("alcohol_content"), "strength", F.col("_told.strength"))
