@@ -14,11 +14,13 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import ne
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmark.llm.canonical import distance
 from proofmark.llm.confusables import consistent
 
 #: Words and pairs known to the model: at least this share of all, so 1 / share of each at most.
@@ -52,27 +54,30 @@ NOISE = "row_id bigint, line_no int, noise string"
 # ---------------------------------------------------------------- corpus counts
 
 
+DIVIDED = re.compile(r"[^\W\d_][^\W_]*[-‐­¬][ \t]*$", re.M)
+COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Unigrams (b null) and bigrams of a batch, added up before they leave the task."""
+    """Unigrams (b null) and bigrams of a batch, added up before they leave the task. Pieces of
+    words at line ends count for nothing; whole compounds count as words of their own too."""
     for batch in batches:
-        seen: Counter = Counter()
+        words: Counter = Counter()
+        pairs: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            for line in (consistent(text) or "").split("\n"):
-                m = BROKEN.search(line)
-                if m:
-                    line = line[: m.start()]
-                before = ""
-                for w in WORD.findall(line):
-                    w = w.lower()
-                    seen[w, None] += 1
-                    seen[before, w] += 1
-                    before = w
-                for c in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", line):
-                    seen[c.lower(), None] += 1
-        if seen:
-            yield pa.RecordBatch.from_pydict({"a": [k[0] for k in seen], "b": [k[1] for k in seen], "n": list(seen.values())}, schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+            text = DIVIDED.sub("", consistent(text) or "").lower()
+            found = WORD.findall(text)
+            words.update(found)
+            pairs.update(zip(found, found[1:]))
+            if "-" in text:
+                words.update(COMPOUND.findall(text))
+        if words:
+            yield pa.RecordBatch.from_pydict(
+                {"a": [*words, *(k[0] for k in pairs)], "b": [*([None] * len(words)), *(k[1] for k in pairs)], "n": [*words.values(), *pairs.values()]},
+                schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]),
+            )
 
 
 class Model:
@@ -82,6 +87,7 @@ class Model:
         self.words, self.pairs, self.total = words, pairs, max(1, total)
         self.longest = max(map(len, words), default=0) + 4  # no confusion chain shortens a word by more
         self.options: dict[str, list[tuple[str, float]]] = {}
+        self.clean: set[str] = set()  # words that can only be meant as they stand
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
         """(meant word, log channel probability): the word itself and known words within two
@@ -128,9 +134,14 @@ class Model:
 
     def read(self, words: list[str]) -> list[str]:
         """Viterbi over the candidates of a line's words."""
+        if self.clean.issuperset(words):
+            return words
         options = [self.candidates(w) for w in words]
         if all(len(o) == 1 for o in options):
-            return [o[0][0] for o in options]
+            out = [o[0][0] for o in options]
+            if len(self.clean) < 500_000:
+                self.clean.update(w for w, v in zip(words, out) if w == v)
+            return out
         states = {"": (0.0, [])}
         for o in options:
             nxt = {}
@@ -174,9 +185,14 @@ def learn(texts: DataFrame) -> Model:
 # ---------------------------------------------------------------- lines
 
 
+NUMBERED = re.compile(r"\d|^\s*[ivxlcIVXLC]+\.?\s*$|(?:\s{2,}|[-–—|·/\[]\s*)[ivxlcIVXLCOoSl]+\s*[-–—\]]?\s*$|^\s*[ivxlcIVXLC]+(?:\s{2,}|\s+[-–—|·])|(?i:^\s*\[|\bp[agq9.])")
+
+
 def page_part(line: str) -> tuple[str | None, str]:
     """(page number, rest) of a line: the whole line, or one end of it parted by blanks or a dash."""
     s = line.strip()
+    if not NUMBERED.search(s):
+        return None, s
     if PAGE.fullmatch(s) or BARE.fullmatch(s):
         return s, ""
     parts = SPLIT.split(s)
@@ -197,9 +213,20 @@ def alike(a: str, b: str) -> bool:
         return True
     if not a or not b or abs(len(a) - len(b)) > 2 or len(a) > 200:
         return False
-    from proofmark.llm.canonical import distance
-
-    return distance(a, b)[0] <= max(1, min(len(a), len(b)) // 9)
+    most = max(1, min(len(a), len(b)) // 9)
+    k = 0
+    while k < min(len(a), len(b)) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    k = 0
+    while k < min(len(a), len(b)) and a[-1 - k] == b[-1 - k]:
+        k += 1
+    a, b = a[: len(a) - k], b[: len(b) - k]
+    # What differs is compared in full where it is short; lines that differ at both ends are no match
+    # unless their places agree nearly everywhere.
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) <= most
+    return max(len(a), len(b)) <= 3 * most + 2 and distance(a, b)[0] <= most
 
 
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
@@ -286,10 +313,16 @@ def other_sides(filled: list[int], parts: dict[int, tuple[str | None, str]], hea
     return out
 
 
+TOUCHING = re.compile(r"\d[A-Za-z|]|[A-Za-z|]\d|[\d][.,][A-Za-z|]|[A-Za-z|][.,]\d|[OlISBZo|]%")
+FIGURE = re.compile(r"[0-9OoQDlIi|SsBZzGbgq]+(?:[.,][0-9OoQlI|SsBZ]+)?")
+
+
 def odd_figure(line: str) -> list[tuple[int, int, str]]:
     """(start, end, meant) of figures with letters among or for their digits."""
-    out = []
-    for m in re.finditer(r"[0-9OoQDlIi|SsBZzGbgq]+(?:[.,][0-9OoQlI|SsBZ]+)?", line):
+    out: list[tuple[int, int, str]] = []
+    if not TOUCHING.search(line):
+        return out
+    for m in FIGURE.finditer(line):
         s, a, b = m.group(), m.start(), m.end()
         before, after = line[a - 1 : a], line[b : b + 1]
         if (before and (before.isalnum() or before in "'’")) or (after and (after.isalnum() or after in "'’")):
@@ -314,6 +347,8 @@ def read_line(model: Model, line: str, skip: set[int] = frozenset()) -> tuple[li
     """Corrections (start, end, meant) of a line and whether there are any. skip: starts of
     words that are only pieces."""
     fixes = odd_figure(line)
+    if not fixes and not skip and model.clean.issuperset(WORD.findall(line.lower())):
+        return fixes, False
     taken = {k for a, b, _ in fixes for k in range(a, b)}
     found = [(m.start(), m.end(), m.group()) for m in WORD.finditer(line) if m.start() not in taken and m.start() not in skip]
     words = [w.lower() for _, _, w in found]
@@ -340,9 +375,9 @@ def apply(line: str, fixes: list[tuple[int, int, str]]) -> str:
 FIRST = re.compile(r"^\s*([^\W_]+(?:['’][^\W_]+)*)")
 
 
-def examine(model: Model, text: str) -> tuple[list[tuple[int, str]], str]:
-    """Noise of a text as (line_no, noise) and the repaired text."""
-    lines = [consistent(x) or "" for x in text.split("\n")]
+def examine(model: Model, text: str, repair: bool = True) -> tuple[list[tuple[int, str]], str]:
+    """Noise of a text as (line_no, noise) and, if asked for, the repaired text."""
+    lines = (consistent(text) or "").split("\n")
     heads, numbers = furniture(lines)
     noise: list[tuple[int, str]] = [(i + 1, "running_header") for i in heads] + [(i + 1, "page_number") for i in numbers]
     content = [i for i in range(len(lines)) if lines[i].strip() and i not in heads and i not in numbers]
@@ -351,6 +386,8 @@ def examine(model: Model, text: str) -> tuple[list[tuple[int, str]], str]:
     skip: dict[int, set[int]] = defaultdict(set)
     bad: set[int] = set()
     for k, i in enumerate(content[:-1]):
+        if lines[i].rstrip()[-1] not in "-‐­¬":
+            continue
         m = BROKEN.search(lines[i])
         n = FIRST.match(lines[content[k + 1]]) if m else None
         if not m or not n:
@@ -383,9 +420,9 @@ def examine(model: Model, text: str) -> tuple[list[tuple[int, str]], str]:
         fixes, any_fix = read_line(model, target, skip.get(i, set()))
         if any_fix:
             bad.add(i)
-        fixed[i] = apply(target, fixes)
+        fixed[i] = apply(target, fixes) if fixes else target
     noise += [(i + 1, "misread") for i in sorted(bad)]
-    return sorted(set(noise)), paragraphs(lines, fixed, content, joins)
+    return sorted(set(noise)), paragraphs(lines, fixed, content, joins) if repair else ""
 
 
 def paragraphs(lines: list[str], fixed: dict[int, str], content: list[int], joins: dict[int, tuple[int, str, bool]]) -> str:
@@ -451,7 +488,7 @@ def _texts(batch: DataFrame) -> DataFrame:
     return batch.select(F.coalesce("detected_text", "ocr_text_preview").alias("text")).where(F.col("text").isNotNull())
 
 
-def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: object) -> DataFrame:
+def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: object, repair: bool) -> DataFrame:
     shared = batch.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +497,7 @@ def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: obj
             out: list[list] = [[] for _ in schema]
             for row_id, text, preview in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if text is not None:
-                    noise, clean = examine(own, text)
+                    noise, clean = examine(own, text, repair)
                 elif preview is not None:
                     noise, clean = examine_preview(own, preview)
                 else:
@@ -477,11 +514,11 @@ def noisy_lines(batch: DataFrame) -> DataFrame:
     """(row_id, line_no, noise): one row per noisy line and kind. Rows without any text give
     none; repeated rows give repeated results; extra columns are ignored."""
     schema = pa.schema([("row_id", pa.int64()), ("line_no", pa.int32()), ("noise", pa.string())])
-    return _pass(batch, learn(_texts(batch)), NOISE, schema, lambda r, noise, _: [(r, n, k) for n, k in noise])
+    return _pass(batch, learn(_texts(batch)), NOISE, schema, lambda r, noise, _: [(r, n, k) for n, k in noise], False)
 
 
 def repaired(batch: DataFrame) -> DataFrame:
     """(row_id, repaired_text, n_noisy): continuous paragraphs without page furniture, words
     joined and corrected. Rows without any text are left out."""
     schema = pa.schema([("row_id", pa.int64()), ("repaired_text", pa.string()), ("n_noisy", pa.int32())])
-    return _pass(batch, learn(_texts(batch)), "row_id bigint, repaired_text string, n_noisy int", schema, lambda r, noise, clean: [(r, clean, len(noise))])
+    return _pass(batch, learn(_texts(batch)), "row_id bigint, repaired_text string, n_noisy int", schema, lambda r, noise, clean: [(r, clean, len(noise))], True)
