@@ -23,7 +23,7 @@ def read_batch_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_application_files(spark: SparkSession, path: str) -> DataFrame:
     """(source_name, content) of the files in a folder; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), F.decode(F.col("content"), F.lit("UTF-8")).alias("content"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("source_name"), F.decode(F.col("content"), "UTF-8").alias("content"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
