@@ -54,10 +54,21 @@ NOISE = "row_id bigint, line_no int, noise string"
 # ---------------------------------------------------------------- corpus counts
 
 
-DIVIDED = re.compile(r"[^\W\d_][^\W_]*[-‐­¬][ \t]*$", re.M)
+MARKS = "-‐­¬"
 COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 
 
+def without_pieces(text: str) -> str:
+    """The text without the first pieces of words divided at line ends."""
+    if not any(f"{m}\n" in text for m in MARKS):
+        return text
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if line and line[-1] in MARKS and (m := BROKEN.search(line)):
+            lines[i] = line[: m.start()]
+    return "\n".join(lines)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unigrams (b null) and bigrams of a batch, added up before they leave the task. Pieces of
     words at line ends count for nothing; whole compounds count as words of their own too."""
@@ -67,7 +78,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            text = DIVIDED.sub("", consistent(text) or "").lower()
+            text = without_pieces((consistent(text) or "").lower())
             found = WORD.findall(text)
             words.update(found)
             pairs.update(zip(found, found[1:]))
@@ -386,7 +397,7 @@ def examine(model: Model, text: str, repair: bool = True) -> tuple[list[tuple[in
     skip: dict[int, set[int]] = defaultdict(set)
     bad: set[int] = set()
     for k, i in enumerate(content[:-1]):
-        if lines[i].rstrip()[-1] not in "-‐­¬":
+        if lines[i].rstrip()[-1] not in MARKS:
             continue
         m = BROKEN.search(lines[i])
         n = FIRST.match(lines[content[k + 1]]) if m else None
