@@ -55,7 +55,7 @@ NOISE = "row_id bigint, line_no int, noise string"
 
 
 MARKS = "-‐­¬"
-COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
+COMPOUND = re.compile(r"\b[^\W\d_]+(?:-[^\W\d_]+)+")
 
 
 def without_pieces(text: str) -> str:
@@ -83,7 +83,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(found)
             pairs.update(zip(found, found[1:]))
             if "-" in text:
-                words.update(COMPOUND.findall(text))
+                words.update(c for t in text.split() if "-" in t for c in COMPOUND.findall(t))
         if words:
             yield pa.RecordBatch.from_pydict(
                 {"a": [*words, *(k[0] for k in pairs)], "b": [*([None] * len(words)), *(k[1] for k in pairs)], "n": [*words.values(), *pairs.values()]},
@@ -199,10 +199,13 @@ def learn(texts: DataFrame) -> Model:
 NUMBERED = re.compile(r"\d|^\s*[ivxlcIVXLC]+\.?\s*$|(?:\s{2,}|[-–—|·/\[]\s*)[ivxlcIVXLCOoSl]+\s*[-–—\]]?\s*$|^\s*[ivxlcIVXLC]+(?:\s{2,}|\s+[-–—|·])|(?i:^\s*\[|\bp[agq9.])")
 
 
+OPENS, CLOSES = frozenset("0123456789[-–—|pPivxlcIVXLCOoS"), frozenset("0123456789]-–—ivxlcIVXLCOoSl")
+
+
 def page_part(line: str) -> tuple[str | None, str]:
     """(page number, rest) of a line: the whole line, or one end of it parted by blanks or a dash."""
     s = line.strip()
-    if not NUMBERED.search(s):
+    if not s or (s[0] not in OPENS and s[-1] not in CLOSES) or not NUMBERED.search(s):
         return None, s
     if PAGE.fullmatch(s) or BARE.fullmatch(s):
         return s, ""
@@ -324,7 +327,7 @@ def other_sides(filled: list[int], parts: dict[int, tuple[str | None, str]], hea
     return out
 
 
-TOUCHING = re.compile(r"\d[A-Za-z|]|[A-Za-z|]\d|[\d][.,][A-Za-z|]|[A-Za-z|][.,]\d|[OlISBZo|]%")
+TOUCHING = re.compile(r"[0-9%](?:(?<=[0-9])[.,]?[A-Za-z|]|(?<=[A-Za-z|][0-9])|(?<=[A-Za-z|][.,][0-9])|(?<=[OlISBZo|]%))")
 FIGURE = re.compile(r"[0-9OoQDlIi|SsBZzGbgq]+(?:[.,][0-9OoQlI|SsBZ]+)?")
 
 
