@@ -82,9 +82,9 @@ NEAR = {frozenset((a, b)) for r in ROWS for a, b in zip(r, r[1:])}
 def distance(a: str, b: str) -> tuple[int, float]:
     """Damerau-Levenshtein (adjacent transposition): number of edits and their weight. A doubled
     or dropped double letter, a transposition or a neighbouring key weighs less, the first letter more."""
-    rows: list[list[tuple[int, float]]] = [[(j, float(j)) for j in range(len(b) + 1)]]
+    rows: list[list[tuple[int, float]]] = [[(j, j + 0.3 * (j > 0)) for j in range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        row = [(i, float(i))]
+        row = [(i, i + 0.3)]
         for j, y in enumerate(b, 1):
             first = 0.3 if i == 1 or j == 1 else 0.0
             del_w = (0.7 if i > 1 and a[i - 2] == x else 1.0) + first

@@ -28,6 +28,8 @@ KNOWN_SHARE = 2e-6
 LEAST_COUNT = 3
 #: Probability that a character is read as another one, spread over the confusions.
 ERROR = 0.002
+#: Times as common as a known word a candidate must be to make it a suspect.
+COMMONER = 10
 # What is read for what is meant, as one table (read, meant).
 CONFUSIONS = [
     ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "g"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("$", "s"), ("@", "a"),
@@ -98,22 +100,23 @@ class Model:
         self.words, self.pairs, self.total = words, pairs, max(1, total)
         self.longest = max(map(len, words), default=0) + 4  # no confusion chain shortens a word by more
         self.options: dict[str, list[tuple[str, float]]] = {}
+        self.suspects: set[str] = set()  # known words that may be frequent slips of commoner ones
         self.clean: set[str] = set()  # words that can only be meant as they stand
 
     def candidates(self, w: str) -> list[tuple[str, float]]:
-        """(meant word, log channel probability): the word itself and known words within two
-        confusions, one in a known word. A word that is not known and has a digit among letters
-        is not itself a candidate where it has others."""
+        """(meant word, log channel probability): the word itself and commoner known words that one
+        confusion leads to, two in a word that is not known, three where it has digits among its
+        letters; such a word is not itself a candidate where it has others, however often it is
+        read so. A known word with a much commoner candidate is a suspect."""
         if w in self.options:
             return self.options[w]
         if len(w) > self.longest:
             return [(w, 0.0)]
-        known = w in self.words
         count = self.words.get(w, 0)
         mixed = re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@]", w) is not None
         found: dict[str, float] = {}
         level = {w: 0.0}
-        for depth in range(1 if known else 3 if mixed else 2):
+        for _ in range(3 if mixed else 1 if count else 2):
             nxt: dict[str, float] = {}
             for s, p in level.items():
                 for i in range(len(s)):
@@ -124,23 +127,28 @@ class Model:
                             if v != w and (v not in nxt or nxt[v] < q):
                                 nxt[v] = q
             for v, q in nxt.items():
-                if v in self.words and self.words[v] > 20 * max(count, 1) / (1 if known else 4) and v.replace("-", "").replace("'", "").isalpha() and len(v) > 1:
+                n = self.words.get(v, 0)
+                if n > (count if mixed else COMMONER * count) and n >= 20 and len(v) > 1 and v.replace("-", "").replace("'", "").isalpha():
                     found[v] = max(found.get(v, -99.0), q)
             if found:
                 break
             level = nxt if len(nxt) < 4000 else {}
-        out = [(v, q) for v, q in found.items()]
-        if not (mixed and not known and out):
+        out = list(found.items())
+        if not (mixed and out):
             out.append((w, 0.0))
+            if found:
+                self.suspects.add(w)
         if len(self.options) < 500_000:
             self.options[w] = out
         return out
 
     def likelihood(self, before: str, w: str) -> float:
+        """Log probability of a word after another one. Pairs with a suspect aren't heard: where a
+        slip is frequent its own neighbours would speak for it."""
         n = self.words.get(w, 0)
         uni = (n + 0.01) / (self.total + 1)
         b = self.words.get(before, 0) if before else 0
-        pair = self.pairs.get((before, w), 0) / b if b else 0.0
+        pair = self.pairs.get((before, w), 0) / b if b and w not in self.suspects and before not in self.suspects else 0.0
         return math.log(0.7 * min(1.0, pair) + 0.3 * uni)
 
     def read(self, words: list[str]) -> list[str]:
@@ -454,7 +462,12 @@ def paragraphs(lines: list[str], fixed: dict[int, str], content: list[int], join
             s = BROKEN.sub("", s).rstrip()
             carried = joins[i][1]
         before = content[k - 1] if k else None
-        runs_on = before is not None and out and (before in joins or (re.match(r"\s*[a-z(]", lines[i]) and not re.search(r"[.!?:]\s*$", lines[before])) or (len(lines[before]) >= 0.75 * width and re.search(r"[a-z]", lines[before]) and re.search(r"[a-z]", lines[i]) and not any(not lines[j].strip() for j in range(before + 1, i))))
+        between = range(before + 1, i) if before is not None else ()
+        gap = any(not lines[j].strip() for j in between)
+        page_break = any(lines[j].strip() for j in between)  # headers and page numbers
+        mid_sentence = before is not None and re.match(r"\s*[a-z(]", lines[i]) and not re.search(r"[.!?:]\s*$", lines[before]) and (page_break or not gap)
+        full = before is not None and not gap and len(lines[before]) >= 0.75 * width and re.search(r"[a-z]", lines[before]) and re.search(r"[a-z]", lines[i])
+        runs_on = before is not None and out and (before in joins or mid_sentence or full)
         if runs_on:
             out[-1] = f"{out[-1]} {s}".strip()
         elif s or not carried:
