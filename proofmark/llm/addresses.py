@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
 from proofmark.llm.address_parts import parse
 from proofmark.llm.canonical import abbreviates, deletions, distance
-from proofmark.runtime import checkpointed
+from proofmark.runtime import checkpointed, tasks
 
 PARTS = ["number", "direction", "street", "kind", "town", "state", "zip"]
 #: Street names known to the reader: at least this share of all records, so 1 / share at most.
@@ -50,6 +50,7 @@ def read_parts(records: DataFrame) -> DataFrame:
 
         return run
 
+    records = records.repartition(tasks(records.sparkSession))  # reading is heavy beside the bytes
     first = records.mapInArrow(reader(None), ddl)
     total = F.lit(KNOWN_SHARE)
     counts = first.where(F.col("kind").isNotNull() & F.col("street").isNotNull()).groupBy("street").agg(F.count("*").alias("n"))
@@ -112,7 +113,7 @@ def near_known(parts: DataFrame, part: str, state_too: bool) -> DataFrame:
     spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to 60 letters); for towns
     the records' own state must be the common town's, if they tell one."""
     counts = parts.where(F.col(part).isNotNull()).groupBy(F.col(part).alias("v")).agg(F.count("*").alias("n"), F.mode("state").alias("state"))
-    keyed = counts.where(F.length("v").between(6, 60)).withColumn("d", F.explode(_deleted("v")))
+    keyed = counts.where(F.length("v").between(6, 60)).withColumn("d", F.explode_outer(_deleted("v")))
     rare = keyed.select(F.col("v").alias("old"), F.col("n").alias("n_old"), F.col("state").alias("s_old"), "d")
     common = keyed.where("n >= 5").select(F.col("v").alias("new"), F.col("n").alias("n_new"), F.col("state").alias("s_new"), "d")
     met = rare.join(common, "d").where((F.col("old") != F.col("new")) & (F.col("n_new") >= 10 * F.col("n_old")))

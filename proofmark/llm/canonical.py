@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofmark.runtime import fits
+from proofmark.runtime import fits, spread
 
 #: The index is broadcast; an entry of n letters has about n^2/2 deletions. Longer lists are refused.
 MAX_ENTRIES = 20_000
@@ -207,7 +207,7 @@ def build_index(reference: DataFrame, id_col: str, name_col: str, rows: DataFram
 
 def mapped(rows: DataFrame, value_col: str, index: Index) -> DataFrame:
     """rows with `ref_id` (0: no entry meant; null for a null value) and `ref_distance`.
-    Every row is mapped where it stands: no shuffle, so a frequent value skews nothing."""
+    Every row is mapped where it stands, so a frequent value skews nothing."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     @F.pandas_udf("ref_id int, ref_distance double")
@@ -222,5 +222,5 @@ def free_entries(rows: DataFrame, field: str, reference: DataFrame, id_col: str,
     """(row_id, field, value, ref_id, ref_distance) of the non-null values that aren't letter for
     letter an entry; ref_id 0 reports that none is meant. Repeated rows stay repeated."""
     index = build_index(reference, id_col, name_col, rows, field, **kw)
-    typed = rows.where(F.col(field).isNotNull() & ~F.col(field).isin(*sorted(index.exact)))
+    typed = spread(rows.select("row_id", field)).where(F.col(field).isNotNull() & ~F.col(field).isin(*sorted(index.exact)))
     return mapped(typed.select("row_id", F.lit(field).alias("field"), F.col(field).alias("value")), "value", index)

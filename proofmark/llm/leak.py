@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofmark.runtime import spread
+
 SEED = 3
 #: Words a gap in a stretch may have on either side, and how far the two sides may differ.
 GAP, SLIP = 12, 4
@@ -170,7 +172,7 @@ def shared_passages(documents: DataFrame, items: DataFrame, least: float = COVER
             held = 0
         blocks[-1].append((r["item_id"], words))
         held += len(words)
-    docs = documents.select("doc_id", "text")
+    docs = spread(documents.select("doc_id", "text"))
     out = None
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmark.runtime import checkpointed, fits
+from proofmark.runtime import checkpointed, fits, tasks
 
 #: Bits of the hash, and how many of them one level of the histogram resolves.
 HASH_BITS, BITS = 60, 12
@@ -46,7 +46,7 @@ def with_tokens(texts: DataFrame, path: str = TOKENIZER) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("source"), b.column("text_id"), b.column("h"), pa.array(n, pa.int64())], names=["source", "text_id", "h", "n_tokens"])
 
-    return texts.select("source", "text_id", "h", "text").mapInArrow(count, "source string, text_id bigint, h bigint, n_tokens bigint")
+    return texts.select("source", "text_id", "h", "text").repartition(tasks(texts.sparkSession)).mapInArrow(count, "source string, text_id bigint, h bigint, n_tokens bigint")
 
 
 def hashed(digest: Column) -> Column:

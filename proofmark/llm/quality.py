@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from proofmark.runtime import spread
+
 # Common words of the corpus languages.
 COMMON = frozenset(
     "the of and to in a is that it was for on as with by at from his her this be are or an not have had but which they were there their its who once why what no so each our your"
@@ -204,6 +206,9 @@ def _shape(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*FIGURES, "kind"])
 
 
+_shape = _shape.asNondeterministic()  # else a filter on its result runs it a second time
+
+
 def plain_counts(text: Column) -> dict[str, Column]:
     """Counts by built-in expressions."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
@@ -224,11 +229,11 @@ def plain_counts(text: Column) -> dict[str, Column]:
 
 def text_statistics(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, the figures and `kind` (list, table, junk or null: prose).
-    Null texts give null figures, empty ones zeros; repeated rows stay repeated. No shuffle."""
-    df = documents.select("doc_id", F.col("text").alias("_t"), _shape("text").alias("_s"))
+    Null texts give null figures, empty ones zeros; repeated rows stay repeated."""
+    df = spread(documents.select("doc_id", "text")).select("doc_id", F.col("text").alias("_t"), _shape("text").alias("_s"))
     return df.select("doc_id", *[c.alias(n) for n, c in plain_counts(F.col("_t")).items()], *[F.col(f"_s.{f}").alias(f) for f in [*FIGURES, "kind"]])
 
 
 def not_prose(documents: DataFrame) -> DataFrame:
     """(doc_id, kind) of the documents whose text is for the most part not prose."""
-    return documents.select("doc_id", _shape("text")["kind"].alias("kind")).where(F.col("kind").isNotNull())
+    return spread(documents.select("doc_id", "text")).select("doc_id", _shape("text")["kind"].alias("kind")).where(F.col("kind").isNotNull())

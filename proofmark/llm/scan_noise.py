@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from proofmark.llm.canonical import distance
 from proofmark.llm.confusables import consistent
+from proofmark.runtime import spread
 
 #: Words and pairs known to the model: at least this share of all, so 1 / share of each at most.
 KNOWN_SHARE = 2e-6
@@ -187,7 +188,7 @@ class Model:
 def learn(texts: DataFrame) -> Model:
     """The model over all texts (one string column). What is known is a fixed share of all
     words, so the size that is broadcast is bounded however large the corpus is."""
-    counts = texts.mapInArrow(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = spread(texts).mapInArrow(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counts = counts.where(F.col("n") >= LEAST_COUNT)
     counts = counts.persist()
     try:
@@ -534,7 +535,7 @@ def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: obj
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return batch.select("row_id", "detected_text", "ocr_text_preview").mapInArrow(run, ddl)
+    return spread(batch.select("row_id", "detected_text", "ocr_text_preview")).mapInArrow(run, ddl)
 
 
 def noisy_lines(batch: DataFrame) -> DataFrame:
