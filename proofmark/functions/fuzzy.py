@@ -55,12 +55,30 @@ def line_score(expected: str, line: str) -> int:
     return round(min(max(indel_ratio(expected, line), token_sort_ratio(expected, line)), top))
 
 
-def best_line(expected: str | None, lines: list[str]) -> tuple[int, int] | None:
-    """(place from 0, score) of the best line, the earliest on ties; (-1, 0) where none scores."""
+@lru_cache(maxsize=100_000)
+def _wanted(expected: str) -> tuple[re.Pattern, frozenset[str]]:
+    return re.compile(rf"(?<![A-Z0-9]){re.escape(expected)}(?![A-Z0-9])"), frozenset(TOKEN.findall(expected))
+
+
+def best_line(expected: str | None, lines: list[str], tokens: list[frozenset[str]] | None = None) -> tuple[int, int] | None:
+    """(place from 0, score) of the best line, the earliest on ties; (-1, 0) where none scores. A
+    line is scored only if its length and the share of tokens it has let it beat the best so far."""
     if expected is None:
         return None
     place, score = -1, 0
+    if not expected:
+        return place, score
+    pattern, want = _wanted(expected)
     for i, line in enumerate(lines):
+        if not line:
+            continue
+        if expected in line and pattern.search(line):
+            return (i, 100) if score < 100 else (place, score)
+        have = tokens[i] if tokens is not None else frozenset(TOKEN.findall(line))
+        covered = len(want & have) / len(want) if want else 0.0
+        top = 60 if covered < 0.5 else 82 if covered < 0.75 else 100
+        if round(min(top, 200.0 * min(len(expected), len(line)) / (len(expected) + len(line)))) <= score:
+            continue
         s = line_score(expected, line)
         if s > score:
             place, score = i, s
@@ -77,7 +95,9 @@ def best_lines(expected: pd.Series, lines: pd.Series) -> pd.Series:
     def one(wanted: object, have: object) -> list | None:
         if wanted is None or all(w is None for w in wanted):
             return None
-        got = [best_line(w, list(have) if have is not None else []) for w in wanted]
+        rows = list(have) if have is not None else []
+        tokens = [frozenset(TOKEN.findall(x)) for x in rows]
+        got = [best_line(w, rows, tokens) for w in wanted]
         return [None if g is None else {"place": g[0], "score": g[1]} for g in got]
 
     return pd.Series([one(w, h) for w, h in zip(expected, lines)])

@@ -189,7 +189,7 @@ def generated_batch(parsed: DataFrame, matches: DataFrame) -> DataFrame:
 
 def batch_messages(parsed: DataFrame, batch: DataFrame) -> DataFrame:
     """(application_file, message) of all files, with a word on those without an image."""
-    own = parsed.select(F.col("source_name").alias("application_file"), F.explode("messages").alias("m"))
+    own = parsed.select(F.col("source_name").alias("application_file"), F.explode_outer("messages").alias("m"))
     lacking = batch.where("file_name = ''").select("application_file", F.lit(NO_MATCH).alias("m"))
     return own.unionByName(lacking).select("application_file", F.concat("application_file", F.lit(": "), "m").alias("message"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import numbers, text
 from proofmark.functions.fuzzy import best_lines
-from proofmark.runtime import strip
+from proofmark.runtime import exploded, strip
 
 PASS, REVIEW, FAIL = "PASS", "REVIEW", "FAIL"
 CHECK = "struct<check:string,expected:string,detected:string,result:string,notes:string>"
@@ -84,44 +84,53 @@ def listed(got_pct: Column, got_proof: Column) -> Column:
     return F.concat_ws("; ", pct, proof)
 
 
-def alcohol_check(expected: Column, seen: Column, want_pct: Column, want_proof: Column, got_pct: Column, got_proof: Column) -> Column:
-    name, none, rule, detected = "Alcohol Content", F.lit(""), alcohol_rule(want_pct, want_proof, got_pct, got_proof), listed(got_pct, got_proof)
+def alcohol_check(expected: Column, rule: Column, detected: Column, marked: Column) -> Column:
+    """rule: alcohol_rule; detected: listed; marked: has_marker. Each should be a column of its own
+    by now, since every branch looks at them."""
+    name, none = "Alcohol Content", F.lit("")
     notes = ["Expected ABV found on label.", "Expected ABV matches detected proof.", "Expected proof found on label.", "Expected proof matches detected ABV."]
     out = F.when(expected == "", check(name, none, none, REVIEW, F.lit("No expected alcohol content was provided.")))
     for k, note in enumerate(notes, 1):
         out = out.when(rule == k, check(name, expected, detected, PASS, F.lit(note)))
     return (
         out.when(detected != "", check(name, expected, detected, REVIEW, F.lit("Alcohol content found, but it does not clearly match the expected value.")))
-        .when(F.upper(seen).rlike("(?U)" + MARKER), check(name, expected, F.lit(MARKER_DETECTED), REVIEW, F.lit(MARKER_NOTE)))
+        .when(marked, check(name, expected, F.lit(MARKER_DETECTED), REVIEW, F.lit(MARKER_NOTE)))
         .otherwise(check(name, expected, none, FAIL, F.lit("Alcohol content was not found on the label.")))
     )
 
 
+def has_marker(seen: Column) -> Column:
+    return F.upper(seen).rlike("(?U)" + MARKER)
+
+
 def phrases_found(seen: Column) -> Column:
     s = text.norm_phrase(seen)
     return F.filter(F.array(*map(F.lit, WARNING_PHRASES)), lambda p: F.contains(s, p))
 
 
-def phrases_missing(seen: Column) -> Column:
-    s = text.norm_phrase(seen)
-    return F.filter(F.array(*map(F.lit, WARNING_PHRASES)), lambda p: ~F.contains(s, p))
+def phrases_missing(found: Column) -> Column:
+    """The statement's phrases that aren't among the found ones, in order."""
+    return F.array_except(F.array(*map(F.lit, WARNING_PHRASES)), found)
+
 
+def heading_case(one_line: Column) -> Column:
+    """2: the heading stands in capitals, 1: in another case, 0: not at all. White space is collapsed."""
+    return F.when(F.contains(one_line, F.lit(HEADING)), 2).when(one_line.rlike(r"(?iU)government\s+warning\s*:"), 1).otherwise(0)
 
-def warning_check(seen: Column, required: Column) -> Column:
+
+def warning_check(blank: Column, heading: Column, found: Column, required: Column) -> Column:
+    """heading: heading_case of the text; found: phrases_found. Columns of their own by now."""
     name, none, total = "Government Warning", F.lit(""), len(WARNING_PHRASES)
-    one_line = text.collapse(text.empty_if_null(seen))
-    heading = F.contains(one_line, F.lit(HEADING))
-    wrong_case = ~heading & one_line.rlike(r"(?iU)government\s+warning\s*:")
-    n, missing = F.size(phrases_found(seen)), phrases_missing(seen)
+    n = F.size(found)
     return (
         F.when(~required, check(name, F.lit("Not required"), F.lit("Not checked"), PASS, F.lit("Government warning check was not required for this review.")))
-        .when(one_line == "", check(name, F.lit("Required"), none, FAIL, F.lit("No label text was provided for warning validation.")))
-        .when(wrong_case, check(name, F.lit(HEADING), F.lit("Incorrect warning heading capitalization"), FAIL, F.lit("Warning heading must appear as 'GOVERNMENT WARNING:' in all caps.")))
-        .when(heading & (n == total), check(name, F.lit(STATEMENT), F.lit("Warning heading and required phrases found"), PASS, F.lit("Government warning text appears to be present with correct heading capitalization.")))
+        .when(blank, check(name, F.lit("Required"), none, FAIL, F.lit("No label text was provided for warning validation.")))
+        .when(heading == 1, check(name, F.lit(HEADING), F.lit("Incorrect warning heading capitalization"), FAIL, F.lit("Warning heading must appear as 'GOVERNMENT WARNING:' in all caps.")))
+        .when((heading == 2) & (n == total), check(name, F.lit(STATEMENT), F.lit("Warning heading and required phrases found"), PASS, F.lit("Government warning text appears to be present with correct heading capitalization.")))
         .when(
-            heading & (n > 0),
+            (heading == 2) & (n > 0),
             check(name, F.lit(STATEMENT), F.concat(F.lit("Found "), n.cast("string"), F.lit(f" of {total} required phrases")), REVIEW,
-                  F.concat(F.lit("Warning heading was found, but the warning text appears incomplete. Missing phrase examples: "), F.array_join(F.slice(missing, 1, 2), ", "), F.lit("."))),
+                  F.concat(F.lit("Warning heading was found, but the warning text appears incomplete. Missing phrase examples: "), F.array_join(F.slice(phrases_missing(found), 1, 2), ", "), F.lit("."))),
         )
         .when(n >= 2, check(name, F.lit(STATEMENT), F.concat(F.lit("Found "), n.cast("string"), F.lit(" warning-related phrases but no correct heading")), REVIEW, F.lit("Warning-like text was found, but the required 'GOVERNMENT WARNING:' heading was missing.")))
         .otherwise(check(name, F.lit(STATEMENT), none, FAIL, F.lit("Required government warning statement was not found on the label.")))
@@ -155,6 +164,10 @@ def with_checks(rows: DataFrame, seen: str = "detected_text") -> DataFrame:
         | {"_v_required": required, "_v_blank": strip(F.col("_v_t")) == "", "_v_got_pct": numbers.percent_values(F.col("_v_t")), "_v_got_proof": numbers.proof_values(F.col("_v_t"))}
         | {"_v_want_pct": numbers.percent_values(F.col("_v_alcohol_content")), "_v_want_proof": numbers.proof_values(F.col("_v_alcohol_content"))}
     )
+    figures = [F.col(f"_v_{x}") for x in ("want_pct", "want_proof", "got_pct", "got_proof")]
+    df = df.withColumns(
+        {"_v_rule": alcohol_rule(*figures), "_v_listed": listed(*figures[2:]), "_v_marked": has_marker(F.col("_v_t")), "_v_found": phrases_found(F.col("_v_t")), "_v_heading": heading_case(text.collapse(F.col("_v_t")))}
+    )
     # Fuzzy operands: null where the decision is taken already.
     wanted = [F.when(~F.col(f"_v_hit_{n}") & ~F.col("_v_blank") & (F.col(f"_v_{n}") != ""), text.norm_text(F.col(f"_v_{n}"))) for n, *_ in TEXT_FIELDS]
     wanted.append(F.when(~F.col("_v_hit_net") & ~F.col("_v_blank") & (F.col("_v_net_contents") != ""), text.norm_text(F.col("_v_net_contents"))))
@@ -166,10 +179,10 @@ def with_checks(rows: DataFrame, seen: str = "detected_text") -> DataFrame:
     for k, (n, label, least, review, optional) in enumerate(TEXT_FIELDS):
         c = text_check(label, F.col(f"_v_{n}"), F.col("_v_blank"), F.col(f"_v_hit_{n}"), line(k), score(k), least, review)
         made[n] = F.when(F.col(f"_v_{n}") != "", c) if optional else c
-    made["alcohol"] = alcohol_check(F.col("_v_alcohol_content"), F.col("_v_t"), *[F.col(f"_v_{x}") for x in ("want_pct", "want_proof", "got_pct", "got_proof")])
+    made["alcohol"] = alcohol_check(F.col("_v_alcohol_content"), F.col("_v_rule"), F.col("_v_listed"), F.col("_v_marked"))
     made["net"] = net_check(F.col("_v_net_contents"), F.col("_v_hit_net"), line(4), score(4))
     order = ["brand_name", "class_type", "alcohol", "net", "name_address", "country_of_origin"]
-    checks = F.array(*[made[k] for k in order], warning_check(F.col("_v_t"), F.col("_v_required")))
+    checks = F.array(*[made[k] for k in order], warning_check(F.col("_v_blank"), F.col("_v_heading"), F.col("_v_found"), F.col("_v_required")))
     return df.select(*rows.columns, F.filter(checks, lambda c: c.isNotNull()).alias("checks"))
 
 
@@ -191,7 +204,7 @@ def issues(checks: Column) -> Column:
 
 def check_rows(checked: DataFrame, keys: list[str]) -> DataFrame:
     """Long form: one row per check, with its place in the label's order."""
-    return checked.select(*keys, F.posexplode("checks").alias("check_no", "c")).select(*keys, "check_no", "c.*")
+    return exploded(checked.select(*keys, "checks"), F.col("checks"), ["check_no", "c"]).select(*keys, "check_no", "c.*")
 
 
 def attention_items(rows: DataFrame) -> DataFrame:

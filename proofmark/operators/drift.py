@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofmark.runtime import checkpointed, fits
+from proofmark.runtime import checkpointed, fits, tasks
 
 #: Least cosine of two profiles for the same content.
 SAME_CONTENT = 0.5
@@ -168,7 +168,7 @@ def first_deliveries(files: DataFrame) -> DataFrame:
 def field_table(files: DataFrame) -> DataFrame:
     """One row per file and field: name, comparison key, type and content features."""
     cols = ["file_id", "feed", F.col("file_no").cast("int").alias("file_no"), "file_format", "content"]
-    return first_deliveries(files).select(*cols).repartition("feed", "file_no").mapInArrow(_fields, FIELD_SCHEMA)
+    return first_deliveries(files).select(*cols).repartition(tasks(files.sparkSession), "feed", "file_no").mapInArrow(_fields, FIELD_SCHEMA)
 
 
 def predecessors(fields: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def consistent_table(files: DataFrame, target: dict[str, str]) -> DataFrame:
     """All records of all files in one table: the canonical columns as text (null where a file
     lacks the field: the default) and the other fields in a map."""
     cols = ["file_id", "feed", F.col("file_no").cast("int").alias("file_no"), "file_format", "content"]
-    cells = first_deliveries(files).select(*cols).repartition("feed", "file_no").mapInArrow(_records, RECORD_SCHEMA)
+    cells = first_deliveries(files).select(*cols).repartition(tasks(files.sparkSession), "feed", "file_no").mapInArrow(_records, RECORD_SCHEMA)
     to = F.create_map(*[F.lit(x) for kv in target.items() for x in kv]) if target else F.create_map().cast("map<string,string>")
     cells = cells.withColumn("column", F.coalesce(to[F.col("key")], F.col("key")))
     at = lambda c: F.max(F.when(F.col("column") == c, F.col("value"))).alias(c)

@@ -3,11 +3,13 @@ recovery of structured values. All of it is column expressions on arrays of line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmark.functions import numbers, text
-from proofmark.runtime import strip
+from proofmark.runtime import exploded, strip, tasks
 
 # Spellings of ALC/VOL, captions that are no label text, and the heading of the block.
 ALC_VOL = ["ALC/ VOL", "ALC /VOL", "ALC / VOL", "ALC./VOL.", "ALC./VOL", "ALC/VOL."]
@@ -93,39 +95,53 @@ def clean_text(c: Column) -> Column:
     return F.array_join(clean_lines(c), "\n")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value evaluated once: lambda bodies know no common subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def folded_regions(regions: Column) -> Column:
     """The text of a label from its regions (array of struct(title, lines), in order): lines that
     repeat or lie within an earlier one are dropped, each title heads its first section once,
     sections are parted by an empty line. A fold, since what is dropped depends on all before."""
     strings = F.array().cast("array<string>")
     start = F.struct(strings.alias("out"), strings.alias("keys"), strings.alias("titles"), F.lit(False).alias("has"))
+    keyed = F.transform(
+        regions,
+        lambda r: F.struct(text.empty_if_null(r["title"]).alias("title"), F.transform(r["lines"], lambda x: F.struct(x.alias("line"), text.letters_key(x).alias("key"))).alias("lines")),
+    )
 
-    def add(acc: Column, r: Column) -> Column:
-        def line(a: Column, x: Column) -> Column:
-            k = text.letters_key(x)
-            dup = (k == "") | F.exists(a["keys"], lambda e: (e == k) | ((F.length(k) >= 5) & F.contains(e, k)))
-            return F.when(dup, a).otherwise(F.struct(F.concat(a["new"], F.array(x)).alias("new"), F.concat(a["keys"], F.array(k)).alias("keys")))
+    def line(a: Column, x: Column) -> Column:
+        inside = F.exists(a["keys"], lambda e: (e == x["key"]) | ((F.length(x["key"]) >= 5) & F.contains(e, x["key"])))
+        return F.when((x["key"] == "") | inside, a).otherwise(F.struct(F.concat(a["new"], F.array(x["line"])).alias("new"), F.concat(a["keys"], F.array(x["key"])).alias("keys")))
 
-        section = F.aggregate(r["lines"], F.struct(strings.alias("new"), acc["keys"].alias("keys")), line)
-        titled = text.empty_if_null(r["title"]) != ""
+    def add(acc: Column, r: Column) -> Column:
+        titled = r["title"] != ""
+        fresh = titled & ~F.array_contains(acc["titles"], F.lower(r["title"]))
         gap = F.when(titled & (F.size(acc["out"]) > 0) & acc["has"], F.array(F.lit(""))).otherwise(strings)
-        fresh = titled & ~F.array_contains(acc["titles"], F.lower(text.empty_if_null(r["title"])))
         head = F.when(fresh, F.array(F.concat(r["title"], F.lit(":")))).otherwise(strings)
-        done = F.struct(
-            F.concat(acc["out"], gap, head, section["new"]).alias("out"),
-            F.concat(section["keys"], F.transform(head, text.letters_key)).alias("keys"),
-            F.when(fresh, F.concat(acc["titles"], F.array(F.lower(text.empty_if_null(r["title"]))))).otherwise(acc["titles"]).alias("titles"),
-            (acc["has"] | titled).alias("has"),
-        )
-        return F.when(F.size(section["new"]) == 0, acc).otherwise(done)
 
-    return strip(F.array_join(F.aggregate(regions, start, add)["out"], "\n"))
+        def done(section: Column) -> Column:
+            return F.when(F.size(section["new"]) == 0, acc).otherwise(
+                F.struct(
+                    F.concat(acc["out"], gap, head, section["new"]).alias("out"),
+                    F.concat(section["keys"], F.transform(head, text.letters_key)).alias("keys"),
+                    F.when(fresh, F.concat(acc["titles"], F.array(F.lower(r["title"])))).otherwise(acc["titles"]).alias("titles"),
+                    (acc["has"] | titled).alias("has"),
+                )
+            )
+
+        return let(F.aggregate(r["lines"], F.struct(strings.alias("new"), acc["keys"].alias("keys")), line), done)
+
+    return strip(F.array_join(F.aggregate(keyed, start, add)["out"], "\n"))
 
 
 def combine_regions(regions: DataFrame, key: str) -> DataFrame:
     """regions(key, region_ord, title, raw_text) -> (key, visible_text). A label has a handful of
     regions; they are cleaned before they are gathered. Regions of equal place go by title, text."""
-    cleaned = regions.select(key, "region_ord", "title", clean_lines(F.col("raw_text")).alias("lines"), "raw_text")
+    # Cleaning and folding are heavy beside the bytes: parted by label over enough tasks first.
+    spread_out = regions.select(key, "region_ord", "title", "raw_text").repartition(tasks(regions.sparkSession), key)
+    cleaned = spread_out.select(key, "region_ord", "title", clean_lines(F.col("raw_text")).alias("lines"))
     gathered = cleaned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("region_ord", "title", "lines"))).alias("r"))
     return gathered.select(key, folded_regions(F.filter("r", lambda x: F.size(x["lines"]) > 0)).alias("visible_text"))
 
@@ -134,7 +150,7 @@ def best_candidates(texts: DataFrame, key: str) -> DataFrame:
     """texts(key, region_ord, source, raw_text) -> per key and field the candidate of greatest vote
     (region 3, candidate and primary 2, others 1), the first seen on ties."""
     order = {"abv": 1, "proof": 2, "net_contents": 3}
-    c = texts.select(key, "region_ord", F.posexplode(numbers.field_candidates(F.col("raw_text"), F.col("source"))).alias("pos", "c"))
+    c = exploded(texts.select(key, "region_ord", "source", "raw_text"), numbers.field_candidates(F.col("raw_text"), F.col("source")), ["pos", "c"]).select(key, "region_ord", "pos", "c")
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in WEIGHT.items() for x in kv])[F.col("c.source")], F.lit(1))
     votes = c.groupBy(key, F.col("c.field").alias("field"), F.round("c.value", 2).alias("value"), F.col("c.display").alias("display")).agg(
         F.sum(weight).alias("score"), F.min(F.struct("region_ord", "pos")).alias("first")
@@ -144,13 +160,19 @@ def best_candidates(texts: DataFrame, key: str) -> DataFrame:
     return best.select(key, rank.alias("field_no"), "field", "b.value", "b.display", "b.score")
 
 
-def final_text(visible: Column, candidates: Column) -> Column:
-    """The visible text, cleaned again, and below it a block of recovered values it lacks.
-    candidates: array of struct(field, display) in order. Alcohol values are left out where the
-    text states alcohol already."""
-    seen = clean_text(visible)
-    known = numbers.states_alcohol(seen)
-    wanted = F.filter(candidates, lambda c: ~(c["field"].isin("abv", "proof") & known) & ~text.already_present(c["display"], seen))
-    shown = F.array_distinct(F.transform(wanted, lambda c: c["display"]))
-    block = F.when(F.size(shown) > 0, F.concat(F.lit(RECOVERED + "\n"), F.array_join(shown, "\n")))
-    return F.concat_ws("\n\n", F.nullif(seen, F.lit("")), block)
+def with_recovered(df: DataFrame, visible: str, candidates: str, into: str) -> DataFrame:
+    """df with the column `into`: the visible text, cleaned again, and below it a block of recovered
+    values it lacks. candidates: array of struct(field, display) in order. Alcohol values are left
+    out where the text states alcohol already. What the candidates are compared with is computed
+    once per row, in projections of its own."""
+    keep = [F.col(c) for c in df.columns]
+    df = df.select(*keep, clean_text(F.col(visible)).alias("_seen"))
+    df = df.select(*keep, "_seen", numbers.states_alcohol(F.col("_seen")).alias("_known"), text.letters_key(F.col("_seen")).alias("_key"))
+
+    def wanted(c: Column) -> Column:
+        k = text.letters_key(c["display"])
+        return ~(c["field"].isin("abv", "proof") & F.col("_known")) & ~((k != "") & F.contains(F.col("_key"), k))
+
+    df = df.select(*keep, "_seen", F.array_distinct(F.transform(F.filter(candidates, wanted), lambda c: c["display"])).alias("_shown"))
+    block = F.when(F.size("_shown") > 0, F.concat(F.lit(RECOVERED + "\n"), F.array_join("_shown", "\n")))
+    return df.select(*keep, F.concat_ws("\n\n", F.nullif(F.col("_seen"), F.lit("")), block).alias(into))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofmark.runtime import broadcast_if_small
+from proofmark.runtime import broadcast_if_small, spread
 
 NONE, VOLUME, MASS = (0, 0, 0), (3, 0, 0), (0, 1, 0)
 D = Decimal
@@ -226,14 +226,14 @@ def standard_amounts(rows: DataFrame, sources: DataFrame) -> DataFrame:
     def told(notes: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([note_units(n if isinstance(n, str) else None) for n in notes], columns=["strength", "contents"])
 
-    rows = rows.select("row_id", "source_id", "alcohol_content", "net_contents")
+    rows = spread(rows.select("row_id", "source_id", "alcohol_content", "net_contents"))
     units = sources.groupBy("source_id").agg(F.min("note").alias("note")).select(F.col("source_id").alias("_source"), told("note").alias("_told"))
     df = rows.join(broadcast_if_small(units), F.col("source_id") == F.col("_source"), "left")
     strength = canonical_amount(F.col("alcohol_content"), "strength", F.col("_told.strength"))
     contents = canonical_amount(F.col("net_contents"), "contents", F.col("_told.contents"))
     one = lambda field, text, got: F.struct(F.lit(field).alias("field"), F.col(text).alias("text"), F.col(got).alias("got"))
     df = df.select("row_id", "source_id", "alcohol_content", "net_contents", strength.alias("_s"), contents.alias("_c"))
-    df = df.select("row_id", "source_id", F.explode(F.array(one("alcohol_content", "alcohol_content", "_s"), one("net_contents", "net_contents", "_c"))).alias("_x"))
+    df = df.select("row_id", "source_id", F.explode_outer(F.array(one("alcohol_content", "alcohol_content", "_s"), one("net_contents", "net_contents", "_c"))).alias("_x"))
     value = F.col("_x.got.value").cast("decimal(30,12)")
     amount = F.round(F.when(F.col("_x.field") == "alcohol_content", value * 10000).otherwise(value * 1000), 0).cast("bigint")
     return df.select("row_id", "source_id", F.col("_x.field").alias("field"), F.col("_x.text").alias("text"), amount.alias("amount"), F.col("_x.got.unit").alias("unit"), F.col("_x.got.own").alias("own"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import fuzzy, numbers, text
 from proofmark.operators import applications, batch, checks, filenames, ocr_text
-from proofmark.runtime import load
+from proofmark.runtime import exploded, load, spread
 from proofmark.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def joined_values(values: Column) -> Column:
 
 
 def label_lines(spark: SparkSession, d: str) -> DataFrame:
-    return B(spark, d).select("row_id", F.posexplode(F.split("detected_text", "\n")).alias("line_no", "line"))
+    return spread(B(spark, d).select("row_id", "detected_text")).select("row_id", F.posexplode(F.split("detected_text", "\n")).alias("line_no", "line"))
 
 
 def line_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -57,17 +57,17 @@ def line_garbage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean_texts(spark: SparkSession, d: str) -> DataFrame:
-    return B(spark, d).select("row_id", ocr_text.clean_text(F.col("detected_text")).alias("clean_text"))
+    return spread(B(spark, d).select("row_id", "detected_text")).select("row_id", ocr_text.clean_text(F.col("detected_text")).alias("clean_text"))
 
 
 def field_candidates(spark: SparkSession, d: str) -> DataFrame:
     c = numbers.field_candidates(F.col("detected_text"), F.lit("primary"))
-    return B(spark, d).select("row_id", F.explode(c).alias("c")).select("row_id", "c.field", "c.display", "c.value")
+    return exploded(B(spark, d).select("row_id", "detected_text"), c, ["c"]).select("row_id", "c.field", "c.display", "c.value")
 
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
     """Expected rows with the last text of their file name and the outcome of the join."""
-    return batch.with_texts(S(spark, d), batch.last_texts(B(spark, d), "processed_at"))
+    return batch.with_texts(spread(S(spark, d)), batch.last_texts(B(spark, d), "processed_at"))
 
 
 def join_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def own_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    return checks.with_checks(B(spark, d))
+    return checks.with_checks(spread(B(spark, d)))
 
 
 def core_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -114,13 +114,15 @@ def _unnested(c: Column) -> list[Column]:
 def alcohol_checks(spark: SparkSession, d: str) -> DataFrame:
     e, t = text.clean_cell(F.col("alcohol_content")), text.empty_if_null(F.col("detected_text"))
     df = B(spark, d).select("row_id", e.alias("e"), t.alias("t"), numbers.percent_values(e).alias("wp"), numbers.proof_values(e).alias("wq"), numbers.percent_values(t).alias("gp"), numbers.proof_values(t).alias("gq"))
-    return df.select("row_id", checks.alcohol_check(*map(F.col, ("e", "t", "wp", "wq", "gp", "gq"))).alias("c")).select("row_id", *_unnested(F.col("c")))
+    df = df.select("row_id", "e", checks.alcohol_rule(*map(F.col, ("wp", "wq", "gp", "gq"))).alias("rule"), checks.listed(F.col("gp"), F.col("gq")).alias("seen"), checks.has_marker(F.col("t")).alias("marked"))
+    return df.select("row_id", checks.alcohol_check(*map(F.col, ("e", "rule", "seen", "marked"))).alias("c")).select("row_id", *_unnested(F.col("c")))
 
 
 def warning_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the warning is required is told by the checked row's outcome here: one in four isn't."""
-    required = F.col("failed_checks") != 2
-    return B(spark, d).select("row_id", checks.warning_check(F.col("detected_text"), required).alias("c")).select("row_id", *_unnested(F.col("c")))
+    """Whether the warning is required is told by the number of failed checks here: not where it is two."""
+    df = B(spark, d).select("row_id", (F.col("failed_checks") != 2).alias("required"), text.collapse(text.empty_if_null(F.col("detected_text"))).alias("t"))
+    df = df.select("row_id", "required", (F.col("t") == "").alias("blank"), checks.heading_case(F.col("t")).alias("heading"), checks.phrases_found(F.col("t")).alias("found"))
+    return df.select("row_id", checks.warning_check(*map(F.col, ("blank", "heading", "found", "required"))).alias("c")).select("row_id", *_unnested(F.col("c")))
 
 
 def similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +154,7 @@ def reviewer_edits(spark: SparkSession, d: str) -> DataFrame:
 
 def key_value_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select("doc_id", applications.key_values(F.col("text")).alias("e"))
-    return docs.select("doc_id", F.explode("e").alias("e")).select("doc_id", "e.key", "e.value")
+    return exploded(docs, F.col("e"), ["x"]).select("doc_id", "x.key", "x.value")
 
 
 def application_files(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +163,7 @@ def application_files(spark: SparkSession, d: str) -> DataFrame:
 
 def json_entries(spark: SparkSession, d: str) -> DataFrame:
     f = load(spark, d, "imports_application").where("file_format = 'json'")
-    return f.select("file_id", F.posexplode(applications.read_entries("content", F.lit("json"))["entries"]).alias("place", "e")).select("file_id", "place", "e.key", "e.value")
+    return exploded(f.select("file_id", "content"), applications.read_entries("content", F.lit("json"))["entries"], ["place", "e"]).select("file_id", "place", "e.key", "e.value")
 
 
 def parsed_applications(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +212,7 @@ def batch_messages(spark: SparkSession, d: str) -> DataFrame:
 def regions(spark: SparkSession, d: str) -> DataFrame:
     """Label texts as they come from overlapping regions: whole, upper and lower part, and a
     candidate region of the lines with figures."""
-    t = B(spark, d).where("detected_text is not null").select(F.col("row_id").cast("string").alias("file_name"), F.split("detected_text", "\n").alias("l"))
+    t = spread(B(spark, d).where("detected_text is not null").select("row_id", "detected_text")).select(F.col("row_id").cast("string").alias("file_name"), F.split("detected_text", "\n").alias("l"))
     n = F.size("l")
     part = lambda a: F.array_join(a, "\n")
     def region(ord_: int, kind: str, title: str, source: str, raw: Column) -> Column:
@@ -223,7 +225,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
         region(2, "visible", images.BACK, "region", part(F.slice("l", F.greatest(F.lit(1), (n / 2).cast("int")), n))),
         region(3, "candidate", "", "candidate", part(F.filter("l", lambda x: x.rlike("[0-9]")))),
     )
-    return t.select("file_name", F.explode(rows).alias("r")).select("file_name", "r.*")
+    return exploded(t, rows, ["x"]).select("file_name", "x.*")
 
 
 def combined_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -258,7 +260,7 @@ def queries() -> dict[str, Query]:
         "recognised_numbers": column_query("sample_application", strength=lambda: numbers.number(c("alcohol_content")), size=lambda: numbers.usual_ml(numbers.number(c("net_contents")))),
         "net_contents_normalized": column_query("sample_application", net=lambda: numbers.norm_net_contents(c("net_contents"))),
         "candidate_presence": column_query("batch", net_present=lambda: text.already_present(c("net_contents"), c("detected_text")), alcohol_present=lambda: text.already_present(c("alcohol_content"), c("detected_text"))),
-        "warning_phrases": column_query("batch", n_found=lambda: F.size(checks.phrases_found(c("detected_text"))), missing=lambda: F.array_join(checks.phrases_missing(c("detected_text")), "; ")),
+        "warning_phrases": column_query("batch", n_found=lambda: F.size(checks.phrases_found(c("detected_text"))), missing=lambda: F.array_join(checks.phrases_missing(checks.phrases_found(c("detected_text"))), "; ")),
         "booleans": column_query("sample_application", batch_required=lambda: checks.batch_warning_required(c("warning_required")), application_required=lambda: applications.boolean(c("warning_required"))),
         "status_labels": column_query("batch", status=lambda: batch.status(c("overall_result"))),
     }

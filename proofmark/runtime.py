@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless PYTHONPATH has it."""
+    sc, home = spark.sparkContext, Path(__file__).resolve().parent
+    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if str(home.parent) in paths or getattr(sc, "_proofmark_shipped", False):
+        return
+    staging = Path(tempfile.mkdtemp(prefix="proofmark-"))  # on the driver only: Spark copies the archive from here
+    shutil.copytree(home, staging / "src" / home.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(staging / home.name), "zip", staging / "src"))
+    sc._proofmark_shipped = True
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the folder all executors share (spark.checkpoint.dir).
 
@@ -27,6 +42,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that is heavy beside its bytes: two for each core, the shuffle setting at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores, spread over all of them, for work that is
+    heavy beside its bytes; a large scan has partitions enough and stays where it is."""
+    if scan.rdd.getNumPartitions() >= scan.sparkSession.sparkContext.defaultParallelism:
+        return scan
+    return scan.repartition(tasks(scan.sparkSession))
+
+
+def exploded(df: DataFrame, array: Column, names: list[str]) -> DataFrame:
+    """df with one row per item of an array that is costly to make: [item] or [place, item] as the
+    named columns. The plain explode would have the optimizer infer a filter on the array's size and
+    push it down, which makes the array twice."""
+    made = F.posexplode_outer(array).alias(*names) if len(names) == 2 else F.explode_outer(array).alias(names[0])
+    return df.select("*", made).where(F.col(names[-1]).isNotNull())
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -108,4 +108,5 @@ def label_texts(regions: DataFrame) -> DataFrame:
     best = ocr_text.best_candidates(regions, "file_name").groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("field_no", "field", "display"))).alias("c"))
     df = visible.join(best, "file_name", "left")
     none = F.array().cast("array<struct<field_no:int,field:string,display:string>>")
-    return df.select("file_name", ocr_text.final_text(F.col("visible_text"), F.coalesce("c", none)).alias("detected_text"))
+    df = df.select("file_name", "visible_text", F.coalesce("c", none).alias("c"))
+    return ocr_text.with_recovered(df, "visible_text", "c", "detected_text").select("file_name", "detected_text")
