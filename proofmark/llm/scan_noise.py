@@ -33,7 +33,7 @@ ERROR = 0.002
 COMMONER = 10
 # What is read for what is meant, as one table (read, meant).
 CONFUSIONS = [
-    ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "g"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("$", "s"), ("@", "a"),
+    ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "g"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("$", "s"), ("@", "a"), ("+", "t"),
     ("c", "e"), ("e", "c"), ("o", "c"), ("c", "o"), ("l", "i"), ("i", "l"), ("l", "t"), ("f", "t"), ("t", "f"), ("u", "v"), ("v", "u"), ("h", "b"), ("b", "h"), ("n", "h"), ("n", "u"), ("u", "n"), ("a", "o"), ("o", "a"), ("q", "g"), ("g", "q"), ("y", "v"), ("v", "y"),
     ("rn", "m"), ("m", "rn"), ("nn", "m"), ("li", "h"), ("ii", "u"), ("ii", "n"), ("ri", "n"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("lc", "k"), ("tli", "th"), ("in", "m"), ("lt", "k"), ("fi", "h"), ("ll", "u"), ("lo", "b"), ("0", "d"), ("0", "q"), ("8", "a"), ("1", "t"),
 ]
@@ -43,8 +43,7 @@ for _read, _meant in CONFUSIONS:
 LONGEST = max(map(len, MEANT))
 DIGIT_FOR = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "i": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "G": "6", "b": "6", "g": "9", "q": "9"}
 
-TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|\|")
-WORD = re.compile(r"[^\W_]+(?:['’|!$@][^\W_]+)*")
+WORD = re.compile(r"[+|]?[^\W_]+(?:['’|!$@+][^\W_]+)*[+|]?")
 BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:['’][^\W_]+)*)([-‐­¬])\s*$")
 NUMERAL = r"(?:[0-9OoIlS]{1,4}|[ivxlcIVXLC]{1,7})"
 PAGE = re.compile(rf"(?:[Pp]a[gq9][ec]\.?|PA[G6]E|[Pp][gq9]\.?|[Pp]\.)\s*{NUMERAL}(?:\s*(?:/|of|oť|0f|OF)\s*{NUMERAL})?|{NUMERAL}\s*[|/]\s*{NUMERAL}|\[\s*{NUMERAL}\s*\]|[-–—]\s*{NUMERAL}\s*[-–—]")
@@ -114,7 +113,7 @@ class Model:
         if len(w) > self.longest:
             return [(w, 0.0)]
         count = self.words.get(w, 0)
-        mixed = re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@]", w) is not None
+        mixed = re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@+]", w) is not None
         found: dict[str, float] = {}
         level = {w: 0.0}
         for _ in range(3 if mixed else 1 if count else 2):
@@ -343,6 +342,8 @@ FIGURE = re.compile(r"[0-9OoQDlIi|SsBZzGbgq]+(?:[.,][0-9OoQlI|SsBZ]+)?")
 def odd_figure(line: str) -> list[tuple[int, int, str]]:
     """(start, end, meant) of figures with letters among or for their digits."""
     out: list[tuple[int, int, str]] = []
+    if "|" in line:  # a lone bar for a one before a unit
+        out += [(m.start(), m.end(), "1") for m in re.finditer(r"(?<!\S)\|(?=\s+(?:L|ML|FL OZ)\b)", line)]
     if not TOUCHING.search(line):
         return out
     for m in FIGURE.finditer(line):
