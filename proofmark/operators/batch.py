@@ -37,6 +37,17 @@ def missing_columns(df: DataFrame) -> list[str]:
     return [c for c in REQUIRED if c not in df.columns]
 
 
+def ensure_checkable(rows: DataFrame, texts: DataFrame) -> None:
+    """Refuse a batch that can't be checked: required columns missing, no rows, or no texts."""
+    lacking = missing_columns(rows)
+    if lacking:
+        raise ValueError("missing required columns: " + ", ".join(lacking))
+    if rows.isEmpty():
+        raise ValueError("the batch has no rows")
+    if texts.isEmpty():
+        raise ValueError("there are no texts to check against")
+
+
 def last_texts(texts: DataFrame, order: str) -> DataFrame:
     """One text per file name, the last by `order`; equal places: the greatest text. Aggregated
     before the shuffle, so a name that many rows carry is no hot group."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from proofmark.functions.numbers import L_SIZES, ML_SIZES
 from proofmark.functions.text import FILE_WORDS
-from proofmark.operators.applications import FALSE, TRUE
+from proofmark.operators.applications import FALSE, NO_FIELDS, TRUE
 from proofmark.operators.batch import TARGET_SECONDS
 from proofmark.operators.checks import BATCH_FALSE, HEADING, MARKER_DETECTED, MARKER_NOTE, STATEMENT, WARNING_PHRASES
 from proofmark.operators.records import FILE_NAME, WARNING_WORDS
@@ -268,6 +268,20 @@ def units_sql() -> str:
     select row_id, 'net_contents', cast(round(num * case unit when 'cl' then 10 when 'dl' then 100 when 'l' then 1000 when 'oz' then 29.5735 when 'pint' then 473.176 when 'quart' then 946.353 when 'gallon' then 3785.41 end + more * 29.5735, 0) as bigint) from ne where unit <> 'ml' and num is not null"""
 
 
+def text_applications_sql() -> str:
+    """The expected rows as their text files give them back."""
+    one_line = lambda c: sub(c, "[\\r\\n]+", " ")
+    read = lambda c: strip(sub(sub(strip(no_null(one_line(c))), "^/", ""), "[ \\t]+", " "))
+    fields = [("brand_name", "Brand Name"), ("class_type", "Class/Type"), ("alcohol_content", "Alcohol Content"), ("net_contents", "Net Contents"), ("name_address", "Name / Address"), ("country_of_origin", "Country of Origin")]
+    told = ", ".join(f"case when {c} <> '' then {q(label)} end" for c, label in fields)
+    return f"""
+    with r as (select row_id, lower({read('warning_required')}) as w, {", ".join(f"{read(c)} as {c}" for c, _ in fields)} from sample_application)
+    select row_id || '.txt' as source_name, 'TXT' as source_format, cast(null as varchar) as error, {", ".join(c for c, _ in fields)}, '' as product_type, '' as fanciful_name,
+      case when list_contains({lst(FALSE)}, w) then false else true end as warning_required,
+      case when concat_ws(', ', {told}) = '' then {q(NO_FIELDS)} else 'Imported fields: ' || concat_ws(', ', {told}) || '.' end as messages
+    from r"""
+
+
 def oracle_sql() -> dict[str, str]:
     cc = strip(no_null("country_of_origin"))
     stem = f"trim({sub(f'lower({sub(no_null("file_name"), r"(?s)\.[^.]*$", "")})', '[^a-z0-9]+', ' ')})"
@@ -305,6 +319,7 @@ def oracle_sql() -> dict[str, str]:
         "blank_names": f"select count(*) as rows, count(*) filter ({strip(no_null('file_name'))} = '') as blank_names, count(*) > 25 as large_batch from batch",
         "reviewer_edits": f"with e as (select file_name, {', '.join(f'max(nullif({strip(no_null(c))}, {q("")})) as {c}' for c in edits)} from batch where file_name is not null group by file_name) select s.row_id, s.file_name, {', '.join(f'coalesce(e.{c}, s.{c}) as {c}' for c in edits)}, s.alcohol_content from sample_application s left join e on s.file_name = e.file_name",
         "key_value_lines": f"with l as (select doc_id, line_no, {strip('line')} as s from {lines('documents')}), p as (select doc_id, line_no, {strip(f'regexp_extract(s, {q(kv)}, 1)')} as key, {strip(f'regexp_extract(s, {q(kv)}, 2)')} as value from l where regexp_matches(s, {q(kv)})) select doc_id, key, value from p where key <> '' and value <> '' qualify row_number() over (partition by doc_id, key order by line_no desc) = 1",
+        "text_applications": text_applications_sql(),
         "p3_found": f"{records_cte()} select record_id, reason from f where reason is not null and reason <> 'no_header'",
         "p3_rejects": f"{records_cte()} select record_id, source_file, record_no, reason, raw_record as corrupt_text from f where reason is not null",
         "p3_loaded": loaded_sql(),

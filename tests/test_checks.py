@@ -145,3 +145,19 @@ def test_extra_columns_do_no_harm(spark):
     df = spark.createDataFrame([(1, "a", "x", 5)], "row_id int, brand_name string, detected_text string, checks2 int")
     assert checks.with_checks(df).columns == ["row_id", "brand_name", "detected_text", "checks2", "checks"]
     assert checks.with_checks(df.limit(0)).count() == 0
+
+
+def test_guards(spark):
+    full = spark.createDataFrame([("a", "b", "c", "d", "e")], "file_name string, brand_name string, class_type string, alcohol_content string, net_contents string")
+    batch.ensure_checkable(full, full)
+    for rows, texts in ((full.drop("brand_name"), full), (full.limit(0), full), (full, full.limit(0))):
+        with pytest.raises(ValueError):
+            batch.ensure_checkable(rows, texts)
+
+
+def test_names_in_sql(spark):
+    from proofmark.functions import registry
+
+    registry.register(spark)
+    r = spark.sql("select match_score('OLD TOM DISTILLERY', 'OLD TOWN DISTILLERY') as m, round(indel_ratio('abc', 'abd'), 3) as i, sequence_ratio('ab', 'ab') as s").first()
+    assert tuple(r) == (82, 66.667, 1.0)
