@@ -48,7 +48,9 @@ BROKEN = re.compile(r"([^\W\d_][^\W_]*(?:['’][^\W_]+)*)([-‐­¬])\s*$")
 NUMERAL = r"(?:[0-9OoIlS]{1,4}|[ivxlcIVXLC]{1,7})"
 PAGE = re.compile(rf"(?:[Pp]a[gq9][ec]\.?|PA[G6]E|[Pp][gq9]\.?|[Pp]\.)\s*{NUMERAL}(?:\s*(?:/|of|oť|0f|OF)\s*{NUMERAL})?|{NUMERAL}\s*[|/]\s*{NUMERAL}|\[\s*{NUMERAL}\s*\]|[-–—]\s*{NUMERAL}\s*[-–—]")
 BARE = re.compile(r"(?:\d{1,4}|[ivxlc]{1,7})\.?")
-SPLIT = re.compile(r"\s{2,}|\s+[-–—|·]\s+")
+APART = r"(?:\s{2,}|\s+[-–—·]\s+)"
+AHEAD = re.compile(rf"^({PAGE.pattern}|{BARE.pattern}){APART}(\S.*)$")
+BEHIND = re.compile(rf"^(\S.*?){APART}({PAGE.pattern}|{BARE.pattern})$")
 
 NOISE = "row_id bigint, line_no int, noise string"
 
@@ -217,15 +219,9 @@ def page_part(line: str) -> tuple[str | None, str]:
         return None, s
     if PAGE.fullmatch(s) or BARE.fullmatch(s):
         return s, ""
-    parts = SPLIT.split(s)
-    if len(parts) >= 2:
-        for head, rest in ((parts[0], s[len(parts[0]) :]), (parts[-1], s[: -len(parts[-1])])):
-            if PAGE.fullmatch(head) or BARE.fullmatch(head):
-                return head, rest.strip(" -–—|·\t")
-    m = re.match(rf"^(- {NUMERAL} -|\[{NUMERAL}\])\s+(\S.*)$", s) or re.match(rf"^(\S.*?)\s+(- {NUMERAL} -|\[{NUMERAL}\])$", s)
-    if m:
-        number, rest = (m[1], m[2]) if m.re.pattern.startswith("^(-") else (m[2], m[1])
-        return number, rest.strip(" -–—|·")
+    for pattern, number, rest in ((AHEAD, 1, 2), (BEHIND, 2, 1)):
+        if m := pattern.match(s):
+            return m[number], m[rest].strip(" -–—|·\t")
     return None, s
 
 
