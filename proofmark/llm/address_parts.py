@@ -232,6 +232,8 @@ def _stands_before(before: list[str], after: list[str], known: dict[str, int]) -
     name = tail[-2] if len(tail) > 1 and tail[-1] in KIND else tail[-1] if tail else ""
     if len(tail) > 1 and tail[-1] in KIND and (not known or known.get(name, 0) >= known.get(ahead[0] if ahead else "", 0)):
         return True
+    if ahead and ahead[0] in ("SAINT", "MOUNT", "MT", "FORT", "FT") and name and not known.get(ahead[0]):
+        return True  # a town follows the number
     return known.get(name, 0) > known.get(ahead[0] if ahead else "", 0)
 
 

@@ -100,11 +100,13 @@ def mine(parts: DataFrame, part: str, keys: list[list[str]]) -> DataFrame:
         seen = seen.join(counts, "v")
         top = seen.groupBy("key").agg(F.max(F.struct("n", "v")).alias("top"), F.count("*").alias("spellings")).where("spellings > 1")
         pairs.append(seen.join(top, "key").where(F.col("v") != F.col("top.v")).select(F.col("v").alias("old"), F.col("top.v").alias("new"), F.col("n").alias("n_old"), F.col("top.n").alias("n_new"), "in_key"))
-    found = reduce(DataFrame.unionByName, pairs).groupBy("old", "new", "n_old", "n_new").agg(F.least(F.sum("in_key"), F.col("n_old")).alias("n_both"))
+    found = reduce(DataFrame.unionByName, pairs).groupBy("old", "new", "n_old", "n_new").agg(F.sum("in_key").alias("n_both"))
+    # Of the places of a spelling only those count where another one stands beside it.
+    found = found.join(found.groupBy("old").agg(F.sum("n_both").alias("n_places")), "old")
     whole = counts.agg(F.sum("n").cast("double").alias("whole"))
     found = found.where(F.col("n_new") >= 2 * F.col("n_old")).join(F.broadcast(whole))
     d = lambda c: F.col(c).cast("double")
-    found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_old"), d("n_new"), "whole"))
+    found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), "whole"))
     return found.groupBy("old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new")).select(F.lit(part).alias("part"), "old", "new")
 
 
@@ -165,10 +167,12 @@ def located(parts: DataFrame) -> DataFrame:
     """Parts with absent town and state filled: by the ZIP code's majority, then by the only
     state of records with the same number, street and town, then by the town's majority."""
     placed = parts.where("zip is not null and town is not null and state is not null").groupBy("zip", "town", "state").agg(F.count("*").alias("n"))
-    by_zip = placed.groupBy("zip").agg(F.max(F.struct("n", "town", "state")).alias("z")).where("z.n >= 2")
+    by_zip = placed.groupBy("zip").agg(F.max(F.struct("n", "town", "state")).alias("z"))
     df = parts.join(by_zip, "zip", "left")
-    # A ZIP code tells town and state unless the record names another state itself.
-    trust = F.col("z").isNotNull() & (F.col("state").isNull() | (F.col("state") == F.col("z.state")))
+    # A ZIP code tells town and state unless the record names another state itself; one seen with a
+    # single full address is believed only where the towns agree.
+    sure = (F.col("z.n") >= 2) | (F.col("town") == F.col("z.town"))
+    trust = F.coalesce(F.col("z").isNotNull() & sure & (F.col("state").isNull() | (F.col("state") == F.col("z.state"))), F.lit(False))
     df = df.withColumn("town", F.when(trust, F.col("z.town")).otherwise(F.col("town"))).withColumn("state", F.coalesce(F.when(trust, F.col("z.state")), "state")).drop("z")
     same = df.where("state is not null").groupBy("number", "street", "town").agg(F.min("state").alias("s1"), F.max("state").alias("s2")).where("s1 = s2").select("number", "street", "town", F.col("s1").alias("same_state"))
     usual = df.where("state is not null").groupBy("town").agg(F.mode("state").alias("usual_state"))
