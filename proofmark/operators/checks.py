@@ -31,6 +31,11 @@ MARKER = r"(%|ALC\.?\s*/?\s*VOL\.?|ABV|PROOF)"
 MARKER_DETECTED = "Alcohol content marker found, but numeric value was not clearly captured"
 MARKER_NOTE = "OCR detected an alcohol-content marker such as '%', 'ALC/VOL', or 'PROOF', but did not capture a clear numeric value. Manual review or text correction is recommended."
 OVERALL = {"FAIL": "FAIL", "REVIEW": "MANUAL REVIEW RECOMMENDED", "PASS": "PASS"}
+SENTENCES = {
+    "PASS": "PASS — The checked label fields appear to match the application data.",
+    "MANUAL REVIEW RECOMMENDED": "MANUAL REVIEW RECOMMENDED — One or more fields need human review.",
+    "FAIL": "FAIL — One or more required fields were not found or did not match.",
+}
 NO_ISSUES = "No review or failure items found."
 
 #: name, label, least score for PASS and for REVIEW, whether a blank expected value omits the check
