@@ -28,7 +28,15 @@ def lst(values: list) -> str:
 
 def up(x: str) -> str:
     """Upper case with the letters that become two."""
-    return f"upper(replace(replace(replace({x}, 'ß', 'SS'), 'ﬁ', 'FI'), 'ﬂ', 'FL'))"
+    for a, b in (("ß", "SS"), ("ﬀ", "FF"), ("ﬁ", "FI"), ("ﬂ", "FL"), ("ﬃ", "FFI"), ("ﬄ", "FFL")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"upper({x})"
+
+
+def plain_words(x: str) -> str:
+    """Letters beyond ASCII as Q, other signs as ~, so that word borders fall as in Unicode."""
+    s = sub(x, "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]", " ")
+    return sub(sub(s, "[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}]", "~"), "[^\\x00-\\x7F]", "Q")
 
 
 def no_null(x: str) -> str:
@@ -185,7 +193,7 @@ def alcohol_sql() -> str:
     marker = spaced(r"(%|ALC\.?\s*/?\s*VOL\.?|ABV|PROOF)")
     return f"""
     with a as (select row_id, {strip(no_null('alcohol_content'))} as e, {no_null('detected_text')} as t from batch),
-    b as (select row_id, e, t, {up('e')} as ue, {up('t')} as ut from a),
+    b as (select row_id, e, t, {plain_words(up('e'))} as ue, {plain_words(up('t'))} as ut from a),
     v as (select row_id, e, ut, {percents('ue')} as wp0, {proofs('ue')} as wq0, {percents('ut')} as gp0, {proofs('ut')} as gq0 from b),
     o as (select row_id, e, ut, {in_order('wp0')} as wp, {in_order('wq0')} as wq, {in_order('gp0')} as gp, {in_order('gq0')} as gq from v),
     r as (select row_id, e, ut, list_filter(({by_pct}) || ({by_proof}), lambda x: x is not null)[1] as rule,
@@ -204,7 +212,7 @@ def candidates_sql() -> str:
     proof = values("t", [n + r"\s*PROOF\b"], ">= 1", "<= 200")
     sized = spaced(rf"\b({N}{{1,4}}(?:[.,]{N}{{1,2}})?)\s*(ML|M[L1I]|L)\b")
     return f"""
-    with b as (select row_id, {up('detected_text')} as t from batch where detected_text is not null),
+    with b as (select row_id, {plain_words(up('detected_text'))} as t from batch where detected_text is not null),
     m as (select row_id, {number('x')} as v, u from (select row_id, unnest(regexp_extract_all(t, {q(sized)}, 1)) as x, unnest(regexp_extract_all(t, {q(sized)}, 2)) as u from b)),
     s as (select row_id, v, case when u like 'M%' then {usual_ml('v')} end as ml, case when u = 'L' and list_contains({L_SIZES}, round(v, 2)) then round(v, 2) end as l from m),
     a as (select row_id, unnest({abv}) as v from b), p as (select row_id, unnest({proof}) as v from b)
@@ -300,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         "file_names": f"select row_id, stem, array_to_string(list_sort(list_distinct(list_filter(string_split(stem, ' '), lambda w: w <> '' and not list_contains({lst(FILE_WORDS)}, w)))), ' ') as words, extension from (select row_id, {stem} as stem, case when contains({no_null('file_name')}, '.') then lower({strip('string_split(file_name, chr(46))[-1]')}) else '' end as extension from sample_application)",
         "text_previews": f"select row_id, replace(substr({strip(no_null('detected_text'))}, 1, 250), chr(10), ' ') as preview from batch",
         "elapsed_times": "select row_id, case when processing_time_s < 1 then printf('%.2f seconds', processing_time_s) when processing_time_s >= 1 then printf('%.1f seconds', processing_time_s) end as elapsed from batch",
-        "alcohol_values": f"select row_id, array_to_string(list_transform(list_sort(list_distinct({percents('t')})), lambda x: {shown('x')}), ',') as percent, array_to_string(list_transform(list_sort(list_distinct({proofs('t')})), lambda x: {shown('x')}), ',') as proof, {states_alcohol('t')} as stated from (select row_id, {up(no_null('detected_text'))} as t from batch)",
+        "alcohol_values": f"select row_id, array_to_string(list_transform(list_sort(list_distinct({percents('t')})), lambda x: {shown('x')}), ',') as percent, array_to_string(list_transform(list_sort(list_distinct({proofs('t')})), lambda x: {shown('x')}), ',') as proof, {states_alcohol('t')} as stated from (select row_id, {plain_words(up(no_null('detected_text')))} as t from batch)",
         "recognised_numbers": f"select row_id, {number('alcohol_content')} as strength, {usual_ml('v')} as size from (select row_id, alcohol_content, {number('net_contents')} as v from sample_application)",
         "net_contents_normalized": f"select row_id, {net('net_contents')} as net from sample_application",
         "candidate_presence": f"select row_id, n <> '' and contains(t, n) as net_present, a <> '' and contains(t, a) as alcohol_present from (select row_id, {key_of('net_contents')} as n, {key_of('alcohol_content')} as a, {key_of('detected_text')} as t from batch)",
