@@ -23,6 +23,13 @@ def number(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(c), READ, MEANT), "[^0-9.]", "").try_cast("double")
 
 
+def bordered(c: Column) -> Column:
+    """Upper case, marks and zero-width joiners as plain signs: the JVM counts them as parts of
+    words, the word borders meant here don't. Plain ASCII texts pass untouched."""
+    up = F.upper(empty_if_null(c))
+    return F.when(up.rlike(r"[^\x00-\x7F]"), F.regexp_replace(up, r"[\p{M}\x{200c}\x{200d}]", "\u2060")).otherwise(up)
+
+
 def shown(v: Column) -> Column:
     """Whole values without a decimal part, others as they are."""
     return F.when(v == F.floor(v), v.try_cast("bigint").cast("string")).otherwise(v.cast("string"))
@@ -39,14 +46,14 @@ def _values(matches: Column, low: float, high: float, open_low: bool) -> Column:
 
 def percent_values(text: Column) -> Column:
     """Distinct percentages over 0 up to 100: by pattern (sign, word, ALC/VOL or ABV), then place."""
-    up = F.upper(empty_if_null(text))
+    up = bordered(text)
     n = rf"\b({DIGITS}{{1,3}}(?:[.,]{DIGITS}+)?)"
     parts = [found(up, n + r"\s*%"), found(up, n + r"\s*PERCENT\b"), found(up, n + r"\s*%?\s*(?:ALC\.?\s*/?\s*VOL\.?|ABV)\b")]
     return F.array_distinct(_values(F.concat(*parts), 0.0, 100.0, True))
 
 
 def proof_values(text: Column) -> Column:
-    up = F.upper(empty_if_null(text))
+    up = bordered(text)
     return F.array_distinct(_values(found(up, rf"\b({DIGITS}{{1,3}}(?:[.,]{DIGITS}+)?)\s*PROOF\b"), 0.0, 200.0, True))
 
 
@@ -72,7 +79,7 @@ def candidate(field: str, display: Column, value: Column, source: Column) -> Col
 def field_candidates(text: Column, source: Column) -> Column:
     """Structured values a text may state: array of (field, display, value, source), distinct by
     field and display, in order of field, pattern and place."""
-    up = F.upper(empty_if_null(text))
+    up = bordered(text)
     n = rf"\b({DIGITS}{{1,3}}(?:[.,]{DIGITS}{{1,2}})?)"
     abv = _values(F.concat(found(up, n + rf"\s*%?\s*{VOL}\b"), found(up, n + r"\s*(?:%|PERCENT)\b")), 0.5, 95.0, False)
     proof = _values(found(up, n + r"\s*PROOF\b"), 1.0, 200.0, False)
@@ -96,6 +103,6 @@ def field_candidates(text: Column, source: Column) -> Column:
 
 def states_alcohol(text: Column) -> Column:
     """Whether a text already gives an alcohol content (percentage or proof)."""
-    up = F.upper(empty_if_null(text))
+    up = bordered(text)
     n = rf"(?U)\b{DIGITS}{{1,3}}(?:[.,]{DIGITS}{{1,2}})?"
     return up.rlike(n + rf"\s*%?\s*{VOL}\b") | up.rlike(n + r"\s*(?:%|PERCENT)\b") | up.rlike(n + r"\s*PROOF\b")

@@ -47,7 +47,7 @@ def distinct_share(letters: Column) -> Column:
 
 
 def useful_figures(c: Column) -> Column:
-    up = F.upper(c)
+    up = numbers.bordered(c)
     out = up.rlike("(?U)" + USEFUL[0])
     for p in USEFUL[1:]:
         out = out | up.rlike("(?U)" + p)

@@ -36,7 +36,7 @@ def up(x: str) -> str:
 def plain_words(x: str) -> str:
     """Letters beyond ASCII as Q, other signs as ~, so that word borders fall as in Unicode."""
     s = sub(x, "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]", " ")
-    return sub(sub(s, "[^\\x00-\\x7F\\p{L}\\p{M}\\p{N}]", "~"), "[^\\x00-\\x7F]", "Q")
+    return sub(sub(s, "[^\\x00-\\x7F\\p{L}\\p{N}]", "~"), "[^\\x00-\\x7F]", "Q")
 
 
 def no_null(x: str) -> str:

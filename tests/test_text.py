@@ -117,3 +117,9 @@ def test_best_line_earliest_on_ties():
 def test_unicode_strip(spark):
     assert one(spark, " 　x\x1f", text.clean_cell) == "x"
     assert unicodedata.category(" ") == "Zs"
+
+
+def test_borders_are_those_of_words(spark):
+    """Joiners and marks end a word, letters of any alphabet don't."""
+    assert one(spark, "(\u200c47 Proof) 2\u200d3.5% \u0301" + "12%", numbers.proof_values) == [47.0]
+    assert one(spark, "2\u200d3.5% \u044f12% x\u030112%", numbers.percent_values) == [3.5, 12.0]
