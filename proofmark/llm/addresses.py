@@ -86,45 +86,53 @@ def _rewrite_holds(a: pd.Series, b: pd.Series, n_ab: pd.Series, n_a: pd.Series,
     return pd.Series([bool(_alike(*x[:2]) and _significant(*x[2:])) for x in zip(a, b, n_ab, n_a, n_b, n)], dtype=bool)
 
 
-def mine(parts: DataFrame, part: str, keys: list[list[str]]) -> DataFrame:
-    """(part, old, new): rewrites of one part from records that agree on a key and differ in it.
+def _spellings(parts: DataFrame) -> DataFrame:
+    """(part, v, state) of all streets and towns."""
+    both = F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("v"), F.col("state").alias("state")) for p in ("street", "town")])
+    return parts.select(F.explode_outer(both).alias("x")).select("x.*").where(F.col("v").isNotNull())
+
+
+def mine(parts: DataFrame) -> DataFrame:
+    """(part, old, new): rewrites of streets and towns from records that agree elsewhere, that is on
+    one of the keys below, and differ in the part.
 
     Per key only the commonest spelling is paired with the others, from counts that are
     aggregated before the shuffle, so a key with many records costs as many rows as it has
-    spellings, never their pairs."""
-    has = parts.where(F.col(part).isNotNull())
-    counts = has.groupBy(F.col(part).alias("v")).agg(F.count("*").alias("n"))
-    pairs = []
-    for key in keys:
-        seen = has.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in key])).select(F.concat_ws("|", *key).alias("key"), F.col(part).alias("v")).groupBy("key", "v").agg(F.count("*").alias("in_key"))
-        seen = seen.join(counts, "v")
-        top = seen.groupBy("key").agg(F.max(F.struct("n", "v")).alias("top"), F.count("*").alias("spellings")).where("spellings > 1")
-        pairs.append(seen.join(top, "key").where(F.col("v") != F.col("top.v")).select(F.col("v").alias("old"), F.col("top.v").alias("new"), F.col("n").alias("n_old"), F.col("top.n").alias("n_new"), "in_key"))
-    found = reduce(DataFrame.unionByName, pairs).groupBy("old", "new", "n_old", "n_new").agg(F.sum("in_key").alias("n_both"))
+    spellings, never their pairs. All keys go through one pipeline."""
+    keys = [("street", ["number", "zip"]), ("street", ["number", "town", "state"]), ("town", ["zip"]), ("town", ["number", "street", "state"])]
+
+    def keyed(k: int, part: str, names: list[str]) -> Column:
+        known = reduce(Column.__and__, [F.col(n).isNotNull() for n in [*names, part]])
+        return F.when(known, F.struct(F.lit(part).alias("part"), F.concat_ws("|", F.lit(str(k)), *names).alias("key"), F.col(part).alias("v")))
+
+    counts = _spellings(parts).groupBy("part", "v").agg(F.count("*").alias("n"))
+    rows = parts.select(F.explode_outer(F.array(*[keyed(k, *x) for k, x in enumerate(keys)])).alias("x")).where(F.col("x").isNotNull()).select("x.*")
+    seen = rows.groupBy("part", "key", "v").agg(F.count("*").alias("in_key")).join(counts, ["part", "v"])
+    top = seen.groupBy("part", "key").agg(F.max(F.struct("n", "v")).alias("top"), F.count("*").alias("spellings")).where("spellings > 1")
+    pairs = seen.join(top, ["part", "key"]).where(F.col("v") != F.col("top.v"))
+    found = pairs.groupBy("part", F.col("v").alias("old"), F.col("top.v").alias("new")).agg(F.sum("in_key").alias("n_both"), F.first("n").alias("n_old"), F.first("top.n").alias("n_new"))
     # Of the places of a spelling only those count where another one stands beside it.
-    found = found.join(found.groupBy("old").agg(F.sum("n_both").alias("n_places")), "old")
-    whole = counts.agg(F.sum("n").cast("double").alias("whole"))
-    found = found.where(F.col("n_new") >= 2 * F.col("n_old")).join(F.broadcast(whole))
+    found = found.join(found.groupBy("part", "old").agg(F.sum("n_both").alias("n_places")), ["part", "old"])
+    whole = counts.groupBy("part").agg(F.sum("n").cast("double").alias("whole"))
+    found = found.where(F.col("n_new") >= 2 * F.col("n_old")).join(F.broadcast(whole), "part")  # two rows
     d = lambda c: F.col(c).cast("double")
     found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), "whole"))
-    return found.groupBy("old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new")).select(F.lit(part).alias("part"), "old", "new")
+    return found.groupBy("part", "old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new"))
 
 
-def near_known(parts: DataFrame, part: str, state_too: bool) -> DataFrame:
+def near_known(parts: DataFrame) -> DataFrame:
     """(part, old, new) for spellings no record agrees on: a rare one with exactly one common
-    spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to 60 letters); for towns
-    the records' own state must be the common town's, if they tell one."""
-    counts = parts.where(F.col(part).isNotNull()).groupBy(F.col(part).alias("v")).agg(F.count("*").alias("n"), F.mode("state").alias("state"))
+    spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to
+    60 letters); for towns the records' own state must be the common town's, if they tell one."""
+    counts = _spellings(parts).groupBy("part", "v").agg(F.count("*").alias("n"), F.mode("state").alias("state"))
     keyed = counts.where(F.length("v").between(6, 60)).withColumn("d", F.explode_outer(_deleted("v")))
-    rare = keyed.select(F.col("v").alias("old"), F.col("n").alias("n_old"), F.col("state").alias("s_old"), "d")
-    common = keyed.where("n >= 5").select(F.col("v").alias("new"), F.col("n").alias("n_new"), F.col("state").alias("s_new"), "d")
-    met = rare.join(common, "d").where((F.col("old") != F.col("new")) & (F.col("n_new") >= 10 * F.col("n_old")))
-    if state_too:
-        met = met.where(F.col("s_old").isNull() | (F.col("s_old") == F.col("s_new")))
-    met = met.select("old", "new", "n_new").distinct().withColumn("edits", _edits("old", "new")).where("edits <= 2")
-    best = met.groupBy("old").agg(F.min("edits").alias("edits"))
-    met = met.join(best, ["old", "edits"]).groupBy("old").agg(F.count("*").alias("k"), F.min("new").alias("new")).where("k = 1")
-    return met.select(F.lit(part).alias("part"), "old", "new")
+    rare = keyed.select("part", F.col("v").alias("old"), F.col("n").alias("n_old"), F.col("state").alias("s_old"), "d")
+    common = keyed.where("n >= 5").select("part", F.col("v").alias("new"), F.col("n").alias("n_new"), F.col("state").alias("s_new"), "d")
+    met = rare.join(common, ["part", "d"]).where((F.col("old") != F.col("new")) & (F.col("n_new") >= 10 * F.col("n_old")))
+    met = met.where((F.col("part") == "street") | F.col("s_old").isNull() | (F.col("s_old") == F.col("s_new")))
+    met = met.select("part", "old", "new").distinct().withColumn("edits", _edits("old", "new")).where("edits <= 2")
+    nearest = met.groupBy("part", "old", "edits").agg(F.count("*").alias("k"), F.min("new").alias("new"))
+    return nearest.groupBy("part", "old").agg(F.min(F.struct("edits", "k", "new")).alias("m")).where("m.k = 1").select("part", "old", "m.new")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -151,10 +159,9 @@ def normalised_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = checkpointed(read_parts(address_records(rows)))
     log: list[DataFrame] = []
     for n in range(1, MAX_ROUNDS + 1):
-        new = mine(parts, "street", [["number", "zip"], ["number", "town", "state"]]).unionByName(mine(parts, "town", [["zip"], ["number", "street", "state"]]))
-        new = checkpointed(new.withColumn("round", F.lit(n)))
+        new = checkpointed(mine(parts).withColumn("round", F.lit(n)))
         if new.isEmpty():
-            new = checkpointed(near_known(parts, "street", False).unionByName(near_known(parts, "town", True)).withColumn("round", F.lit(n)))
+            new = checkpointed(near_known(parts).withColumn("round", F.lit(n)))
             if new.isEmpty():
                 break
         log.append(new)
