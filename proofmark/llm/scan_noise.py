@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 
 from proofmark.llm.canonical import distance
 from proofmark.llm.confusables import consistent
-from proofmark.runtime import spread
+from proofmark.runtime import checkpointed, fits, spread
 
 #: Words and pairs known to the model: at least this share of all, so 1 / share of each at most.
 KNOWN_SHARE = 2e-6
 LEAST_COUNT = 3
 #: Probability that a character is read as another one, spread over the confusions.
 ERROR = 0.002
-#: Times as common as a known word a candidate must be to make it a suspect.
+#: Times as common as the word read a candidate must be; words with digits among letters need it only be commoner.
 COMMONER = 10
+#: Words below the known share that are sent to the readers too; more are joined to the rows that ask for them.
+RARE_ROWS = 200_000
+#: Longer strings seen a few times are no words that another one could be meant for.
+LONGEST_WORD = 100
 # What is read for what is meant, as one table (read, meant).
 CONFUSIONS = [
     ("0", "o"), ("1", "i"), ("1", "l"), ("5", "s"), ("6", "b"), ("6", "g"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("|", "l"), ("|", "i"), ("!", "i"), ("!", "l"), ("$", "s"), ("@", "a"), ("+", "t"),
@@ -95,12 +99,40 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Times that a word counts as seen though it isn't known.
+UNSEEN = 0.01
+
+
+def is_mixed(w: str) -> bool:
+    """Whether a word has digits or signs among its letters."""
+    return re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@+]", w) is not None
+
+
+def chains(w: str, levels: int) -> Iterator[dict[str, float]]:
+    """What one confusion, two and so on may have made w of, with the log channel probability."""
+    level = {w: 0.0}
+    for _ in range(levels):
+        nxt: dict[str, float] = {}
+        for s, p in level.items():
+            for i in range(len(s)):
+                for k in range(1, LONGEST + 1):
+                    for m in MEANT.get(s[i : i + k], ()) if len(s) - i >= k else ():
+                        v = s[:i] + m + s[i + k :]
+                        q = p + math.log(ERROR)
+                        if v != w and (v not in nxt or nxt[v] < q):
+                            nxt[v] = q
+        yield nxt
+        level = nxt if len(nxt) < 4000 else {}
+
+
 class Model:
     """Known words, pairs and the reader that corrects lines."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, rare: dict[str, int] | None = None, longest: int | None = None):
         self.words, self.pairs, self.total = words, pairs, max(1, total)
-        self.longest = max(map(len, words), default=0) + 4  # no confusion chain shortens a word by more
+        self.counts = words | (rare or {})  # of words below the known share too
+        self.longest = (max(map(len, self.counts), default=0) if longest is None else longest) + 4  # no confusion chain shortens a word by more
+        self.asked: set[str] | None = None  # where set: what is looked up though not known
         self.options: dict[str, list[tuple[str, float]]] = {}
         self.suspects: set[str] = set()  # known words that may be frequent slips of commoner ones
         self.clean: set[str] = set()  # words that can only be meant as they stand
@@ -110,31 +142,23 @@ class Model:
         confusion leads to, two in a word that is not known, three where it has digits among its
         letters; such a word is not itself a candidate where it has others, however often it is
         read so. A known word with a much commoner candidate is a suspect."""
+        if self.asked is not None and w not in self.words:
+            self.asked.add(w)
         if w in self.options:
             return self.options[w]
         if len(w) > self.longest:
             return [(w, 0.0)]
-        count = self.words.get(w, 0)
-        mixed = re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@+]", w) is not None
+        mixed = is_mixed(w)
+        least = self.counts.get(w, 1) * (1 if mixed else COMMONER)
         found: dict[str, float] = {}
-        level = {w: 0.0}
-        for _ in range(3 if mixed else 1 if count else 2):
-            nxt: dict[str, float] = {}
-            for s, p in level.items():
-                for i in range(len(s)):
-                    for k in range(1, LONGEST + 1):
-                        for m in MEANT.get(s[i : i + k], ()) if len(s) - i >= k else ():
-                            v = s[:i] + m + s[i + k :]
-                            q = p + math.log(ERROR)
-                            if v != w and (v not in nxt or nxt[v] < q):
-                                nxt[v] = q
+        for nxt in chains(w, 3 if mixed else 1 if w in self.words else 2):
             for v, q in nxt.items():
-                n = self.words.get(v, 0)
-                if n > (count if mixed else COMMONER * count) and n >= 20 and len(v) > 1 and v.replace("-", "").replace("'", "").isalpha():
-                    found[v] = max(found.get(v, -99.0), q)
+                n = self.counts.get(v, 0)
+                if n > least and len(v) > 1 and v.replace("-", "").replace("'", "").isalpha():
+                    # Below the known share a word has no likelihood but as a candidate: its own is added here.
+                    found[v] = q if v in self.words else q + math.log((n + UNSEEN) / UNSEEN)
             if found:
                 break
-            level = nxt if len(nxt) < 4000 else {}
         out = list(found.items())
         if not (mixed and out):
             out.append((w, 0.0))
@@ -148,7 +172,7 @@ class Model:
         """Log probability of a word after another one. Pairs with a suspect aren't heard: where a
         slip is frequent its own neighbours would speak for it."""
         n = self.words.get(w, 0)
-        uni = (n + 0.01) / (self.total + 1)
+        uni = (n + UNSEEN) / (self.total + 1)
         b = self.words.get(before, 0) if before else 0
         pair = self.pairs.get((before, w), 0) / b if b and w not in self.suspects and before not in self.suspects else 0.0
         return math.log(0.7 * min(1.0, pair) + 0.3 * uni)
@@ -174,7 +198,9 @@ class Model:
 
     def is_division(self, a: str, b: str, mark: str) -> bool:
         """Whether a and b are one word divided at the line end rather than a compound."""
-        joined, compound = self.words.get(a + b, 0), self.words.get(f"{a}-{b}", 0)
+        if self.asked is not None:
+            self.asked.update({a + b, f"{a}-{b}", a, b} - self.words.keys())
+        joined, compound = self.counts.get(a + b, 0), self.counts.get(f"{a}-{b}", 0)
         if joined or compound:
             return joined >= compound
         if mark != "-":
@@ -182,25 +208,31 @@ class Model:
         meant = self.candidates(a + b)
         if meant[0][0] != a + b:
             return True
-        whole_a, whole_b = self.words.get(a, 0), self.words.get(b, 0)
+        whole_a, whole_b = self.counts.get(a, 0), self.counts.get(b, 0)
         return not (whole_a >= 5 and whole_b >= 5)
 
 
-def learn(texts: DataFrame) -> Model:
-    """The model over all texts (one string column). What is known is a fixed share of all
-    words, so the size that is broadcast is bounded however large the corpus is."""
+def learn(texts: DataFrame) -> tuple[Model, DataFrame | None]:
+    """The model over all texts (one string column). What is known is a fixed share of all words,
+    so the size that is broadcast is bounded however large the corpus is. Rarer words seen twice at
+    least go with it where they are few; else they are a table (a, n) that is joined to the rows."""
     counts = spread(texts).mapInArrow(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= LEAST_COUNT)
+    n, single = F.col("n"), F.col("b").isNull()
+    counts = counts.where((n >= LEAST_COUNT) | (single & (n >= 2)))
     counts = counts.persist()
     try:
-        total = counts.where("b is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+        sums = F.coalesce(F.sum(F.when(n >= LEAST_COUNT, n)), F.lit(0)).alias("total"), F.max(F.when(F.length("a") <= LONGEST_WORD, F.length("a"))).alias("longest")
+        total, longest = counts.where(single).agg(*sums).collect()[0]
         least = max(LEAST_COUNT, math.ceil(KNOWN_SHARE * total))
-        rows = counts.where(F.col("n") >= least).collect()
+        rows = counts.where(n >= least).collect()
+        rare = counts.where(single & (n < least)).select("a", "n")
+        table = None if fits(rare, RARE_ROWS) else checkpointed(rare)
+        few = {r["a"]: r["n"] for r in rare.collect()} if table is None else {}
     finally:
         counts.unpersist()
     words = {r["a"]: r["n"] for r in rows if r["b"] is None}
     pairs = {(r["a"], r["b"]): r["n"] for r in rows if r["b"] is not None}
-    return Model(words, pairs, total)
+    return Model(words, pairs, total, few, max(longest or 0, max(map(len, words), default=0))), table
 
 
 # ---------------------------------------------------------------- lines
@@ -513,13 +545,52 @@ def _texts(batch: DataFrame) -> DataFrame:
     return batch.select(F.coalesce("detected_text", "ocr_text_preview").alias("text")).where(F.col("text").isNotNull())
 
 
-def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: object, repair: bool) -> DataFrame:
-    shared = batch.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total))
+def _with_rare(rows: DataFrame, shared: object, rare: DataFrame) -> DataFrame:
+    """Rows with the counts of the rare words that reading them may ask for, as a map: the words
+    looked up in vain are written down per row, what confusions may have made them of is
+    found once per word, and both meet the full counts in equality joins."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for b in batches:
+            ids, words = [], []
+            for row_id, text, preview in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                own.asked = set()
+                own.clean.clear()  # its words would not be asked for again
+                if text is not None:
+                    examine(own, text, False)
+                elif preview is not None:
+                    examine_preview(own, preview)
+                ids += [row_id] * len(own.asked)
+                words += own.asked
+            yield pa.RecordBatch.from_pydict({"row_id": pa.array(ids, pa.int64()), "w": pa.array(words, pa.string())})
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longest = shared.value[4] + 4
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                found = {w}.union(*chains(w, 3 if is_mixed(w) else 2)) if len(w) <= longest else {w}
+                yield pa.RecordBatch.from_pydict({"w": [w] * len(found), "a": list(found)}, schema=pa.schema([("w", pa.string()), ("a", pa.string())]))
+
+    asked = checkpointed(spread(rows).mapInArrow(ask, "row_id bigint, w string"))
+    needed = spread(asked.select("w").distinct()).mapInArrow(reach, "w string, a string").join(rare, "a")
+    own = asked.join(needed, "w").select("row_id", "a", "n").distinct().groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("a", "n"))).alias("rare"))
+    return rows.join(own.withColumnRenamed("row_id", "_id"), F.col("row_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+def _pass(batch: DataFrame, learned: tuple[Model, DataFrame | None], ddl: str, schema: pa.Schema, emit: object, repair: bool) -> DataFrame:
+    model, table = learned
+    few = {w: n for w, n in model.counts.items() if w not in model.words}
+    shared = batch.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, few, model.longest - 4))
+    rows = batch.select("row_id", "detected_text", "ocr_text_preview")
+    rows = rows if table is None else _with_rare(rows, shared, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for b in batches:
             out: list[list] = [[] for _ in schema]
+            for found in b.column(3).to_pylist() if b.num_columns > 3 else ():
+                own.counts.update(found or ())
             for row_id, text, preview in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if text is not None:
                     noise, clean = examine(own, text, repair)
@@ -532,7 +603,7 @@ def _pass(batch: DataFrame, model: Model, ddl: str, schema: pa.Schema, emit: obj
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
-    return spread(batch.select("row_id", "detected_text", "ocr_text_preview")).mapInArrow(run, ddl)
+    return spread(rows).mapInArrow(run, ddl)
 
 
 def noisy_lines(batch: DataFrame) -> DataFrame:

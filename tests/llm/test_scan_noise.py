@@ -87,3 +87,17 @@ def test_rows(spark):
     fixed = {r["row_id"]: r["repaired_text"] for r in s.repaired(df).collect()}
     assert fixed[100] == fixed[1] and fixed[103] == "" and 102 not in fixed
     assert s.noisy_lines(df.limit(0)).count() == 0
+
+
+def test_a_rare_word_is_meant_by_a_misread(spark, monkeypatch):
+    m = s.Model({"quiet": 500}, {}, 20_000, {"hoxlefield": 3})
+    assert m.candidates("h0xlefield")[0][0] == "hoxlefield" and m.candidates("hoxlefleld") == [("hoxlefleld", 0.0)]
+    assert s.Model({"hoxlefield": 11}, {}, 20_000).read(["hoxlefleld"]) == ["hoxlefield"]
+    # below the known share, sent to the readers or joined: the same rows
+    monkeypatch.setattr(s, "KNOWN_SHARE", 0.05)
+    data = [(i, "quiet quiet", None) for i in range(300)] + [(1000 + i, "Hoxlefield", None) for i in range(12)] + [(2000, "quiet\nH0XLEFIELD", None), (None, "hoxlefleld", None), (2001, None, "h0xlefield"), (2002, "hoxle-\nfie1d", None)]
+    df = spark.createDataFrame(data, "row_id long, detected_text string, ocr_text_preview string")
+    want = [(None, 1, "misread"), (2000, 2, "misread"), (2001, 1, "misread"), (2002, 1, "hyphenation"), (2002, 2, "misread")]
+    for few in (s.RARE_ROWS, 0):
+        monkeypatch.setattr(s, "RARE_ROWS", few)
+        assert sorted(map(tuple, s.noisy_lines(df).collect()), key=str) == sorted(want, key=str)
