@@ -5,7 +5,7 @@ compared with its predecessor in the feed; the difference becomes migration step
 removed, renamed, retyped. Whether a field that vanished and one that appeared are the same
 (a rename) is told by content: over the whole corpus each field name has a profile of value
 shapes and words, and a pair is a rename where the profiles agree. Chained renames lead every
-name to one column of the consistent table.
+name of a feed, in the files where it holds, to one column of the consistent table.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import json
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proofmark.runtime import checkpointed, fits, tasks
@@ -112,6 +113,29 @@ def as_text(v: object) -> str:
     return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
 
 
+def flat(v: object) -> str:
+    """A list or object as plain text: its texts in their order, or its other values if it has none."""
+    parts: list[object] = []
+    todo = [v]
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, (list, dict)):
+            todo = [*(x.values() if isinstance(x, dict) else x), *todo]
+        elif not blank(x):
+            parts.append(x)
+    texts = [x for x in parts if isinstance(x, str)]
+    return ", ".join(texts or map(as_text, parts))
+
+
+def as_read(v: object, is_csv: bool) -> tuple[str | None, str | None, str | None]:
+    """(value as text, its kind, its text if it were cast to text) of a cell."""
+    if blank(v):
+        return None, None, None
+    kind = csv_kind(v) if is_csv and isinstance(v, str) else json_kind(v)
+    inner = json.loads(v) if isinstance(v, str) and kind in ("list", "object") else v
+    return as_text(v), kind, (flat(inner) or None) if kind in ("list", "object") else as_text(v)
+
+
 def features(v: object) -> set[str]:
     """Words and the shape of a value; lists and objects by their parts."""
     if isinstance(v, dict):
@@ -125,7 +149,7 @@ def features(v: object) -> set[str]:
 
 
 FIELD_SCHEMA = "file_id bigint, feed string, file_no int, name string, key string, kind string, place int, features array<string>"
-RECORD_SCHEMA = "file_id bigint, feed string, file_no int, record_no int, key string, value string"
+RECORD_SCHEMA = "file_id bigint, feed string, file_no int, record_no int, place int, key string, value string, kind string, plain string"
 
 
 def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,14 +171,14 @@ def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("file_id", "feed", "file_no", "record_no", "key", "value")}
+        out: dict[str, list] = {k: [] for k in ("file_id", "feed", "file_no", "record_no", "place", "key", "value", "kind", "plain")}
         for r in b.to_pylist():
             for i, record in enumerate(read_file(r["content"], r["file_format"]), 1):
-                for n, v in record:
+                for place, (n, v) in enumerate(record):
                     if field_key(n):
-                        for k, x in zip(out, (r["file_id"], r["feed"], r["file_no"], i, field_key(n), None if blank(v) else as_text(v))):
+                        for k, x in zip(out, (r["file_id"], r["feed"], r["file_no"], i, place, field_key(n), *as_read(v, (r["file_format"] or "").lower() != "json"))):
                             out[k].append(x)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("file_id", pa.int64()), ("feed", pa.string()), ("file_no", pa.int32()), ("record_no", pa.int32()), ("key", pa.string()), ("value", pa.string())]))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("file_id", pa.int64()), ("feed", pa.string()), ("file_no", pa.int32()), ("record_no", pa.int32()), ("place", pa.int32()), ("key", pa.string()), ("value", pa.string()), ("kind", pa.string()), ("plain", pa.string())]))
 
 
 def first_deliveries(files: DataFrame) -> DataFrame:
@@ -238,45 +262,90 @@ def fingerprints(fields: DataFrame) -> DataFrame:
     return fields.groupBy("file_id", "feed", "file_no").agg(F.array_join(parts, ",").alias("schema")).withColumn("fingerprint", F.xxhash64("schema"))
 
 
-def migration_steps(changes: DataFrame, fields: DataFrame) -> dict[str, str]:
-    """key -> column of the consistent table, by following rename chains. Links are between
-    field names, so there are few; their number is checked before they are collected."""
-    links = changes.where("change_kind = 'renamed'").groupBy("old_field", "field").count()
-    names = fields.groupBy("key").agg(F.mode("name").alias("name"), F.count("*").alias("n"))
-    if not (fits(links, NAMES) and fits(names, NAMES)):
-        raise ValueError(f"more than {NAMES} field names or renames: not one schema that drifts")
+def _bound(links: pd.DataFrame) -> pd.DataFrame:
+    """What each name of a feed stands for over its files, by following the feed's renames in order:
+    a name takes the line of names of the one it replaces from that file on."""
+    links = links.sort_values(["file_no", "old_key", "key"])
+    lines: dict[str, list[str]] = {}  # first name -> all names the field has had
+    spans: dict[str, list[tuple[int, str]]] = {}  # name -> (from file, line)
+    for n, same in links.groupby("file_no", sort=True):
+        now = {}
+        for old, new in zip(same["old_key"], same["key"]):
+            now[new] = spans.setdefault(old, [(0, old)])[-1][1]
+            lines.setdefault(now[new], [now[new]]).append(new)
+        for new, line in now.items():
+            if spans.setdefault(new, [(0, new)])[-1][1] != line:
+                spans[new].append((int(n), line))
+    rows = []
+    for key, at in spans.items():
+        for (since, line), (until, _) in zip(at, [*at[1:], (2**31 - 1, "")]):
+            rows.append((links["feed"].iloc[0], key, since, until, sorted(set(lines.get(line, [line])))))
+    return pd.DataFrame(rows, columns=["feed", "key", "since", "until", "names"])
+
+
+def migration_steps(changes: DataFrame, fields: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(steps, usual). steps: (feed, key, since, until, column): the column of a name in the files of
+    one feed from number `since` to before `until`, by the feed's own chain of renames. usual: key ->
+    column for names that their feed never renames, and for chains without a column's own name: the
+    column that the chains of other feeds lead to, if they lead to one only. Names are few; their
+    number is checked before they are collected."""
+    links = changes.where("change_kind = 'renamed'").select("feed", "file_no", _key(F.col("old_field")).alias("old_key"), _key(F.col("field")).alias("key"))
+    names = fields.groupBy("key").agg(F.mode("name", True).alias("name"), F.count("*").alias("n"))
+    bound = checkpointed(links.groupBy("feed").applyInPandas(_bound, "feed string, key string, since int, until int, names array<string>"))
+    if not fits(names, NAMES):
+        raise ValueError(f"more than {NAMES} field names: not one schema that drifts")
     count = {r["key"]: (r["n"], r["name"]) for r in names.collect()}
-    parent = {k: k for k in count}
-
-    def root(k: str) -> str:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    for r in links.collect():
-        a, b = field_key(r["old_field"]), field_key(r["field"])
-        if a in parent and b in parent and root(a) != root(b):
-            parent[root(a)] = root(b)
-    groups: dict[str, list[str]] = {}
-    for k in count:
-        groups.setdefault(root(k), []).append(k)
-    target = {}
-    for members in groups.values():
-        known = [c for c in CANONICAL if field_key(c) in members]
-        name = known[0] if known else max((count[m] for m in members))[1]
-        target |= {m: name for m in members}
-    return target
-
-
-def consistent_table(files: DataFrame, target: dict[str, str]) -> DataFrame:
+    known = {field_key(c): c for c in CANONICAL}
+    column = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    # At most a row for each name and canonical column.
+    own = F.array_sort(F.filter(F.transform("names", lambda k: column[k]), lambda c: c.isNotNull()))
+    led = bound.select(F.explode("names").alias("key"), F.get(own, F.lit(0)).alias("column")).where("column is not null").groupBy("key").agg(F.min("column").alias("column"), F.max("column").alias("other")).where("column = other").collect()
+    lead = {r["key"]: r["column"] for r in led} | known
+
+    def column_of(keys: list[str]) -> str:
+        own = sorted({known[k] for k in keys if k in known}) or sorted({lead[k] for k in keys if k in lead})
+        return own[0] if len(own) == 1 else max(count.get(k, (0, k)) for k in keys)[1]
+
+    steps = bound.select("feed", "key", "since", "until", F.udf(lambda names: column_of(names), "string")("names").alias("column"))
+    return steps, {k: column_of([k]) for k in count}
+
+
+def _key(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+
+
+def cast(column: Column, kind: Column, plain: Column) -> Column:
+    """A value as its canonical column has it, all of which are text: lists and objects by their
+    texts, yes and no in words, bare figures with the unit of the column."""
+    figure = F.regexp_replace(plain, r"\.0+$", "")
+    return (
+        F.when((column == "warning_required") & (kind == "boolean"), F.when(F.lower(F.trim(plain)) == "true", "required").otherwise("not required"))
+        .when((column == "net_contents") & (kind == "number"), F.concat(figure, F.lit(" ML")))
+        .when((column == "alcohol_content") & (kind == "number"), F.concat(figure, F.lit("% ALC/VOL")))
+        .otherwise(plain)
+    )
+
+
+def consistent_table(files: DataFrame, usual: dict[str, str], steps: DataFrame | None = None) -> DataFrame:
     """All records of all files in one table: the canonical columns as text (null where a file
-    lacks the field: the default) and the other fields in a map."""
+    lacks the field: the default) and the other fields, uncast, in a map. Every value goes by the
+    step of its feed and file, else by the usual column of its name. Where a record has several
+    values for one column, the one under the column's own name, else the first, is in it; the
+    others stay apart in the map as `column.name`."""
     cols = ["file_id", "feed", F.col("file_no").cast("int").alias("file_no"), "file_format", "content"]
     cells = first_deliveries(files).select(*cols).repartition(tasks(files.sparkSession), "feed", "file_no").mapInArrow(_records, RECORD_SCHEMA)
-    to = F.create_map(*[F.lit(x) for kv in target.items() for x in kv]) if target else F.create_map().cast("map<string,string>")
-    cells = cells.withColumn("column", F.coalesce(to[F.col("key")], F.col("key")))
+    to = F.create_map(*[F.lit(x) for kv in usual.items() for x in kv]) if usual else F.create_map().cast("map<string,string>")
+    step = F.lit(None).cast("string")
+    if steps is not None:
+        s = steps.select(F.col("feed").alias("_f"), F.col("key").alias("_k"), "since", "until", F.col("column").alias("_c"))
+        cells = cells.join(s, (F.col("feed") == F.col("_f")) & (F.col("key") == F.col("_k")) & (F.col("file_no") >= F.col("since")) & (F.col("file_no") < F.col("until")), "left")
+        step = F.col("_c")
+    cells = cells.withColumn("column", F.coalesce(step, to[F.col("key")], F.col("key")))
+    cells = cells.withColumn("value", F.when(F.col("column").isin(CANONICAL), cast(F.col("column"), F.col("kind"), F.col("plain"))).otherwise(F.col("value")))
+    record = ["file_id", "feed", "file_no", "record_no"]
+    seen = F.array_sort(F.collect_list(F.struct((_key(F.col("column")) != F.col("key")).alias("strange"), "place", "key", "value")))
+    apart = F.transform("seen", lambda x, i: F.struct(F.when(i == 0, F.col("column")).when(i == 1, F.concat_ws(".", "column", x["key"])).otherwise(F.concat(F.col("column"), F.lit("."), x["key"], F.lit("#"), i.cast("string"))).alias("column"), x["value"].alias("value")))
+    one = cells.groupBy(*record, "column").agg(seen.alias("seen")).select(*record, F.inline(apart))
     at = lambda c: F.max(F.when(F.col("column") == c, F.col("value"))).alias(c)
     rest = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("column").isin(CANONICAL) & F.col("value").isNotNull(), F.struct("column", "value")))))
-    one = cells.groupBy("file_id", "feed", "file_no", "record_no", "column").agg(F.max("value").alias("value"))
-    return one.groupBy("file_id", "feed", "file_no", "record_no").agg(*[at(c) for c in CANONICAL], rest.alias("other_fields"))
+    return one.groupBy(*record).agg(*[at(c) for c in CANONICAL], rest.alias("other_fields"))

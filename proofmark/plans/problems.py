@@ -54,7 +54,8 @@ def p6_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     files = load(spark, d, "imports_application")
     fields = checkpointed(drift.field_table(files))
-    table = drift.consistent_table(files, drift.migration_steps(checkpointed(drift.schema_changes(fields)), fields))
+    steps, usual = drift.migration_steps(drift.schema_changes(fields), fields)
+    table = drift.consistent_table(files, usual, steps)
     return table.withColumn("other_fields", F.to_json("other_fields"))
 
 

@@ -210,6 +210,26 @@ def test_consistent_table(spark):
     assert got == [(1, 1, "A", {"x": "1"}), (1, 2, None, {"x": "2"}), (2, 1, "B", {"y": '{"z": 1}'})]
 
 
+def test_table_by_feed_and_version(spark):
+    steps = [("f", 2, "brandname", "label"), ("f", 5, "x", "label"), ("g", 2, "classtype", "label"), ("h", 2, "brandname", "marque")]
+    changes = spark.createDataFrame([(1, f, n, "renamed", new, old) for f, n, old, new in steps], "file_id long, feed string, file_no int, change_kind string, field string, old_field string")
+    files = [
+        (1, "f", 1, "csv", "brand_name,x\nA,1"),
+        (2, "f", 2, "csv", "label,x\nB,2"),
+        (3, "f", 5, "csv", "label\n3"),  # another field under the name
+        (4, "g", 2, "csv", "label\nGIN"),  # another feed's meaning
+        (5, "i", 1, "json", '[{"marque": ["M", "N"], "Brand Name": "L", "net_contents": 750.0, "alcohol_content": 45.5, "warning_required": false, "name_address": {"name": "P", "address": "Q"}}]'),
+        (6, "j", 1, "csv", "label,marque\nZ,O"),
+    ]
+    fields = drift.field_table(drifting(spark, files))
+    found, usual = drift.migration_steps(changes, fields)
+    got = {r["file_id"]: r for r in drift.consistent_table(drifting(spark, files), usual, found).collect()}
+    assert (got[1]["brand_name"], got[2]["brand_name"], got[3]["brand_name"], got[4]["brand_name"], got[6]["brand_name"]) == ("A", "B", None, None, "O")
+    assert got[2]["other_fields"] == {"label": "2"} and got[3]["other_fields"] == {"label": "3"} and got[4]["class_type"] == "GIN" and got[6]["other_fields"] == {"label": "Z"}
+    assert (got[5]["brand_name"], got[5]["other_fields"]) == ("L", {"brand_name.marque": "M, N"})
+    assert (got[5]["net_contents"], got[5]["alcohol_content"], got[5]["warning_required"], got[5]["name_address"]) == ("750 ML", "45.5% ALC/VOL", "not required", "P, Q")
+
+
 def test_hot_feed_has_no_window(spark):
     fields = drift.field_table(drifting(spark, [(1, "f", 1, "csv", "a\n1")]))
     plan = drift.predecessors(fields)._jdf.queryExecution().optimizedPlan().toString()
