@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +29,8 @@ PARTS = ["number", "direction", "street", "kind", "town", "state", "zip"]
 KNOWN_SHARE = 5e-5
 #: Log-likelihood ratio of a pair (chi-square, one degree: p < 0.01).
 SIGNIFICANT = 6.63
+#: Spellings of one key up to which all are paired; more are paired by blocks.
+FEW = 12
 MAX_ROUNDS = 10
 
 
@@ -96,9 +99,10 @@ def mine(parts: DataFrame) -> DataFrame:
     """(part, old, new): rewrites of streets and towns from records that agree elsewhere, that is on
     one of the keys below, and differ in the part.
 
-    Per key only the commonest spelling is paired with the others, from counts that are
-    aggregated before the shuffle, so a key with many records costs as many rows as it has
-    spellings, never their pairs. All keys go through one pipeline."""
+    Within a key every spelling is paired with the commoner ones, from counts that are aggregated
+    before the shuffle: where there are few spellings with each, else with those it shares a block
+    with, which all that are alike do. So a key with many records costs as many rows as it has
+    blocks, never all pairs of its spellings. All keys go through one pipeline."""
     keys = [("street", ["number", "zip"]), ("street", ["number", "town", "state"]), ("town", ["zip"]), ("town", ["number", "street", "state"])]
 
     def keyed(k: int, part: str, names: list[str]) -> Column:
@@ -109,17 +113,46 @@ def mine(parts: DataFrame) -> DataFrame:
     rows = parts.select(F.explode_outer(F.array(*[keyed(k, *x) for k, x in enumerate(keys)])).alias("x")).where(F.col("x").isNotNull()).select("x.*")
     seen = rows.groupBy("part", "key", "v").agg(F.count("*").alias("in_key")).join(counts, ["part", "v"])
     top = seen.groupBy("part", "key").agg(F.max(F.struct("n", "v")).alias("top"), F.count("*").alias("spellings")).where("spellings > 1")
-    pairs = seen.join(top, ["part", "key"]).where(F.col("v") != F.col("top.v"))
-    found = pairs.groupBy("part", F.col("v").alias("old"), F.col("top.v").alias("new")).agg(F.sum("in_key").alias("n_both"), F.first("n").alias("n_old"), F.first("top.n").alias("n_new"))
-    # Of the places of a spelling only those count where another one stands beside it.
-    found = found.join(found.groupBy("part", "old").agg(F.sum("n_both").alias("n_places")), ["part", "old"])
+    seen = checkpointed(seen.join(top, ["part", "key"]))
+    few = seen.where(F.col("spellings") <= FEW)
+    many = seen.where(F.col("spellings") > FEW).withColumn("block", F.explode(_blocks("v")))
+    pairs = _commoner(few, ["part", "key"]).unionByName(_commoner(many, ["part", "key", "block"]).distinct())
+    found = pairs.groupBy("part", "old", "new").agg(F.sum("in_key").alias("n_both"), F.first("n_old").alias("n_old"), F.first("n_new").alias("n_new"))
+    # Of the places of a spelling only those count where a commoner one stands beside it.
+    places = seen.where(F.col("v") != F.col("top.v")).groupBy("part", F.col("v").alias("old")).agg(F.sum("in_key").alias("n_places"))
+    found = found.join(places, ["part", "old"])
     whole = counts.groupBy("part").agg(F.sum("n").cast("double").alias("whole"))
-    found = found.where(F.col("n_new") >= 2 * F.col("n_old")).join(F.broadcast(whole), "part")  # two rows
+    found = found.join(F.broadcast(whole), "part")  # two rows
     d = lambda c: F.col(c).cast("double")
     found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), "whole"))
     return found.groupBy("part", "old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new"))
 
 
+def _commoner(seen: DataFrame, on: list[str]) -> DataFrame:
+    """(part, key, old, new, in_key, n_old, n_new): spellings of a key with the commoner ones."""
+    other = seen.select(*on, F.col("v").alias("new"), F.col("n").alias("n_new"))
+    pairs = seen.withColumnsRenamed({"v": "old", "n": "n_old"}).join(other, on)
+    return pairs.where((F.col("n_new") > F.col("n_old")) | ((F.col("n_new") == F.col("n_old")) & (F.col("new") > F.col("old")))).select("part", "key", "old", "new", "in_key", "n_old", "n_new")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _blocks(v: pd.Series) -> pd.Series:
+    """Of two spellings that are alike at least one block is the same."""
+    return v.map(lambda s: sorted(blocks(s)))
+
+
+def blocks(s: str) -> set[str]:
+    """What is left where letters are left out (of long ones stretches, one of which two slips
+    leave alone), three letters that an abbreviation of the first word keeps, the name behind SAINT."""
+    x, w = s.replace(" ", ""), s.split(" ")[0]
+    if len(x) > 60:
+        slips = {x[:20], x[-20:], *(x[k : k + 10] for k in range(28, 33))}
+    else:
+        slips = set(deletions(x, 2 if len(x) >= 5 else 1))
+    kept = {w[0] + p + q + "*" for p, q in combinations(w[1:60], 2)} if len(w) > 2 else {w + "*"}
+    return slips | kept | {s.removeprefix("SAINT ") + "+"}
+
+
 def near_known(parts: DataFrame) -> DataFrame:
     """(part, old, new) for spellings no record agrees on: a rare one with exactly one common
     spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to

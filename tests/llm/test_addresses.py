@@ -72,3 +72,20 @@ def test_empty_and_class_ids(spark):
 def test_long_text():
     assert parse("word " * 50_000)["number"] is None
     assert parse("1 " * 20_000)["number"] == "1"
+
+
+def test_two_streets_under_one_number(spark, monkeypatch):
+    """The rarer street of a number and ZIP code keeps its own spellings."""
+    own = []
+    for k in range(6):  # both streets have these numbers; TLHS is read like neither but abbreviates one
+        own += [(10 * k + i, f"{100 + 3 * k} {s} Street, Inverton, GA 11103") for i, s in enumerate(["Tollhouse", "Tlhs", "Weavers"])]
+    want = {(10 * k, 10 * k + 1) for k in range(6)}
+    for few in (a.FEW, 1):
+        monkeypatch.setattr(a, "FEW", few)
+        got = {tuple(r) for r in a.same_premises(rows(spark, own + corpus())).collect() if r["address_id_2"] < 1000}
+        assert got == want
+
+
+def test_blocks_of_alike_spellings():
+    for x, y in [("TLHS", "TOLLHOUSE"), ("MT ORCH", "MOUNT ORCHARDVIEW"), ("ORCHRDVEIW", "ORCHARDVIEW"), ("IVES", "SAINT IVES"), ("OAKS", "OAK"), ("A" * 30 + "BCDEFGHIJKLMNOP" * 3, "B" + "A" * 29 + "BCDEFGHIJKLMNOP" * 2 + "BCDEFGHIJKLMNOPQ")]:
+        assert not a._alike(x, y) or a.blocks(x) & a.blocks(y)
