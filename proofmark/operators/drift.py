@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmark.runtime import checkpointed, fits, tasks
@@ -243,8 +243,12 @@ def schema_changes(fields: DataFrame) -> DataFrame:
         .where(F.col("alike") >= SAME_CONTENT)
     )
     scored = pairs.join(dots, ["old_key", "key"])
-    best = lambda k: F.row_number().over(Window.partitionBy("file_id", k).orderBy(F.desc("alike"), "old_key", "key"))
-    renamed = scored.withColumn("_a", best("old_key")).withColumn("_b", best("key")).where("_a = 1 and _b = 1")
+    # Each other's best of what is left, again and again: the best pairs first, each name once.
+    pair = F.struct((-F.col("alike")).alias("d"), "old_key", "key", "feed", "file_no", "old_name", "new_name", "old_kind", "new_kind")
+    ranked = scored.groupBy("file_id").agg(F.array_sort(F.collect_list(pair)).alias("ranked"))
+    taken = lambda acc, x: F.exists(acc, lambda y: (y["old_key"] == x["old_key"]) | (y["key"] == x["key"]))
+    chosen = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda acc, x: F.when(taken(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    renamed = ranked.select("file_id", F.inline(chosen))
     renamed = checkpointed(renamed.select("file_id", "feed", "file_no", "old_key", "key", "old_name", "new_name", "old_kind", "new_kind"))
     added = come.join(renamed.select("file_id", "key"), ["file_id", "key"], "left_anti").join(order.select("file_id", "feed", "file_no"), "file_id")
     removed = gone.join(renamed.select("file_id", "old_key"), ["file_id", "old_key"], "left_anti")

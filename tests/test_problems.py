@@ -185,6 +185,11 @@ def test_changes(spark):
     assert changes(spark, files) == [(2, "renamed", "marque"), (3, "added", "vintage"), (3, "retyped", "net_contents"), (4, "removed", "net_contents")]
 
 
+def test_second_best_names_are_renamed_too(spark):
+    files = [(1, "f", 1, "csv", csv_of(["a", "b"], ("k l m n p q r u v", "k l m n p q r u w"))), (2, "f", 2, "csv", csv_of(["x", "y"], ("k l m n p q r u v", "k l m n p q r u z")))]
+    assert changes(spark, files) == [(2, "renamed", "x"), (2, "renamed", "y")]
+
+
 def test_json_wrappers_and_types(spark):
     a = {"applications": [{"brand-name": "A", "size": "1 L"}, {"brand-name": None, "size": "2 L"}]}
     b = [{"application": {"brandName": ["A", "B"], "size": 3}}, {"application": {"brandName": ["C"], "size": 4.5}}]
