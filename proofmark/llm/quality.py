@@ -80,7 +80,7 @@ def spoiled(words: list[str]) -> bool:
 
 
 def dominant(words: list[str]) -> float:
-    """Greatest share of the characters that one word n-gram (n 1 to 5) covers, above what its
+    """Greatest share of the characters that one word n-gram (n 1 to 5) or longer phrase covers, above what its
     words would cover in prose: single common words don't count."""
     total = sum(map(len, words))
     best = 0.0
@@ -88,17 +88,37 @@ def dominant(words: list[str]) -> float:
         return 0.0
     for n in (1, 2, 3, 4, 5):
         grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
-        for g, k in grams.most_common(3):
-            if k < 3 or (n == 1 and g[0] in COMMON):
+        for g, k in grams.items():
+            size = sum(map(len, g))
+            if k < 3 or k * size <= best * total or (n == 1 and g[0] in COMMON):
                 continue
-            hits, i = 0, 0
-            while i <= len(words) - n:
-                if tuple(words[i : i + n]) == g:
-                    hits, i = hits + 1, i + n
-                else:
-                    i += 1
-            best = max(best, hits * sum(map(len, g)) / total)
-    return best
+            hits = k
+            if any(g[:j] == g[-j:] for j in range(1, n)):  # it may overlap itself
+                hits, i = 0, 0
+                while i <= len(words) - n:
+                    if tuple(words[i : i + n]) == g:
+                        hits, i = hits + 1, i + n
+                    else:
+                        i += 1
+            best = max(best, hits * size / total)
+    return max(best, periodic(words))
+
+
+def periodic(words: list[str]) -> float:
+    """Share of the characters in words that come three times or more at one distance of six
+    words or more: the most frequent distance of equal runs of six words."""
+    last: dict[tuple[str, ...], int] = {}
+    far: Counter = Counter()
+    for i in range(len(words) - 5):
+        g = tuple(words[i : i + 6])
+        if g in last and i - last[g] >= 6:
+            far[i - last[g]] += 1
+        last[g] = i
+    if not far:
+        return 0.0
+    p = far.most_common(1)[0][0]
+    held = {j for i in range(2 * p, len(words)) if words[i] == words[i - p] == words[i - 2 * p] for j in (i, i - p, i - 2 * p)}
+    return sum(len(words[i]) for i in held) / sum(map(len, words))
 
 
 def run_kind(lines: list[str]) -> str:

@@ -56,3 +56,11 @@ def test_rows(spark):
     assert got[1]["kind"] is None and got[1]["n_words"] == 45 and got[1]["punctuated_line_share"] == 1.0
     assert sorted(map(tuple, q.not_prose(df).collect())) == [(4, "junk"), (4, "junk"), (5, "junk")]
     assert q.text_statistics(df.limit(0)).count() == 0
+
+
+def test_dominant_is_exact():
+    long = "The quiet inspector of the mill improves a careful blend for the winter. "
+    assert kind(long * 20) == "junk" and q.dominant(q.WORD.findall(long.lower()) * 20) == 1.0
+    assert q.dominant("a b c d e f g h".split() * 2) == 0.0  # twice is no repetition
+    often = "ab cd ef gh".split() * 4 + "extraordinarily".split() * 3
+    assert q.dominant(often) == max(45 / 77, 32 / 77)
