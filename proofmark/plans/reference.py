@@ -126,8 +126,8 @@ def warning_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Brand and class of the application against those of the checked label."""
-    a = S(spark, d).where("file_name is not null").groupBy("file_name").agg(F.min("brand_name").alias("a_brand"), F.min("class_type").alias("a_class"))
+    """Brand and class of every application row against those of each checked label of its file name."""
+    a = S(spark, d).where("file_name is not null").select("file_name", F.col("brand_name").alias("a_brand"), F.col("class_type").alias("a_class"))
     df = B(spark, d).join(a, "file_name")
     x, y = text.norm_text(F.col("a_brand")), text.norm_text(F.col("brand_name"))
     df = df.select("row_id", "a_class", "class_type", x.alias("x"), y.alias("y"))

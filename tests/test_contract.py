@@ -49,6 +49,11 @@ def test_runs(spark, data, name):
     assert entry.queries()[name](spark, data).count() >= 0
 
 
+def test_similarity_scores_every_application(spark, data):
+    names = lambda t: spark.read.parquet(f"{data}/{t}.parquet").where("file_name is not null").select("file_name")
+    assert entry.queries()["similarity"](spark, data).count() == names("sample_application").join(names("batch"), "file_name").count()
+
+
 def test_core_without_training_text(monkeypatch):
     """The rest imports and keeps its queries when the subpackage is gone."""
     gone = {m: None for m in list(sys.modules) if m.startswith("proofmark.llm")} | {"proofmark.llm": None, "proofmark.llm.queries": None}
