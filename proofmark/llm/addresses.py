@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, count
 
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +31,6 @@ KNOWN_SHARE = 5e-5
 SIGNIFICANT = 6.63
 #: Spellings of one key up to which all are paired; more are paired by blocks.
 FEW = 12
-MAX_ROUNDS = 10
 
 
 def address_records(rows: DataFrame) -> DataFrame:
@@ -191,7 +190,7 @@ def normalised_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts at the fixed point and all rewrites (part, old, new, round)."""
     parts = checkpointed(read_parts(address_records(rows)))
     log: list[DataFrame] = []
-    for n in range(1, MAX_ROUNDS + 1):
+    for n in count(1):  # ends: a rewrite leads to a commoner spelling, so each round leaves fewer
         new = checkpointed(mine(parts).withColumn("round", F.lit(n)))
         if new.isEmpty():
             new = checkpointed(near_known(parts).withColumn("round", F.lit(n)))

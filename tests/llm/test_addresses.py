@@ -89,3 +89,17 @@ def test_two_streets_under_one_number(spark, monkeypatch):
 def test_blocks_of_alike_spellings():
     for x, y in [("TLHS", "TOLLHOUSE"), ("MT ORCH", "MOUNT ORCHARDVIEW"), ("ORCHRDVEIW", "ORCHARDVIEW"), ("IVES", "SAINT IVES"), ("OAKS", "OAK"), ("A" * 30 + "BCDEFGHIJKLMNOP" * 3, "B" + "A" * 29 + "BCDEFGHIJKLMNOP" * 2 + "BCDEFGHIJKLMNOPQ")]:
         assert not a._alike(x, y) or a.blocks(x) & a.blocks(y)
+
+
+def test_rounds_go_on_until_nothing_is_new(spark, monkeypatch):
+    words = [f"W{k}" for k in range(14)]
+    found = iter([*zip(words, words[1:]), None])
+
+    def mined(parts):
+        x = next(found)
+        return spark.createDataFrame([("town", *x)] if x else [], "part string, old string, new string")
+
+    monkeypatch.setattr(a, "mine", mined)
+    monkeypatch.setattr(a, "near_known", lambda parts: spark.createDataFrame([], "part string, old string, new string"))
+    parts, log = a.normalised_parts(rows(spark, [(1, "1 Oak Street, W0, GA 11103"), (2, "2 Oak Street, W0, GA 11103")]))
+    assert log.count() == 13
