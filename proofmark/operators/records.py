@@ -18,7 +18,8 @@ from proofmark.runtime import broadcast_if_small, strip
 FILE_NAME = r"(?is)^.+\.(png|jpg|jpeg)$"
 WARNING_WORDS = ["", "true", "false", "yes", "no", "y", "n", "1", "0", "required", "not required", "checked", "unchecked"]
 FIELDS = ["file_name", "brand_name", "class_type", "alcohol_content", "net_contents", "name_address", "country_of_origin", "warning_required"]
-MARK = "\x01"
+#: Stands for a delimiter outside quotes; an ESCAPE that a record holds itself is followed by KEPT.
+ESCAPE, CUT, KEPT = "\x01", "\x02", "\x03"
 
 
 def delimiter_of(header: Column) -> Column:
@@ -68,11 +69,11 @@ def parse_records(raw: DataFrame) -> DataFrame:
     df = body.join(broadcast_if_small(header), F.col("source_file") == F.col("_file"), "left")
     df = df.withColumn("_pieces", F.split("_text", '"', -1))
     df = df.withColumn("_quoted_well", quotes_sound(F.col("_pieces"), F.col("_delim")))
-    marked = F.array_join(
-        F.transform("_pieces", lambda p, i: F.when(i % 2 == 0, F.replace(p, F.col("_delim"), F.lit(MARK))).otherwise(p)), '"'
-    )
+    escaped = F.transform("_pieces", lambda p: F.replace(p, F.lit(ESCAPE), F.lit(ESCAPE + KEPT)))
+    marked = F.array_join(F.transform(escaped, lambda p, i: F.when(i % 2 == 0, F.replace(p, F.col("_delim"), F.lit(ESCAPE + CUT))).otherwise(p)), '"')
+    own = lambda v: F.replace(v, F.lit(ESCAPE + KEPT), F.lit(ESCAPE))
     plain = lambda v: F.when(F.startswith(v, F.lit('"')) & (F.length(v) >= 2), F.replace(v.substr(F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)
-    df = df.withColumn("_values", F.transform(F.split(marked, MARK, -1), plain))
+    df = df.withColumn("_values", F.transform(F.split(marked, ESCAPE + CUT, -1), lambda v: plain(own(v))))
     at = lambda name: F.get(F.col("_values"), F.array_position("_names", F.lit(name)).cast("int") - 1)
     has = lambda name: F.array_contains("_names", F.lit(name))
     bad_name = has("file_name") & ~F.coalesce(strip(at("file_name")), F.lit("")).rlike(FILE_NAME)

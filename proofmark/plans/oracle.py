@@ -11,7 +11,6 @@ from proofmark.functions.text import FILE_WORDS
 from proofmark.operators.applications import FALSE, NO_FIELDS, TRUE
 from proofmark.operators.batch import TARGET_SECONDS
 from proofmark.operators.checks import BATCH_FALSE, HEADING, MARKER_DETECTED, MARKER_NOTE, STATEMENT, WARNING_PHRASES
-from proofmark.operators.records import FILE_NAME, WARNING_WORDS
 
 # White space as Unicode has it.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -224,23 +223,20 @@ def candidates_sql() -> str:
 
 
 def records_cte() -> str:
-    """Records cut at their quote signs, judged and parsed."""
-    first = "(i = 1 and (p = '' or ends_with(p, d)))"
-    last = "(i = len(pieces) and (p = '' or starts_with(p, d)))"
-    middle = "(i > 1 and i < len(pieces) and (p = '' or (starts_with(p, d) and ends_with(p, d))))"
-    sound = f"len(pieces) % 2 = 1 and (len(pieces) = 1 or len(list_filter(pieces, lambda p, i: not (i % 2 = 0 or {first} or {last} or {middle}))) = 0)"
-    marked = "array_to_string(list_transform(pieces, lambda p, i: case when i % 2 = 1 then replace(p, d, chr(1)) else p end), '\"')"
-    plain = "case when starts_with(v, '\"') and len(v) >= 2 then replace(substr(v, 2, len(v) - 2), '\"\"', '\"') else v end"
+    """Records judged and cut by one pattern of a sound record for each delimiter."""
+    by_d = lambda pattern: "case d when ';' then " + q(pattern.replace("D", ";")) + " else " + q(pattern.replace("D", ",")) + " end"
+    field = '(?:"(?:[^"]|"")*"|[^"D]*)'
+    plain = "case when starts_with(v, '\"') then replace(v[2:-2], '\"\"', '\"') else v end"
     at = lambda n: f"vals[list_position(names, '{n}')]"
     return f"""
     with h as (select source_file, min(raw_record) as header from raw_application where record_no = 0 group by source_file),
-    hd as (select source_file, header, case when len(header) - len(replace(header, ';', '')) > len(header) - len(replace(header, ',', '')) then ';' else ',' end as d from h),
+    hd as (select source_file, header, case when len(regexp_extract_all(header, ';')) > len(regexp_extract_all(header, ',')) then ';' else ',' end as d from h),
     hn as (select source_file, d, list_transform(string_split(header, d), lambda c: trim(regexp_replace(lower(c), '[^a-z0-9]+', '_', 'g'), '_')) as names from hd),
-    r as (select a.record_id, a.source_file, a.record_no, a.raw_record, hn.d, hn.names, string_split(coalesce(a.raw_record, ''), '"') as pieces from raw_application a left join hn on a.source_file = hn.source_file where a.record_no > 0),
-    s as (select *, {sound} as well, list_transform(string_split({marked}, chr(1)), lambda v: {plain}) as vals from r),
+    r as (select a.record_id, a.source_file, a.record_no, a.raw_record, coalesce(a.raw_record, '') as t, hn.d, hn.names from raw_application a left join hn on a.source_file = hn.source_file where a.record_no > 0),
+    s as (select *, regexp_full_match(t, {by_d(f"{field}(?:D{field})*")}) as well, list_transform(regexp_extract_all(d || t, {by_d(f"D({field})")}, 1), lambda v: {plain}) as vals from r),
     f as (select *, case when names is null then 'no_header' when not well then 'quoting' when len(vals) <> len(names) then 'column_count'
-      when (list_contains(names, 'file_name') and not regexp_matches(coalesce({strip(at('file_name'))}, ''), {q(FILE_NAME)}))
-        or (list_contains(names, 'warning_required') and not list_contains({lst(WARNING_WORDS)}, lower(coalesce({strip(at('warning_required'))}, '')))) then 'invalid_value' end as reason from s)"""
+      when (list_contains(names, 'file_name') and not regexp_full_match(coalesce({strip(at('file_name'))}, ''), '(?is).+\\.(png|jpe?g)'))
+        or (list_contains(names, 'warning_required') and lower(coalesce({strip(at('warning_required'))}, '')) not in ('', 'true', 'false', 'yes', 'no', 'y', 'n', '1', '0', 'required', 'not required', 'checked', 'unchecked')) then 'invalid_value' end as reason from s)"""
 
 
 def loaded_sql() -> str:

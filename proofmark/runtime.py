@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +38,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a table written to the folder all executors share (spark.checkpoint.dir), which
     survives the loss of any of them. Unlike checkpoint() it is computed once, not twice, and is read
     by column. The tables are removed when the driver's Python ends.
-
-    Only where the session names no folder (tests on one machine) one is made.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="proofmark-")
-        sc.setCheckpointDir(folder)
-    path = f"{folder}/proofmark-{uuid.uuid4().hex}"
+    sc = df.sparkSession.sparkContext
+    path = f"{shared_folder(sc)}/proofmark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_removed, sc, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(sc: SparkContext) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where the session names none, one is
+    made on this machine if all tasks run in this process; on a cluster every executor would write to
+    a disk of its own and rows would be lost without an error, so there the call is refused."""
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set: name a folder that all executors of {sc.master} share")
+    folder = tempfile.mkdtemp(prefix="proofmark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return folder
 
 
 def _removed(sc: object, path: str) -> None:

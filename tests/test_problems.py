@@ -40,6 +40,8 @@ HEAD = "file_name,brand_name,warning_required"
         ('"",x,true', "invalid_value"),
         ('a.png,"""",', None),
         ('a.png,"x" "y",true', "quoting"),
+        ("a.png,x\x01y\x01\x02,true", None),
+        ('a.png,"\x01,\x01\x03",\x01', "invalid_value"),
     ],
 )
 def test_reasons(spark, rec, reason):
@@ -47,6 +49,11 @@ def test_reasons(spark, rec, reason):
     assert [r["reason"] for r in df.collect()] == [reason]
 
 
+def test_control_characters_stay(spark):
+    df = parsed(spark, (1, "f", 0, HEAD), (2, "f", 1, 'a.png,"\x01,\x01\x02\x01\x03",true'))
+    assert records.load_valid(df).first()["brand_name"] == "\x01,\x01\x02\x01\x03".strip()
+
+
 def test_against_a_scanner(spark):
     """Random records against a character by character reader."""
     import random
