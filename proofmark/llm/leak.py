@@ -1,14 +1,15 @@
 """Evaluation passages found inside a large corpus, whole, in part, and slightly changed.
 
-Greedy string tiling. Seeds: runs of three words an item and a document share, found by a
-rolling Karp-Rabin hash of the document's words in the hash table of the items' runs and
-verified word by word. Seeds on one diagonal grow into maximal matches; the longest are marked
-first and none overlaps another. Tiles in the item's order, parted by no more than a few
-changed words, form a stretch; the stretch and the tiles in it must cover enough of the item.
-Tiles out of order count for `coverage`, which also catches reordered passages.
-
-The items are the stated query set. They are broadcast in blocks of bounded size, every block
-against all documents where these stand: no shuffle, whole texts, no cap on matches.
+Greedy string tiling. Seeds: runs of three words that an item and a document share. Both sides are
+hashed once by a running Karp-Rabin hash and joined on it, the words themselves compared. Seeds on
+one diagonal grow into maximal matches; the longest are marked first and none overlaps another.
+Tiles in the item's order, parted by no more than a few changed words, form a stretch; the
+stretch and the tiles in it must cover enough of the item. Tiles out of order count for `coverage`,
+which also catches reordered passages.
+
+Every document is read and hashed once, however many items there are. What leaves its task are the
+seeds that a bitmap of all item seeds lets pass (of a fixed size at most; a chance hit costs a row
+that the join drops), so the join shuffles neither texts nor seeds that no item has.
 """
 
 from __future__ import annotations
@@ -20,20 +21,26 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from zlib import crc32
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from proofmark.runtime import spread
+from proofmark.runtime import broadcast_if_small, checkpointed, spread
 
 SEED = 3
 #: Words a gap in a stretch may have on either side, and how far the two sides may differ.
 GAP, SLIP = 12, 4
 #: Least share of an item's words that the stretch spans, and that its tiles cover.
 SPAN, COVER = 0.5, 0.35
-#: Words of items per broadcast block (some 100 bytes each in the index).
-BLOCK_WORDS = 100_000
-BASE, MOD = 1_000_003, (1 << 61) - 1
+#: Different seeds of items (some 60 bytes each) up to which they are broadcast; more are joined by shuffles.
+SEEDS_BROADCAST = 200_000
+#: Bits of the bitmap of item seeds for one seed, and of all of it at most (32 MB).
+BITS_A_SEED, MOST_BITS = 32, 1 << 28
+#: A document's seeds are hashed to 64 bits: codes of words times powers of BASE, modulo 2^64.
+BASE = 1_000_003
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -46,35 +53,25 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.replace("'", "").replace("’", "").replace("­", ""))
 
 
-def rolling(codes: list[int], n: int = SEED) -> Iterator[tuple[int, int]]:
-    """(position, hash) of every run of n words, each hash from the one before."""
-    if len(codes) < n:
-        return
-    top, h = pow(BASE, n - 1, MOD), 0
-    for c in codes[:n]:
-        h = (h * BASE + c) % MOD
-    yield 0, h
-    for i in range(n, len(codes)):
-        h = ((h - codes[i - n] * top) * BASE + codes[i]) % MOD
-        yield i - n + 1, h
+def running_hashes(words: list[str], n: int = SEED) -> np.ndarray:
+    """Karp-Rabin hash of every run of n words, as signed 64-bit numbers: the window moves on by a
+    product and a sum for all places at once."""
+    if len(words) < n:
+        return np.empty(0, np.int64)
+    codes = np.fromiter((crc32(w.encode()) for w in words), np.uint64, len(words))
+    h = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(BASE) + codes[k : len(words) - n + 1 + k]
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def seeds_index(items: list[tuple[int, list[str]]]) -> dict[int, list[tuple[int, int]]]:
-    out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, (_, words) in enumerate(items):
-        for p, h in rolling([crc32(w.encode()) for w in words]):
-            out[h].append((k, p))
-    return dict(out)
-
-
-def tiles(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> list[tuple[int, int, int]]:
-    """Greedy tiling of seed hits (doc position, item position): (doc, item, length) of the
-    longest non-overlapping matches, longest first; ties by position. What a marked tile leaves
-    of a match is offered again if it is as long as a seed."""
+def tiles(hits: list[tuple[int, int]], n_item: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of seed hits (doc position, item position) with an item of n_item words:
+    (doc, item, length) of the longest non-overlapping matches, longest first; ties by position.
+    What a marked tile leaves of a match is offered again if it is as long as a seed."""
     diagonals: dict[int, list[int]] = defaultdict(list)
     for q, p in hits:
-        if doc[q : q + SEED] == item[p : p + SEED]:
-            diagonals[q - p].append(q)
+        diagonals[q - p].append(q)
     runs: list[tuple[int, int, int]] = []
     for d, qs in diagonals.items():
         qs = sorted(set(qs))
@@ -89,7 +86,7 @@ def tiles(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> list[
     doc_used, item_used, out = set(), set(), []
     heap = [(-n, q, p) for n, q, p in runs]
     heapify(heap)
-    while heap and len(item_used) <= len(item) - SEED:
+    while heap and len(item_used) <= n_item - SEED:
         n, q, p = heappop(heap)
         n = -n
         free = [k for k in range(n) if q + k not in doc_used and p + k not in item_used]
@@ -125,66 +122,82 @@ def stretch(found: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
     return best
 
 
-SCHEMA = "doc_id bigint, item_id bigint, coverage double, stretch_cover double, stretch_span double, first_word int, last_word int"
+SEED_ROWS = "id bigint, text_key bigint, n_words int, h bigint, seed string, places array<int>"
+
+
+def _seed_rows(bitmap: object, least_seeds: int) -> object:
+    """Matcher of Arrow batches (id, text_key, text): one row per row and different seed, with its
+    places. Seeds that the bitmap hasn't are left out, and texts left with fewer than least_seeds."""
+    schema = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int32()), ("h", pa.int64()), ("seed", pa.string()), ("places", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            out: list[list] = [[] for _ in schema]
+            for row_id, key, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                words = words_of(text)
+                hashes = running_hashes(words)
+                at = np.arange(len(hashes))
+                if bits is not None:
+                    low = hashes & (8 * len(bits) - 1)
+                    at = at[(bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1]
+                places: dict[str, list[int]] = defaultdict(list)
+                for q in at.tolist():
+                    places[" ".join(words[q : q + SEED])].append(q)
+                if len(places) < least_seeds:
+                    continue
+                for seed, qs in places.items():
+                    for col, v in zip(out, (row_id, key, len(words), int(hashes[qs[0]]), seed, qs)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
+    return run
 
-def _search(items: list[tuple[int, list[str]]], least: float) -> object:
-    """Matcher of one block over Arrow batches of (doc_id, text)."""
-    index = seeds_index(items)
-    arrow = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("stretch_cover", pa.float64()), ("stretch_span", pa.float64()), ("first_word", pa.int32()), ("last_word", pa.int32())])
 
-    def run(ids: list[int], texts: list[str | None]) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in arrow]
-        for doc_id, text in zip(ids, texts):
-            if not text:
-                continue
-            doc = words_of(text)
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for q, h in rolling([crc32(w.encode()) for w in doc]):
-                for k, p in index.get(h, ()):
-                    hits[k].append((q, p))
-            for k, found in hits.items():
-                item_id, item = items[k]
-                if len({p for _, p in found}) + SEED - 1 < least * len(item) / SEED:
-                    continue  # even unconnected seeds can't cover enough
-                tiled = tiles(found, doc, item)
-                coverage = sum(n for _, _, n in tiled) / len(item)
-                if coverage < least:
-                    continue
-                cover, span, a, b = stretch(tiled)
-                for col, v in zip(out, (doc_id, item_id, coverage, cover / len(item), span / len(item), a, b)):
-                    col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, arrow.types)], schema=arrow)
+def _bitmap(seeds: DataFrame) -> bytes:
+    """Bitmap of the low bits of all item seeds, its size by their number up to MOST_BITS."""
+    wanted = max(1 << 15, BITS_A_SEED * seeds.count())
+    size = min(MOST_BITS, 1 << (wanted - 1).bit_length())
+    low = F.col("h").bitwiseAND(F.lit(size - 1))
+    parts = seeds.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    whole = bytearray(size // 8)
+    for r in parts.toLocalIterator():  # size / 2^15 parts of 4 KB at most
+        whole[r["part"] << 12 : (r["part"] + 1) << 12] = r["bits"]
+    return bytes(whole)
 
-    return run
+
+FOUND = StructType([*(StructField(c, DoubleType()) for c in ("coverage", "stretch_cover", "stretch_span")), *(StructField(c, IntegerType()) for c in ("first_word", "last_word"))])
+
+
+@F.pandas_udf(FOUND)
+def _tiled(n_item: pd.Series, hits: pd.Series) -> pd.DataFrame:
+    rows = []
+    for n, found in zip(n_item, hits):
+        tiled = tiles([(q, p) for x in found for q in x["qs"] for p in x["ps"]], n)
+        cover, span, a, b = stretch(tiled)
+        rows.append((sum(k for _, _, k in tiled) / n, cover / n, span / n, a, b))
+    return pd.DataFrame(rows, columns=FOUND.names).astype({"first_word": "int32", "last_word": "int32"})
+
+
+_tiled = _tiled.asNondeterministic()  # a filter on its result runs it no second time
 
 
 def shared_passages(documents: DataFrame, items: DataFrame, least: float = COVER) -> DataFrame:
     """One row per document and item whose tiles cover at least `least` of the item, with the
-    best stretch. Null and empty texts and items without a seed match nothing; repeated rows of
-    either side give repeated rows. Extra columns are ignored."""
-    blocks: list[list[tuple[int, list[str]]]] = [[]]
-    held = 0
-    for r in items.select("item_id", "text").toLocalIterator():  # one partition of the query set at a time
-        words = words_of(r["text"])
-        if held and held + len(words) > BLOCK_WORDS:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r["item_id"], words))
-        held += len(words)
-    docs = spread(documents.select("doc_id", "text"))
-    out = None
-    for block in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def matcher(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
-            run = _search(shared.value, least)
-            for b in batches:
-                yield run(b.column(0).to_pylist(), b.column(1).to_pylist())
-
-        part = docs.mapInArrow(matcher, SCHEMA)
-        out = part if out is None else out.unionByName(part)
-    return out
+    best stretch. Null and empty texts and items without a seed match nothing; a row that is
+    given again with the same id and text counts once. Extra columns are ignored."""
+    keyed = lambda df, key: df.where(F.col(key).isNotNull() & (F.col("text") != "")).select(F.col(key).alias("id"), F.xxhash64("text").alias("text_key"), "text")
+    # Even unconnected seeds can't cover enough with fewer than this.
+    least_seeds = F.ceil(F.col("n_words") * F.lit(least / SEED) - 1e-9) - (SEED - 1)
+    seeds = checkpointed(spread(keyed(items, "item_id")).mapInArrow(_seed_rows(None, 1), SEED_ROWS).dropDuplicates(["id", "text_key", "h", "seed"]))
+    fewest = seeds.agg(F.min(least_seeds)).first()[0]
+    bitmap = seeds.sparkSession.sparkContext.broadcast(_bitmap(seeds))
+    docs = spread(keyed(documents, "doc_id")).mapInArrow(_seed_rows(bitmap, max(1, fewest or 1)), SEED_ROWS).select("id", "text_key", "h", "seed", "places")
+    own = seeds.select("h", "seed", F.col("id").alias("item_id"), F.col("text_key").alias("item_key"), "n_words", F.col("places").alias("ps"))
+    met = docs.join(broadcast_if_small(own, SEEDS_BROADCAST), ["h", "seed"])
+    pairs = met.groupBy(F.col("id").alias("doc_id"), "text_key", "item_id", "item_key", "n_words").agg(F.collect_list(F.struct(F.col("places").alias("qs"), "ps")).alias("hits"))
+    enough = F.size(F.array_distinct(F.flatten(F.col("hits.ps")))) >= least_seeds
+    return pairs.where(enough).select("doc_id", "item_id", _tiled("n_words", "hits").alias("_t")).where(F.col("_t.coverage") >= least).select("doc_id", "item_id", "_t.*")
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofmark.runtime import checkpointed, fits, tasks
+from proofmark.runtime import checkpointed, fits, spread
 
 #: Bits of the hash, and how many of them one level of the histogram resolves.
 HASH_BITS, BITS = 60, 12
@@ -38,15 +38,17 @@ def tokenizer(path: str) -> object:
 
 
 def with_tokens(texts: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """texts(source, text_id, text, h) -> (source, text_id, h, n_tokens)."""
+    """texts(doc_id, source, digest, text) -> (doc_id, source, digest, n_tokens), counted where the
+    texts stand: no text is ever shuffled."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("digest", pa.binary()), ("n_tokens", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokenizer(path)
         for b in batches:
-            n = [len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("text_id"), b.column("h"), pa.array(n, pa.int64())], names=["source", "text_id", "h", "n_tokens"])
+            n = pa.array([len(enc.encode_ordinary(t)) for t in b.column(3).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).cast(schema.types[i]) for i in range(3)), n], schema=schema)
 
-    return texts.select("source", "text_id", "h", "text").repartition(tasks(texts.sparkSession)).mapInArrow(count, "source string, text_id bigint, h bigint, n_tokens bigint")
+    return spread(texts.select("doc_id", "source", "digest", "text")).mapInArrow(count, "doc_id bigint, source string, digest binary, n_tokens bigint")
 
 
 def hashed(digest: Column) -> Column:
@@ -54,20 +56,18 @@ def hashed(digest: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(digest), 64 - HASH_BITS)
 
 
-def distinct_texts(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Distinct non-empty texts of targeted sources: (source, text_id, text, h), each under the
+def distinct_texts(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """Distinct non-empty texts of targeted sources: (source, text_id, h, n_tokens), each under the
     source of its copy with the smallest doc_id, so that copies under other sources add no use.
 
-    Texts are grouped by a 128-bit digest, first without the text itself: only ids are
-    shuffled, pre-aggregated, so a text that a third of all rows copy is one group of few rows.
+    Texts are told apart by a 128-bit digest. Only ids, sources, digests and counts are shuffled, once and
+    pre-aggregated, so a text that a third of all rows copy is one group of few rows.
     """
     wanted = targets.select("source").distinct()
     docs = documents.where(F.col("text").isNotNull() & (F.col("text") != "")).join(F.broadcast(wanted) if fits(wanted, MAX_SOURCES) else wanted, "source", "left_semi")
-    keyed = docs.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"))
-    first = keyed.groupBy("digest").agg(F.min(F.struct("doc_id", "source")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.source").alias("source"), hashed(F.col("digest")).alias("h"))
-    # A doc_id given twice with the same source and text must stay one text.
-    whole = docs.select("doc_id", "source", "text", hashed(F.md5(F.col("text").cast("binary"))).alias("h"))
-    return whole.join(first, ["doc_id", "source", "h"]).groupBy("doc_id", "source", "h").agg(F.first("text").alias("text")).select("source", F.col("doc_id").alias("text_id"), "text", "h")
+    counted = with_tokens(docs.select("doc_id", "source", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text"), path)
+    first = counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("f"))
+    return first.select("f.source", F.col("f.doc_id").alias("text_id"), hashed(F.col("digest")).alias("h"), "f.n_tokens")
 
 
 def thresholds(tokens: DataFrame, budgets: dict[str, int]) -> dict[str, int | None]:
@@ -144,7 +144,7 @@ def mixed(tokens: DataFrame, plan: list[dict]) -> DataFrame:
 def token_table(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Distinct texts with their tokens, written once to the shared checkpoint folder since the
     histogram levels and the final filter read it again."""
-    return checkpointed(with_tokens(distinct_texts(documents, targets), path))
+    return checkpointed(distinct_texts(documents, targets, path))
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
