@@ -118,7 +118,6 @@ class Index:
     def __init__(self, entries: list[tuple[int, str, float]], other_names: dict[str, str] | None = None, turned: bool = False):
         """entries: (id, name, use). turned: the words may come with the last ones first."""
         self.use = {i: u for i, _, u in entries}
-        self.exact = {n for _, n, _ in entries}
         self.spellings: dict[str, set[int]] = defaultdict(set)
         self.words: set[str] = set()
         self.forms: list[tuple[int, list[str]]] = []
@@ -135,6 +134,19 @@ class Index:
         for s in self.spellings:
             for d in set(deletions(s.replace(" ", ""), bound(s))):
                 self.under[d].append(s)
+        #: Words of forms under their deletions and by first letter; forms under (words, place, word).
+        self.word_under: dict[str, list[str]] = defaultdict(list)
+        self.by_letter: dict[str, list[str]] = defaultdict(list)
+        for f in sorted(self.words):
+            for d in set(deletions(f, max(bound(f), 1 if len(f) == 3 else 0))):
+                self.word_under[d].append(f)
+            self.by_letter[f[0]].append(f)
+        self.postings: dict[tuple[int, int, str], list[int]] = defaultdict(list)
+        for place, (_, form) in enumerate(self.forms):
+            for k, f in enumerate(form):
+                self.postings[len(form), k, f].append(place)
+        self.longest_word = max(map(len, self.words), default=0)
+        self.word_memo: dict[str, dict[str, float]] = {}
         self.longest = max((len(s) for s in self.spellings), default=0) + MAX_EDITS
         self.memo: dict[str, tuple[int, float | None]] = {}
 
@@ -150,29 +162,46 @@ class Index:
                     best[i] = min(best.get(i, 99.0), weight)
         return sorted((w, -self.use.get(i, 0.0), i) for i, w in best.items())
 
+    def word_costs(self, w: str) -> dict[str, float]:
+        """The words of entries that w may stand for, with the weight of it: equal, abbreviated, or
+        misspelt within the bound. They are met through deletions and first letters, not one by one."""
+        if w in self.word_memo:
+            return self.word_memo[w]
+        out: dict[str, float] = {}
+        met = {w, w + "s", w[:-1]} & self.words
+        if len(w) <= self.longest_word + MAX_EDITS:
+            met = met.union(*(self.word_under.get(d, ()) for d in set(deletions(w, MAX_EDITS))))
+        for f in met:
+            if w == f:
+                out[f] = 0.0
+            elif w == f + "s" or f == w + "s":
+                out[f] = 0.3
+            else:
+                edits, weight = distance(w, f)
+                if edits <= bound(f) or (len(f) == 3 and edits == 1):
+                    out[f] = weight
+        for f in self.by_letter.get(w[:1], ()):
+            if f != w and abbreviates(w, f):
+                out[f] = min(out.get(f, 9.0), 0.3)
+        if len(self.word_memo) < 200_000:
+            self.word_memo[w] = out
+        return out
+
     def by_words(self, value: str) -> list[tuple[float, float, int]]:
-        """Word against word: equal, abbreviated, or misspelt within the bound."""
+        """Word against word: equal, abbreviated, or misspelt within the bound. Forms are taken from
+        the postings of the word that has the fewest and tried against the other words."""
         words = [WORD_FORMS.get(w, w) for w in value.split()]
+        costs = [self.word_costs(w) for w in words]
+        if not all(costs):
+            return []
+        n = len(words)
+        posted = [[self.postings.get((n, k, f), ()) for f in c] for k, c in enumerate(costs)]
+        fewest = min(range(n), key=lambda k: sum(map(len, posted[k])))
         found: dict[int, float] = {}
-        for i, form in self.forms:
-            if len(form) != len(words):
-                continue
-            total = 0.0
-            for w, f in zip(words, form):
-                if w == f:
-                    continue
-                if w == f + "s" or f == w + "s" or abbreviates(w, f):
-                    total += 0.3
-                    continue
-                if abs(len(w) - len(f)) > MAX_EDITS or len(f) <= 3:
-                    edits, weight = (1, 1.0) if len(f) == 3 and abs(len(w) - 3) <= 1 and distance(w, f)[0] == 1 else (9, 9.0)
-                else:
-                    edits, weight = distance(w, f)
-                if edits > bound(f) and not (len(f) == 3 and edits == 1):
-                    break
-                total += weight
-            else:
-                if total <= MAX_EDITS + 0.9:
+        for at in posted[fewest]:
+            for place in at:
+                i, form = self.forms[place]
+                if all(f in c for f, c in zip(form, costs)) and (total := sum(c[f] for f, c in zip(form, costs))) <= MAX_EDITS + 0.9:
                     found[i] = min(found.get(i, 99.0), total)
         return sorted((w, -self.use.get(i, 0.0), i) for i, w in found.items())
 
@@ -222,5 +251,6 @@ def free_entries(rows: DataFrame, field: str, reference: DataFrame, id_col: str,
     """(row_id, field, value, ref_id, ref_distance) of the non-null values that aren't letter for
     letter an entry; ref_id 0 reports that none is meant. Repeated rows stay repeated."""
     index = build_index(reference, id_col, name_col, rows, field, **kw)
-    typed = spread(rows.select("row_id", field)).where(F.col(field).isNotNull() & ~F.col(field).isin(*sorted(index.exact)))
+    exact = reference.select(F.col(name_col).alias(field)).distinct()  # MAX_ENTRIES at most, as checked
+    typed = spread(rows.select("row_id", field)).where(F.col(field).isNotNull()).join(F.broadcast(exact), field, "left_anti")
     return mapped(typed.select("row_id", F.lit(field).alias("field"), F.col(field).alias("value")), "value", index)

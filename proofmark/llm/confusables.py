@@ -2,9 +2,9 @@
 
 The skeleton of a text: decompose (NFKD), drop what can't be seen, replace every character by
 its prototype from the look-alike table, decompose again. Texts of equal skeleton look alike
-and are grouped. The consistent form keeps a text's own letters where they are plain and puts
-plain ones where they are not: composed, of plain width and shape, no invisible characters,
-plain blanks, and each word that mixes alphabets spelt by its skeleton in one of them.
+and are grouped. The consistent form of a text is the plain member of its skeleton's group:
+composed, of plain width and shape, without invisible characters, with plain blanks, and each word
+that mixes alphabets spelt from its skeleton in one of them. A text that isn't that member is a case.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters of other alphabets and the Latin letters they look like.
-CYRILLIC = dict(zip("АВЕКМНОРСТХУІЈЅаеорсухіјѕһԁԛԝѵк", "ABEKMHOPCTXYIJSaeopcyxijshdqwvk"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικυ", "ABEZHIKMNOPTYXaopviku"))
-OTHER = dict(zip("ӀӏԌԍɑɡՕօՍսϲ", "IlGgagOoUuc"))
-LATIN_OF = {a: b for a, b in (CYRILLIC | GREEK | OTHER).items() if b.isascii()}
+# Letters of other alphabets and the Latin letters they look like, as the public
+# table of confusables has them.
+CYRILLIC = dict(zip("АВЕКМНОРСТХУІЈЅаеорсухіјѕһԁԛԝѵкЬгԚԜѴҮү", "ABEKMHOPCTXYIJSaeopcyxijshdqwvkbrQWVYy"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορνικυϲϳϹͿσγ", "ABEZHIKMNOPTYXaopvikucjCJoy"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHYGZbRWSVSLCPKdB"))
+LISU = dict(zip("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"))
+OTHER = dict(zip("ӀӏԌԍɑɡՕօՍսհոռյցզգլիıȷɩɪʏꜱᴄᴏᴠᴡᴢƽ", "IlGgagOoUuhnnjgqqlhijiiyscovwzs"))
+LATIN_OF = {a: b for a, b in (CYRILLIC | GREEK | CHEROKEE | LISU | COPTIC | OTHER).items() if b.isascii()}
 # Further pairs that only a skeleton equates (never changed in a text).
-SKELETON_ONLY = {"0": "O", "1": "l", "I": "l", "|": "l", "ß": "β", "‐": "-", "‑": "-", "–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "`": "'", "´": "'"}
+SKELETON_ONLY = {"0": "O", "1": "l", "I": "l", "|": "l", "m": "rn", "ß": "β", "‐": "-", "‑": "-", "–": "-", "—": "-", "−": "-", "‘": "'", "’": "'", "“": '"', "”": '"', "`": "'", "´": "'"}
 
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿￹-￻\U000e0000-\U000e0fff\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
 BLANK = re.compile("[\t   -   　]")
@@ -33,6 +37,8 @@ WORD = re.compile(r"[^\W\d_]+(?:[\u0300-\u036f'’]*[^\W\d_]+)*")
 FOREIGN = re.compile("[\u0250-\u02af\u0370-\u1cff\u1f00-\u1fff\u2c00-\ua71f\ua800-\udfff]")
 #: In the JVM: rows that hold nothing but plain ASCII are in the consistent form already.
 NOT_PLAIN = r"[^\n\r -~]"
+#: What a skeleton of one line needs more than built-in expressions for.
+NOT_PLAIN_LINE = r"[^\t -~]"
 
 
 @lru_cache(maxsize=None)
@@ -64,15 +70,21 @@ def alphabet(ch: str) -> str:
     return unicodedata.name(ch, "").split(" ", 1)[0]
 
 
+def prototypes(decomposed: str, only: set[str] | None = None) -> str:
+    """Every character by its prototype: the Latin letter it looks like (of the given alphabets only)."""
+    return "".join(LATIN_OF.get(c, c) if only is None or alphabet(c) in only else c for c in decomposed)
+
+
 def one_alphabet(word: str) -> str:
-    """A word that mixes alphabets in one of them: Latin where every foreign letter looks like a
-    Latin one, else the alphabet whose letters stand where Latin ones can be replaced."""
+    """A decomposed word that mixes alphabets, spelt from its prototypes in one of them: Latin where all
+    of them are Latin, else the alphabet of most letters whose own letters have these prototypes."""
     kinds = {alphabet(c) for c in word if c.isalpha()} - {"MODIFIER", ""}
     if len(kinds) < 2:
         return word
-    foreign = [c for c in word if c.isalpha() and alphabet(c) != "LATIN"]
-    if all(c in LATIN_OF for c in foreign):
-        return "".join(LATIN_OF.get(c, c) if alphabet(c) != "LATIN" else c for c in word)
+    spelt = prototypes(word, kinds - {"LATIN"})
+    left = {alphabet(c) for c in spelt if c.isalpha()} - {"MODIFIER", "", "LATIN"}
+    if not left:
+        return spelt
     counts = {k: sum(alphabet(c) == k for c in word) for k in kinds}
     to = max(sorted(kinds - {"LATIN"}), key=lambda k: counts[k])
     back = {b: a for a, b in LATIN_OF.items() if alphabet(a) == to}
@@ -99,21 +111,39 @@ def consistent(text: str | None) -> str | None:
     return consistent_short(text) if len(text) < 200 else consistent_short.__wrapped__(text)
 
 
+@lru_cache(maxsize=None)
+def _prototype(ch: str) -> str:
+    c = LATIN_OF.get(ch, ch)
+    return SKELETON_ONLY.get(c, c)
+
+
 def skeleton_of(text: str | None) -> str | None:
-    """Equal for texts that look alike. Case is kept: capitals look different."""
+    """Equal for texts that look alike. Case is kept: capitals look different. Null stays null."""
     if text is None:
         return None
     text = unicodedata.normalize("NFKD", BLANK.sub(" ", INVISIBLE.sub("", text)))
-    text = "".join(SKELETON_ONLY.get(LATIN_OF.get(c, c), LATIN_OF.get(c, c)) for c in text)
+    text = "".join(map(_prototype, text))
     return unicodedata.normalize("NFD", re.sub(" +", " ", text).strip())
 
 
+def plain_member(text: str | None) -> str | None:
+    """The plain member of the text's skeleton group: the consistent form, if its skeleton is the
+    text's own; else the text itself, which then is no case."""
+    form = consistent(text)
+    return form if form == text or skeleton_of(form) == skeleton_of(text) else text
+
+
 @F.pandas_udf(StringType())
 def _consistent(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: consistent(t) if isinstance(t, str) else None)
 
 
-_consistent_once = _consistent.asNondeterministic()  # a filter on its result runs it no second time
+@F.pandas_udf(StringType())
+def _plain_member(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: plain_member(t) if isinstance(t, str) else None)
+
+
+_plain_member = _plain_member.asNondeterministic()  # a filter on its result runs it no second time
 
 
 @F.pandas_udf(StringType())
@@ -127,14 +157,21 @@ def consistent_form(text: Column) -> Column:
 
 
 def skeleton(text: Column) -> Column:
-    return _skeleton(text)
+    """Skeleton as a column. Of plain ASCII it is made by built-in expressions."""
+    ascii_ = F.trim(F.regexp_replace(F.replace(F.translate(F.regexp_replace(text, "\t", " "), "01I|`", "Olll'"), F.lit("m"), F.lit("rn")), " +", " "))
+    return F.when(text.rlike(NOT_PLAIN_LINE), _skeleton(F.when(text.rlike(NOT_PLAIN_LINE), text))).otherwise(ascii_)
 
 
 def inconsistent_rows(df: DataFrame, text: str, key: str = "row_id") -> DataFrame:
-    """(key, text, form) of the rows whose text isn't in consistent form. Rows of plain ASCII
-    never leave the JVM. Null and empty texts are no case; repeated rows stay repeated."""
+    """(key, text, form) of the rows whose text isn't the plain member of its skeleton's group. Rows of
+    plain ASCII never leave the JVM. Null and empty texts are no case; repeated rows stay repeated."""
     odd = df.where(F.col(text).rlike(NOT_PLAIN)).select(key, F.col(text).alias("text"))
-    return odd.withColumn("form", _consistent_once("text")).where(F.col("form") != F.col("text"))
+    return odd.withColumn("form", _plain_member("text")).where(F.col("form") != F.col("text"))
+
+
+def lines_of_texts(df: DataFrame, text: str) -> DataFrame:
+    """The lines of all texts as rows, blank ones left out."""
+    return df.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\r\n|\n|\r")).alias(text)).where(F.trim(text) != "")
 
 
 def look_alike_groups(df: DataFrame, text: str) -> DataFrame:

@@ -39,7 +39,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    return confusables.look_alike_groups(load(spark, d, "sample_application"), "brand_name")
+    """Brand names, and the lines of the recognised texts, grouped by what they look like."""
+    brands = confusables.look_alike_groups(load(spark, d, "sample_application"), "brand_name")
+    lines = confusables.look_alike_groups(confusables.lines_of_texts(load(spark, d, "batch"), "detected_text"), "detected_text")
+    named = lambda df, name: df.select(F.lit(name).alias("table_name"), "*")
+    return named(brands, "sample_application").unionByName(named(lines, "batch"))
 
 
 def p7_entries(spark: SparkSession, d: str) -> DataFrame:

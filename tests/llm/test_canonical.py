@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -60,3 +61,41 @@ def test_rows(spark):
     assert got == [(2, 3), (2, 3), (4, 0), (5, 0)]
     assert {r["ref_id"] for r in c.free_entries(rows, "country", ref.limit(0), "country_id", "country_name").collect()} == {0}
     assert c.free_entries(rows.limit(0), "country", ref, "country_id", "country_name").count() == 0
+
+
+def test_by_words_against_all_forms():
+    """The postings meet all forms that comparing word by word with every one meets."""
+    rnd = random.Random(11)
+    vocabulary = ["sparkling", "rose", "wine", "red", "dry", "brandy", "pomace", "cane", "rum", "natural", "gin", "liqueur"]
+    names = sorted({" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 3))) for _ in range(60)})
+    ix = c.Index([(i, n, 0.0) for i, n in enumerate(names, 1)], turned=True)
+
+    def cost(w, f):
+        if w == f:
+            return 0.0
+        edits, weight = c.distance(w, f)
+        near = edits <= c.bound(f) or (len(f) == 3 and edits == 1)
+        return 0.3 if w == f + "s" or f == w + "s" or c.abbreviates(w, f) else weight if near else None
+
+    for _ in range(400):
+        words = rnd.choice(names).split()
+        for k, w in enumerate(words):
+            op, j = rnd.randrange(5), rnd.randrange(len(w))
+            words[k] = [w, w[:3], w[:j] + w[j + 1 :], w + "s", w[:j] + "x" + w[j:]][op]
+        want: dict[int, float] = {}
+        for i, form in ix.forms:
+            costs = [cost(w, f) for w, f in zip(words, form)]
+            if len(form) == len(words) and None not in costs and sum(costs) <= c.MAX_EDITS + 0.9:
+                want[i] = min(want.get(i, 99.0), sum(costs))
+        assert {i: pytest.approx(w) for w, _, i in ix.by_words(" ".join(words))} == want, words
+
+
+def test_a_miss_costs_little_with_the_longest_list():
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrst") for _ in range(rnd.randint(3, 6)))
+    ix = c.Index([(i, f"{word()} {word()}", 0.0) for i in range(c.MAX_ENTRIES)])
+    values = [f"{word()} {word()}" for _ in range(50)]
+    began = time.process_time()
+    for v in values:
+        ix.by_words(v)
+    assert time.process_time() - began < 50 * 0.05

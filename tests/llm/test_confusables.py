@@ -46,6 +46,21 @@ def test_skeletons():
     assert c.skeleton_of(None) is None and c.skeleton_of("") == ""
 
 
+@pytest.mark.parametrize("a,b", [("ᎪᏢᏢᏞᎬ", "APPLE"), ("ꓮpple", "Apple"), ("ⲢⲞⲢⲦ", "POPT"), ("rnodern", "modern"), ("B0URB0N", "BOURBON"), ("\u200bx\u00a0y", "x y")])
+def test_look_alikes(a, b):
+    assert c.skeleton_of(a) == c.skeleton_of(b)
+
+
+def test_words_that_mix_with_rarer_alphabets():
+    assert c.plain_member("AᏢᏢLE") == "APPLE" and c.plain_member("ꓮpple") == "Apple" and c.plain_member("ᎪᏢᏢᏞᎬ") == "ᎪᏢᏢᏞᎬ"
+
+
+def test_skeleton_in_the_jvm(spark):
+    texts = ["m0dern I|1", "`x'  y ", "", None, "a\tb", "é m", "СЕВЕР", "1 l I", "a\u00a0b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(c.skeleton(F.col("t"))).collect()] == [c.skeleton_of(t) for t in texts]
+
+
 def test_random_forms_are_stable():
     import random
 
@@ -54,6 +69,7 @@ def test_random_forms_are_stable():
     for _ in range(500):
         s = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))
         f = c.consistent(s)
+        assert c.skeleton_of(f) == c.skeleton_of(s) and c.plain_member(s) == f
         assert c.consistent(f) == f and unicodedata.is_normalized("NFC", f)
 
 
