@@ -121,8 +121,8 @@ def skeleton_of(text: str | None) -> str | None:
     """Equal for texts that look alike. Case is kept: capitals look different. Null stays null."""
     if text is None:
         return None
-    text = unicodedata.normalize("NFKD", BLANK.sub(" ", INVISIBLE.sub("", text)))
-    text = "".join(map(_prototype, text))
+    text = prototypes(BLANK.sub(" ", INVISIBLE.sub("", text)))  # before some are decomposed to unlike letters
+    text = "".join(map(_prototype, unicodedata.normalize("NFKD", text)))
     return unicodedata.normalize("NFD", re.sub(" +", " ", text).strip())
 
 
