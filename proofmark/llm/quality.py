@@ -32,84 +32,113 @@ RULE = re.compile(r"^[\s|+\-=:_~.*#]*$")
 MARKER = re.compile(r"^\s*(?:[-*+•▪◦‣●○■□·–—>»]|\[[ xX✓]?\]|[☐☑✓✔]|\(?\d{1,3}[.):]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)]|\d{1,3} ?[xX×]|(?:[Nn]o|[Nn]r|#|[Ii]tem|[Ss]tep)\.? ?\d{1,3}[.:)]?)(?=\s)")
 END = re.compile(r"[.!?…]['\")\]»”’]*(?=\s|$)")
 HEX = re.compile(r"^(?:[0-9a-f]{2,8}[\s:]+){3,}[0-9a-f]{1,8}\s*$", re.I)
-CELLS = re.compile(r"\t| {2,}|\|")
+
+
+SIGNS = re.compile(r"[^\w%.&'+-]|_")
+FILLED = re.compile(r"[\s|,;]")
+BARS = re.compile(r"[lI1|]*")
+COLUMNS = re.compile(r"\S {2,}(?=\S)")
+TIGHT = {d: re.compile(rf"[^\s{d}]{d}(?=[^\s{d}])|{d}{d}") for d in ",;"}
 
 
 def cells_of(line: str) -> int:
     """Number of table cells of a line by the strongest separator it has; 0: none, and where the
     cells hold signs rather than words and figures."""
+    if not ("|" in line or "\t" in line or "  " in line or line.count(",") > 1 or line.count(";") > 1):
+        return 0
     s = line.strip()
-    filled = re.sub(r"[\s|,;]", "", s)
-    if len(re.findall(r"[^\w%.&'+-]|_", filled)) > 0.2 * len(filled) or re.fullmatch(r"[lI1|]*", filled):
+    filled = FILLED.sub("", s)
+    if len(SIGNS.findall(filled)) > 0.2 * len(filled) or BARS.fullmatch(filled):
         return 0
     if "|" in s and s.count("|") >= 2:
         return s.strip("|").count("|") + 1
     if "\t" in s:
         return s.count("\t") + 1
-    if (n := len(re.findall(r"\S {2,}(?=\S)", s))) >= 1:
+    if "  " in s and (n := len(COLUMNS.findall(s))) >= 1:
         return n + 1
-    for d in ",;":
-        tight = len(re.findall(rf"[^\s{d}]{d}(?=[^\s{d}])", s)) + len(re.findall(rf"{d}{d}", s))
-        if tight >= 2 and tight >= 0.7 * s.count(d):
+    for d, pattern in TIGHT.items():
+        if (held := s.count(d)) > 1 and (tight := len(pattern.findall(s))) >= 2 and tight >= 0.7 * held:
             return tight + 1
     return 0
 
 
+def ink(s: str) -> int:
+    """Characters but blanks."""
+    return sum(map(len, s.split()))
+
+
+LINK = re.compile(r"https?://|www\.")
+DIGIT = re.compile(r"\d")
+ODD = re.compile(r"[^\x00-\x7e–—‘’“”…•▪°€£½¼«»¿¡‚„]")
+
+
 def garbled(line: str, words: list[str]) -> bool:
     """No readable language in the line's own characters."""
-    solid = re.sub(r"\s", "", line)
-    if not solid:
+    pieces = line.split()
+    if not pieces:
         return False
-    if HEX.match(line.strip()) or (max(map(len, line.split())) >= 32 and not re.search(r"https?://|www\.", line)):
+    if (len(pieces) > 3 and HEX.match(line.strip())) or (max(map(len, pieces)) >= 32 and not LINK.search(line)):
         return True
-    letters = sum(map(len, words))
-    if len(solid) >= 3 and letters / len(solid) < 0.5 and not re.search(r"\d", line):
+    solid, letters = sum(map(len, pieces)), sum(map(len, words))
+    share = letters / solid
+    if share < 0.5 and solid >= 3 and not DIGIT.search(line):
         return True
-    odd = sum(1 for c in solid if ord(c) > 126 and not c.isalpha() and c not in "–—‘’“”…•▪°€£½¼«»¿¡‚„")
-    return len(solid) >= 6 and (odd / len(solid) > 0.15 or letters / len(solid) < 0.3)
+    if solid < 6:
+        return False
+    return share < 0.3 or (not line.isascii() and sum(not c.isalpha() for c in ODD.findall("".join(pieces))) / solid > 0.15)
+
+
+ROUGH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}|[aeiou]{4,}|^[bcdfghjklmnpqrstvwxz]{2,4}$|(.)\1\1|[a-z][A-Z]")
 
 
 def spoiled(words: list[str]) -> bool:
     """Letters in an order no language has: few words with a plain pattern of vowels and common words missing."""
-    long = [w for w in words if len(w) >= 2]
     if len(words) < 8:
         return False
-    singles = sum(len(w) == 1 for w in words) / len(words)
-    rough = sum(bool(re.search(r"[bcdfghjklmnpqrstvwxz]{5,}|[aeiou]{4,}|^[bcdfghjklmnpqrstvwxz]{2,4}$|(.)\1\1|[a-z][A-Z]", w)) for w in long) / max(1, len(long))
+    long = [w for w in words if len(w) >= 2]
+    singles = (len(words) - len(long)) / len(words)
+    rough = sum(ROUGH.search(w) is not None for w in long) / max(1, len(long))
     return singles > 0.3 or rough > 0.3 or (rough > 0.15 and singles > 0.12)
 
 
 def dominant(words: list[str]) -> float:
     """Greatest share of the characters that one word n-gram (n 1 to 5) or longer phrase covers, above what its
-    words would cover in prose: single common words don't count."""
+    words would cover in prose: single common words don't count. An n-gram comes again only where the
+    one a word shorter does, so each size looks only at the places the size before left."""
     total = sum(map(len, words))
-    best = 0.0
     if len(words) < 6 or not total:
         return 0.0
-    for n in (1, 2, 3, 4, 5):
-        grams = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    counts = Counter(words)
+    best = max((k * len(w) for w, k in counts.items() if k >= 3 and w not in COMMON), default=0) / total
+    starts = [i for i, w in enumerate(words) if counts[w] >= 2]
+    for n in (2, 3, 4, 5):
+        follows = set(starts)
+        at = [(i, tuple(words[i : i + n])) for i in starts if i + 1 in follows and i + n <= len(words)]
+        grams = Counter(g for _, g in at)
         for g, k in grams.items():
             size = sum(map(len, g))
-            if k < 3 or k * size <= best * total or (n == 1 and g[0] in COMMON):
+            if k < 3 or k * size <= best * total:
                 continue
             hits = k
             if any(g[:j] == g[-j:] for j in range(1, n)):  # it may overlap itself
-                hits, i = 0, 0
-                while i <= len(words) - n:
-                    if tuple(words[i : i + n]) == g:
-                        hits, i = hits + 1, i + n
-                    else:
-                        i += 1
+                hits, end = 0, 0
+                for i, x in at:
+                    if x == g and i >= end:
+                        hits, end = hits + 1, i + n
             best = max(best, hits * size / total)
-    return max(best, periodic(words))
+        starts = [i for i, g in at if grams[g] >= 2]
+    return max(best, periodic(words, starts))
 
 
-def periodic(words: list[str]) -> float:
+def periodic(words: list[str], starts: list[int]) -> float:
     """Share of the characters in words that come three times or more at one distance of six
-    words or more: the most frequent distance of equal runs of six words."""
+    words or more: the most frequent distance of equal runs of six words. starts: where runs of
+    five words begin that come again."""
     last: dict[tuple[str, ...], int] = {}
     far: Counter = Counter()
-    for i in range(len(words) - 5):
+    for i in starts:
+        if i > len(words) - 6:
+            break
         g = tuple(words[i : i + 6])
         if g in last and i - last[g] >= 6:
             far[i - last[g]] += 1
@@ -121,23 +150,25 @@ def periodic(words: list[str]) -> float:
     return sum(len(words[i]) for i in held) / sum(map(len, words))
 
 
-def run_kind(lines: list[str]) -> str:
-    """Kind of a run of unmarked lines: prose, list or junk."""
-    text = " ".join(lines)
-    words = WORD.findall(text)
+ITEMS = re.compile(r"[;•▪|/]\s|,\s")
+
+
+def run_kind(lines: list[str], words: list[str], n_common: int) -> str:
+    """Kind of a run of unmarked lines with their words, of which so many are common: prose, list or junk."""
     if not words:
-        return "junk" if len(re.sub(r"\s", "", text)) > 3 else "prose"
-    common = sum(w.lower() in COMMON for w in words) / len(words)
-    if spoiled(words) and common < 0.25:
+        return "junk" if sum(map(ink, lines)) > 3 else "prose"
+    common = n_common / len(words)
+    if common < 0.25 and spoiled(words):
         return "junk"
+    text = " ".join(lines)
     ends = len(END.findall(text))
-    per_line = len(words) / len(lines)
-    items = [x for x in re.split(r"[;•▪|/]\s|,\s", text) if x.strip()]
     if ends * 30 >= len(words) and common >= 0.1:
         return "prose"
+    per_line = len(words) / len(lines)
     if len(lines) >= 3 and per_line <= 8 and ends * 30 < len(words) and (common < 0.3 or lines_open(lines) > 0.6):
         return "list"
-    if common < 0.1 and len(items) >= 4 and len(words) / len(items) <= 4:
+    items = sum(1 for x in ITEMS.split(text) if x.strip()) if common < 0.1 else 0
+    if items >= 4 and len(words) / items <= 4:
         return "list"
     if common < 0.06 and len(words) >= 8:
         return "list" if per_line <= 8 and len(lines) >= 2 else "junk"
@@ -151,59 +182,79 @@ def lines_open(lines: list[str]) -> float:
     return len(early) / max(1, len(lines) - 1)
 
 
+FRAME, STROKE = re.compile(r"[|+]"), re.compile(r"-{2,}|={2,}")
+BREAK = re.compile(r"\n\s*\n")
+is_common = COMMON.__contains__
+
+
 def shape(text: str) -> dict[str, float]:
-    """Characters (blanks aside) by kind of line, and repetition figures."""
+    """Characters (blanks aside) by kind of line, and repetition figures. Each line is cut into words
+    once; runs and the whole text go by the same words."""
     lines = text.split("\n")
     size = {"prose": 0, "list": 0, "table": 0, "junk": 0}
-    weight = lambda s: len(re.sub(r"\s", "", s))
     cells = [cells_of(x) for x in lines]
+    all_words: list[str] = []
+    n_common = 0
     run: list[str] = []
+    run_words: list[str] = []
+    run_common = 0
 
     def close() -> None:
+        nonlocal run_common
         if run:
-            size[run_kind(run)] += sum(map(weight, run))
+            size[run_kind(run, run_words, run_common)] += sum(map(ink, run))
             run.clear()
+            run_words.clear()
+            run_common = 0
 
     for i, line in enumerate(lines):
         if not line.strip():
             if run and END.search(run[-1][-3:] + " "):
                 close()
             continue
-        around = [cells[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
         words = WORD.findall(line)
         lower = [w.lower() for w in words]
-        common = sum(w in COMMON for w in lower)
-        if RULE.match(line) and len(line.strip()) >= 3:
+        all_words += lower
+        common = sum(map(is_common, lower))
+        n_common += common
+        near = (cells[i - 1] if i else 0, cells[i + 1] if i + 1 < len(lines) else 0)
+        if not words and RULE.match(line) and len(line.strip()) >= 3:
             close()
-            size["table" if any(c >= 2 for c in around) and re.search(r"[|+]", line) and re.search(r"-{2,}|={2,}", line) else "junk"] += weight(line)
-        elif cells[i] >= 2 and (cells[i] in around or "|" in line and any(c >= 2 for c in around)) and common <= max(1, len(words) * 0.2) and not (garbled(line, words) and not re.search(r"\d", line)):
+            size["table" if max(near) >= 2 and FRAME.search(line) and STROKE.search(line) else "junk"] += ink(line)
+            continue
+        odd = garbled(line, words)
+        if cells[i] >= 2 and (cells[i] in near or "|" in line and max(near) >= 2) and common <= max(1, len(words) * 0.2) and not (odd and not DIGIT.search(line)):
             close()
-            size["table"] += weight(line)
-        elif garbled(line, words):
+            size["table"] += ink(line)
+        elif odd:
             close()
-            size["junk"] += weight(line)
-        elif (m := MARKER.match(line)) and (len(words) <= 8 or common < 0.15 * len(words)) and not (len(words) >= 6 and END.search(line) and common >= 2):
+            size["junk"] += ink(line)
+        elif MARKER.match(line) and (len(words) <= 8 or common < 0.15 * len(words)) and not (len(words) >= 6 and common >= 2 and END.search(line)):
             close()
-            size["list"] += weight(line)
+            size["list"] += ink(line)
         else:
             run.append(line)
+            run_words += words
+            run_common += common
     close()
-    words = [w.lower() for w in WORD.findall(text)]
-    full = [x.strip() for x in lines if x.strip()]
-    paragraphs = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+    full = [y for x in lines if (y := x.strip())]
+    paragraphs = [y for x in BREAK.split(text) if (y := x.strip())]
     total = sum(size.values()) or 1
     out = {f"{k}_share": v / total for k, v in size.items()}
     out["dup_line_share"] = 1 - len(set(full)) / len(full) if full else 0.0
     out["dup_paragraph_share"] = 1 - len(set(paragraphs)) / len(paragraphs) if paragraphs else 0.0
-    out["dominant_share"] = dominant(words)
-    out["distinct_share"] = len(set(words)) / len(words) if words else 0.0
-    out["common_share"] = sum(w in COMMON for w in words) / len(words) if words else 0.0
+    out["dominant_share"] = dominant(all_words)
+    out["distinct_share"] = len(set(all_words)) / len(all_words) if all_words else 0.0
+    out["common_share"] = n_common / len(all_words) if all_words else 0.0
+    out["n_words"] = len(all_words)
     return out
 
 
-def kind_by_rules(s: dict[str, float], n_words: int) -> str | None:
-    """list, table or junk where less than half of the text is prose; null for prose and blanks."""
-    if n_words >= 8 and s["table_share"] < 0.5 and (s["dominant_share"] >= 0.5 or (s["dup_line_share"] > 0.8 and s["distinct_share"] < 0.3)):
+def kind_by_rules(s: dict[str, float]) -> str | None:
+    """list, table or junk where less than half of the text is prose; null for prose and blanks. Lines or
+    paragraphs over and over (boilerplate), and a phrase that covers half of the text, are junk."""
+    repeats = max(s["dup_line_share"], s["dup_paragraph_share"]) > 0.8 and s["distinct_share"] < 0.3
+    if s["n_words"] >= 8 and s["table_share"] < 0.5 and (s["dominant_share"] >= 0.5 or repeats):
         return "junk"
     if s["prose_share"] >= 0.5 or not any(s[f"{k}_share"] for k in ("list", "table", "junk")):
         return None
@@ -222,7 +273,7 @@ def _shape(texts: pd.Series) -> pd.DataFrame:
             rows.append((None,) * (len(FIGURES) + 1))
             continue
         s = shape(t)
-        rows.append((*(s[f] for f in FIGURES), kind_by_rules(s, len(WORD.findall(t)))))
+        rows.append((*(s[f] for f in FIGURES), kind_by_rules(s)))
     return pd.DataFrame(rows, columns=[*FIGURES, "kind"])
 
 
