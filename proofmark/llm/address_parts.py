@@ -143,6 +143,7 @@ def parse(text: str | None, rewrites: dict[str, str] | None = None, streets_know
         z = zips[-1]
         got["zip"] = toks[z].split("+")[0]
     streets = [k for k in numbers if k not in zips[-1:] and re.fullmatch(r"\d{1,6}", toks[k])]
+    streets = streets or [k for k in numbers if k not in zips[-1:] and re.fullmatch(r"\d{1,6}[A-Z]", toks[k])]  # 221B
     marked = [k for k in streets if k and toks[k - 1] in NUMBER_WORDS]
     n = (marked or streets or [None])[0] if len(streets) < 2 or marked else _best_number(toks, streets)
     used: set[int] = set(zips[-1:])

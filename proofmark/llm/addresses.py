@@ -3,8 +3,10 @@
 Records are read into parts. Records that agree elsewhere (same number and ZIP code, say) but
 not in one part give pairs of spellings for it; a pair that is statistically significant and
 looks like an abbreviation or a slip becomes a rewrite of the rarer spelling to the commoner.
-Parts are re-normalised and matched again until no new rewrite appears. Then ZIP codes and
-majorities fill what is absent, and equal number, street, town and state are one premises.
+Parts are re-normalised and matched again until no new rewrite appears. Spellings that no record
+agrees on are rewritten by the kinds of slip that the mined rewrites show. Then ZIP codes and
+majorities fill what is absent, and equal number, direction, street, kind of street, town and state
+are one premises.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from proofmark.llm.address_parts import parse
 from proofmark.llm.canonical import abbreviates, deletions, distance
@@ -54,10 +56,10 @@ def read_parts(records: DataFrame) -> DataFrame:
 
     records = records.repartition(tasks(records.sparkSession))  # reading is heavy beside the bytes
     first = records.mapInArrow(reader(None), ddl)
-    total = F.lit(KNOWN_SHARE)
     counts = first.where(F.col("kind").isNotNull() & F.col("street").isNotNull()).groupBy("street").agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("whole"))
-    names = {r["street"]: r["n"] for r in counts.join(F.broadcast(whole), (F.col("n") >= 3) & (F.col("n") >= F.col("whole") * total)).select("street", "n").collect()}
+    counts = checkpointed(counts)
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    names = {r["street"]: r["n"] for r in counts.where(F.col("n") >= max(3.0, KNOWN_SHARE * whole)).collect()}
     return records.mapInArrow(reader(records.sparkSession.sparkContext.broadcast(names)), ddl)
 
 
@@ -120,10 +122,10 @@ def mine(parts: DataFrame) -> DataFrame:
     # Of the places of a spelling only those count where a commoner one stands beside it.
     places = seen.where(F.col("v") != F.col("top.v")).groupBy("part", F.col("v").alias("old")).agg(F.sum("in_key").alias("n_places"))
     found = found.join(places, ["part", "old"])
-    whole = counts.groupBy("part").agg(F.sum("n").cast("double").alias("whole"))
-    found = found.join(F.broadcast(whole), "part")  # two rows
+    n = parts.agg(F.count("street").cast("double").alias("street"), F.count("town").cast("double").alias("town")).first()
     d = lambda c: F.col(c).cast("double")
-    found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), "whole"))
+    whole = F.when(F.col("part") == "street", n["street"]).otherwise(n["town"])
+    found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), whole))
     return found.groupBy("part", "old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new"))
 
 
@@ -140,41 +142,72 @@ def _blocks(v: pd.Series) -> pd.Series:
     return v.map(lambda s: sorted(blocks(s)))
 
 
+def blocks_of_long(x: str) -> set[str]:
+    return {x[:20], x[-20:], *(x[k : k + 10] for k in range(28, 33))}
+
+
 def blocks(s: str) -> set[str]:
     """What is left where letters are left out (of long ones stretches, one of which two slips
     leave alone), three letters that an abbreviation of the first word keeps, the name behind SAINT."""
     x, w = s.replace(" ", ""), s.split(" ")[0]
     if len(x) > 60:
-        slips = {x[:20], x[-20:], *(x[k : k + 10] for k in range(28, 33))}
+        slips = blocks_of_long(x)
     else:
         slips = set(deletions(x, 2 if len(x) >= 5 else 1))
     kept = {w[0] + p + q + "*" for p, q in combinations(w[1:60], 2)} if len(w) > 2 else {w + "*"}
     return slips | kept | {s.removeprefix("SAINT ") + "+"}
 
 
-def near_known(parts: DataFrame) -> DataFrame:
-    """(part, old, new) for spellings no record agrees on: a rare one with exactly one common
-    spelling within an edit (two in long words), met by symmetric deletion in a join (names of 6 to
-    60 letters); for towns the records' own state must be the common town's, if they tell one."""
+def slip_of(old: str, new: str) -> str:
+    """The kind of slip that makes old of new: one letter doubled, added, dropped, changed, or two
+    swapped; `two` for two slips, `none` for what is no slip."""
+    if old == new:
+        return "none"
+    edits = distance(old, new)[0]
+    if edits != 1:
+        return "two" if edits == 2 else "none"
+    if len(old) == len(new):
+        return "swapped" if sorted(old) == sorted(new) else "changed"
+    if len(old) < len(new):
+        return "dropped"
+    k = next((i for i, c in enumerate(new) if old[i] != c), len(new))
+    return "doubled" if k and old[k] == old[k - 1] else "added"
+
+
+@F.pandas_udf(StringType())
+def _slip(old: pd.Series, new: pd.Series) -> pd.Series:
+    return pd.Series([slip_of(a, b) for a, b in zip(old, new)], dtype=object)
+
+
+def mined_slips(log: list[DataFrame]) -> list[str]:
+    """Kinds of slip that the mined rewrites show significantly often: more often than the share
+    that unlike spellings would have it by chance (one in a hundred), by the log-likelihood ratio."""
+    if not log:
+        return []
+    seen = {r["slip"]: r["n"] for r in reduce(DataFrame.unionByName, log).groupBy(_slip("old", "new").alias("slip")).agg(F.count("*").alias("n")).collect()}
+    whole = sum(seen.values())
+    return sorted(k for k, n in seen.items() if k != "none" and n >= 3 and _significant(n, whole, 0.01 * whole, whole))
+
+
+def by_slips(parts: DataFrame, slips: list[str]) -> DataFrame:
+    """(part, old, new) for spellings no record agrees on: a rare one that one of the mined kinds of
+    slip makes of exactly one common spelling, the nearest, met by symmetric deletion in a join; for
+    towns the records' own state must be the common town's, if they tell one. Names of over 60
+    letters are met by the stretches that two slips leave alone."""
     counts = _spellings(parts).groupBy("part", "v").agg(F.count("*").alias("n"), F.mode("state").alias("state"))
-    keyed = counts.where(F.length("v").between(6, 60)).withColumn("d", F.explode_outer(_deleted("v")))
+    keyed = counts.where(F.length("v") >= 6).withColumn("d", F.explode_outer(_deleted("v")))
     rare = keyed.select("part", F.col("v").alias("old"), F.col("n").alias("n_old"), F.col("state").alias("s_old"), "d")
     common = keyed.where("n >= 5").select("part", F.col("v").alias("new"), F.col("n").alias("n_new"), F.col("state").alias("s_new"), "d")
     met = rare.join(common, ["part", "d"]).where((F.col("old") != F.col("new")) & (F.col("n_new") >= 10 * F.col("n_old")))
     met = met.where((F.col("part") == "street") | F.col("s_old").isNull() | (F.col("s_old") == F.col("s_new")))
-    met = met.select("part", "old", "new").distinct().withColumn("edits", _edits("old", "new")).where("edits <= 2")
-    nearest = met.groupBy("part", "old", "edits").agg(F.count("*").alias("k"), F.min("new").alias("new"))
-    return nearest.groupBy("part", "old").agg(F.min(F.struct("edits", "k", "new")).alias("m")).where("m.k = 1").select("part", "old", "m.new")
+    met = met.select("part", "old", "new").distinct().withColumn("slip", _slip("old", "new")).where(F.col("slip").isin(slips))
+    nearest = met.groupBy("part", "old", (F.col("slip") == "two").alias("two")).agg(F.count("*").alias("k"), F.min("new").alias("new"))
+    return nearest.groupBy("part", "old").agg(F.min(F.struct("two", "k", "new")).alias("m")).where("m.k = 1").select("part", "old", "m.new")
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _deleted(v: pd.Series) -> pd.Series:
-    return v.map(lambda s: sorted(set(deletions(s, 2 if len(s) >= 8 else 1))))
-
-
-@F.pandas_udf(IntegerType())
-def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y)[0] for x, y in zip(a, b)], dtype="int32")
+    return v.map(lambda s: sorted(blocks_of_long(s) if len(s) > 60 else set(deletions(s, 2 if len(s) >= 8 else 1))))
 
 
 def rewritten(parts: DataFrame, rewrites: DataFrame) -> DataFrame:
@@ -190,10 +223,15 @@ def normalised_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts at the fixed point and all rewrites (part, old, new, round)."""
     parts = checkpointed(read_parts(address_records(rows)))
     log: list[DataFrame] = []
+    mined: list[DataFrame] = []
+    slips: list[str] | None = None
     for n in count(1):  # ends: a rewrite leads to a commoner spelling, so each round leaves fewer
         new = checkpointed(mine(parts).withColumn("round", F.lit(n)))
-        if new.isEmpty():
-            new = checkpointed(near_known(parts).withColumn("round", F.lit(n)))
+        if not new.isEmpty():
+            mined.append(new)
+        else:
+            slips = mined_slips(mined) if slips is None else slips
+            new = checkpointed(by_slips(parts, slips).withColumn("round", F.lit(n))) if slips else new
             if new.isEmpty():
                 break
         log.append(new)
@@ -220,13 +258,34 @@ def located(parts: DataFrame) -> DataFrame:
     return whole.unionByName(lacking).where("number is not null and street is not null and town is not null and state is not null")
 
 
+PLACE = ["number", "street", "town", "state"]
+
+
+def told_apart(placed: DataFrame) -> DataFrame:
+    """Placed records with direction and kind of street as far as they tell premises apart. Where the
+    records of one number, street name, town and state give one kind at most, those without it have it
+    too; where they give several (Oak Street and Oak Avenue), each is a premises of its own, and
+    records that don't tell are another. Directions likewise. ST before a town named SAINT may
+    belong to either, so it tells nothing."""
+    sure = F.when(~((F.col("kind") == "STREET") & F.startswith("town", F.lit("SAINT "))), F.col("kind"))
+    placed = placed.withColumn("kind", sure)
+    # At most as many different kinds and directions as the tables of these words have.
+    told = placed.groupBy(*PLACE).agg(F.collect_set("kind").alias("_k"), F.collect_set("direction").alias("_d"), F.min("address_id").alias("_first"))
+    one = lambda own, all_: F.when(F.size(all_) > 1, F.coalesce(own, F.lit(""))).otherwise(F.coalesce(F.get(all_, F.lit(0)), F.lit("")))
+    df = placed.join(told, PLACE)
+    return df.select("address_id", *PLACE, one(F.col("direction"), F.col("_d")).alias("direction"), one(F.col("kind"), F.col("_k")).alias("kind"), ((F.size("_k") < 2) & (F.size("_d") < 2)).alias("_alone"), "_first")
+
+
 def premises(rows: DataFrame) -> DataFrame:
-    """(address_id, premises_id, number, street, town, state): one row per record that can be
-    placed; premises_id is the smallest address_id there."""
+    """(address_id, premises_id, number, direction, street, kind, town, state): one row per record that
+    can be placed; premises_id is the smallest address_id there."""
     parts, _ = normalised_parts(rows)
-    df = checkpointed(located(parts).select("address_id", "number", "street", "town", "state"))
-    ids = df.groupBy("number", "street", "town", "state").agg(F.min("address_id").alias("premises_id"))
-    return df.join(ids, ["number", "street", "town", "state"]).select("address_id", "premises_id", "number", "street", "town", "state")
+    df = checkpointed(told_apart(located(parts)))
+    key = ["number", "direction", "street", "kind", "town", "state"]
+    apart = df.where(~F.col("_alone"))
+    ids = apart.groupBy(*key).agg(F.min("address_id").alias("premises_id"))
+    cols = ["address_id", "premises_id", *key]
+    return df.where("_alone").withColumn("premises_id", F.col("_first")).select(*cols).unionByName(apart.join(ids, key).select(*cols))
 
 
 def same_premises(rows: DataFrame) -> DataFrame:

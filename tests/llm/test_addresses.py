@@ -15,6 +15,7 @@ from proofmark.llm.address_parts import parse
         ("17267 packhorse street,garrowmouth,39599", "17267", None, "PACKHORSE", "STREET", "GARROWMOUTH", None, "39599"),
         ("No. 1398 E. Knollwood Rd., #5, Inverton, GA, U.S.A.", "1398", "EAST", "KNOLLWOOD", "ROAD", "INVERTON", "GA", None),
         ("876 Kingfisher Jasperwick OR Distilled and bottled by Linden Path Brewing Co", "876", None, "KINGFISHER", None, "JASPERWICK", "OR", None),
+        ("Holmes Cellars, 221B Baker Street, Inverton, GA", "221B", None, "BAKER", "STREET", "INVERTON", "GA", None),
         ("", None, None, None, None, None, None, None),
         (None, None, None, None, None, None, None, None),
         ("no address at all", None, None, None, None, None, None, None),
@@ -34,11 +35,12 @@ def rows(spark, texts):
 
 def corpus():
     """Enough plain records that slips stand out."""
-    streets, towns = ["ORCHARDVIEW", "PACKHORSE", "LIMEKILN", "TOLLHOUSE", "WEAVERS"], [("INVERTON", "GA", "11103"), ("TARBOWICK", "CO", "45490"), ("MOUNT QUIMTON", "VT", "12199")]
+    made = [a + b for a in ("ALDER", "BRINE", "COPPER", "DROVE", "EMBER", "FALCON", "GARNET", "HARROW") for b in ("GATE", "MILL", "ROW", "SIDE", "WALK")]
+    streets, towns = ["ORCHARDVIEW", "PACKHORSE", "LIMEKILN", "TOLLHOUSE", "WEAVERS", *made], [("INVERTON", "GA", "11103"), ("TARBOWICK", "CO", "45490"), ("MOUNT QUIMTON", "VT", "12199")]
     n = 1000
     out = []
-    for k in range(150):
-        s, (t, st, z) = streets[k % 5], towns[k % 3]
+    for k in range(450):
+        s, (t, st, z) = streets[k % 45], towns[k % 3]
         out.append((n + k, f"Some Firm Cellars, {100 + k} {s.title()} Street, {t.title()}, {st} {z}"))
     return out
 
@@ -100,6 +102,37 @@ def test_rounds_go_on_until_nothing_is_new(spark, monkeypatch):
         return spark.createDataFrame([("town", *x)] if x else [], "part string, old string, new string")
 
     monkeypatch.setattr(a, "mine", mined)
-    monkeypatch.setattr(a, "near_known", lambda parts: spark.createDataFrame([], "part string, old string, new string"))
+    monkeypatch.setattr(a, "by_slips", lambda parts, slips: spark.createDataFrame([], "part string, old string, new string"))
     parts, log = a.normalised_parts(rows(spark, [(1, "1 Oak Street, W0, GA 11103"), (2, "2 Oak Street, W0, GA 11103")]))
     assert log.count() == 13
+
+
+def pairs(spark, own):
+    return {tuple(r) for r in a.same_premises(rows(spark, own + corpus())).collect() if r["address_id_1"] < 1000}
+
+
+def test_kinds_of_street_and_directions_tell_apart(spark):
+    at = "Inverton, GA 11103"
+    kinds = [(1, f"12 Oak St, {at}"), (2, f"12 Oak Ave, {at}"), (3, f"12 Oak Avenue, {at}"), (4, f"12 Oak, {at}"), (5, f"14 Oak Ave, {at}"), (6, f"14 Oak, {at}")]
+    assert pairs(spark, kinds) == {(2, 3), (5, 6)}
+    sides = [(1, f"12 N Elm St, {at}"), (2, f"12 North Elm St, {at}"), (3, f"12 S Elm St, {at}"), (4, f"12 Elm St, {at}"), (5, f"14 S Elm St, {at}"), (6, f"14 Elm St, {at}")]
+    assert pairs(spark, sides) == {(1, 2), (5, 6)}
+    letters = [(1, f"221B Baker Street, {at}"), (2, f"221B Baker St, {at}"), (3, f"221 Baker St, {at}")]
+    assert pairs(spark, letters) == {(1, 2)}
+
+
+def test_st_before_a_saint_is_no_kind(spark):
+    own = [(1, "12 Potters Drive, Saint Ives, GA 11199"), (2, "12 Potters St Ives GA 11199"), (3, "12 Potters Dr., St. Ives, GA")]
+    assert pairs(spark, own) == {(1, 2), (1, 3), (2, 3)}
+
+
+@pytest.mark.parametrize("old,new,kind", [("OAKK", "OAK", "doubled"), ("OK", "OAK", "dropped"), ("OKA", "OAK", "swapped"), ("OIK", "OAK", "changed"), ("OAXK", "OAK", "added"), ("OAXKY", "OAK", "two"), ("OAK", "OAK", "none"), ("ELM", "OAK", "none")])
+def test_slips(old, new, kind):
+    assert a.slip_of(old, new) == kind
+
+
+def test_only_mined_kinds_of_slip_are_used(spark):
+    own = rows(spark, [(1, "9000 Orchardveiw Street, Inverton, GA")] + corpus())
+    parts = a.read_parts(a.address_records(own))
+    assert [tuple(r) for r in a.by_slips(parts, ["swapped"]).collect()] == [("street", "ORCHARDVEIW", "ORCHARDVIEW")]
+    assert a.by_slips(parts, ["changed", "doubled"]).count() == 0 and a.mined_slips([]) == []
