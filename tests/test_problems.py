@@ -171,8 +171,7 @@ def drifting(spark, files):
 
 
 def changes(spark, files):
-    fields = drift.field_table(drifting(spark, files))
-    return sorted((r["file_id"], r["change_kind"], r["field"]) for r in drift.schema_changes(fields).collect())
+    return sorted((r["file_id"], r["change_kind"], r["field"]) for r in drift.drifted(drift.migrations(drifting(spark, files))).collect())
 
 
 def csv_of(head, *rows):
@@ -215,16 +214,22 @@ def test_kinds():
     assert drift.field_name("BRAND-NAME") == drift.field_name("Brand Name") == drift.field_name("brandName") == "brand_name"
 
 
+def routed(spark, files, links=()):
+    """The routes of files by given renames (feed, file_no, old_key, key)."""
+    versions = drift.file_versions(drift.read_files(drifting(spark, files)))
+    fields = versions.select(F.explode("fields").alias("f")).select("f.key", "f.name")
+    return drift.routed_fields(versions, *drift.routes(spark.createDataFrame(list(links), "feed string, file_no int, old_key string, key string"), fields))
+
+
 def test_consistent_table(spark):
-    files = [(1, "f", 1, "csv", "brand_name,x\nA,1\n,2"), (2, "f", 2, "json", '[{"Marque": "B", "y": {"z": 1}}]')]
-    df = drift.consistent_table(drifting(spark, files), {"brandname": "brand_name", "marque": "brand_name", "x": "x", "y": "y"})
+    files = [(1, "f", 1, "csv", "brand_name,x\nA,1\n,2"), (2, "f", 2, "json", '[{"Marque": "B", "y": {"z": 1}}]'), (3, "f", 2, "csv", "brand_name\nagain")]
+    df = drift.consistent_table(drifting(spark, files), routed(spark, files, [("f", 2, "brandname", "marque")]))
     got = sorted((r["file_id"], r["record_no"], r["brand_name"], r["other_fields"]) for r in df.collect())
     assert got == [(1, 1, "A", {"x": "1"}), (1, 2, None, {"x": "2"}), (2, 1, "B", {"y": '{"z": 1}'})]
 
 
 def test_table_by_feed_and_version(spark):
-    steps = [("f", 2, "brandname", "label"), ("f", 5, "x", "label"), ("g", 2, "classtype", "label"), ("h", 2, "brandname", "marque")]
-    changes = spark.createDataFrame([(1, f, n, "renamed", new, old) for f, n, old, new in steps], "file_id long, feed string, file_no int, change_kind string, field string, old_field string")
+    links = [("f", 2, "brandname", "label"), ("f", 5, "x", "label"), ("g", 2, "classtype", "label"), ("h", 2, "brandname", "marque")]
     files = [
         (1, "f", 1, "csv", "brand_name,x\nA,1"),
         (2, "f", 2, "csv", "label,x\nB,2"),
@@ -233,16 +238,41 @@ def test_table_by_feed_and_version(spark):
         (5, "i", 1, "json", '[{"marque": ["M", "N"], "Brand Name": "L", "net_contents": 750.0, "alcohol_content": 45.5, "warning_required": false, "name_address": {"name": "P", "address": "Q"}}]'),
         (6, "j", 1, "csv", "label,marque\nZ,O"),
     ]
-    fields = drift.field_table(drifting(spark, files))
-    found, usual = drift.migration_steps(changes, fields)
-    got = {r["file_id"]: r for r in drift.consistent_table(drifting(spark, files), usual, found).collect()}
+    to = routed(spark, files, links)
+    got = {r["file_id"]: r for r in drift.consistent_table(drifting(spark, files), to).collect()}
     assert (got[1]["brand_name"], got[2]["brand_name"], got[3]["brand_name"], got[4]["brand_name"], got[6]["brand_name"]) == ("A", "B", None, None, "O")
     assert got[2]["other_fields"] == {"label": "2"} and got[3]["other_fields"] == {"label": "3"} and got[4]["class_type"] == "GIN" and got[6]["other_fields"] == {"label": "Z"}
     assert (got[5]["brand_name"], got[5]["other_fields"]) == ("L", {"brand_name.marque": "M, N"})
     assert (got[5]["net_contents"], got[5]["alcohol_content"], got[5]["warning_required"], got[5]["name_address"]) == ("750 ML", "45.5% ALC/VOL", "not required", "P, Q")
+    steps = {(r["file_id"], r["step"], r["column"]) for r in drift.applied_steps(to).collect()}
+    assert {(2, "rename", "brand_name"), (4, "rename", "class_type"), (5, "cast", "warning_required"), (5, "cast", "name_address"), (4, "default", "brand_name")} <= steps
+    assert not any(s[:2] in ((1, "rename"), (1, "cast"), (5, "default")) and s[2] == "brand_name" for s in steps)
+
+
+def test_unread_files_are_reported(spark):
+    deep = "[" * 100_000
+    files = [(1, "f", 1, "json", "{broken"), (2, "f", 2, "csv", "a\n1"), (3, "f", 3, "csv", ""), (4, None, 1, "csv", "a\n1"), (5, "f", 2, "csv", "b\n1"), (6, "f", 4, "json", deep), (7, "f", None, "csv", "a\n1"), (8, "f", 9, "csv", "a\n" + "x" * 200_000), (9, "f", 10, "csv", "a\n1")]
+    m = drift.migrations(drifting(spark, files))
+    got = {(r["file_id"], r["change_kind"]) for r in drift.schema_changes(m).collect()}
+    assert got == {(1, "unreadable"), (3, "empty"), (4, "unordered"), (5, "repeated"), (6, "unreadable"), (7, "unordered"), (8, "retyped"), (9, "retyped")}
+    table = drift.consistent_table(drifting(spark, files), routed(spark, files))
+    assert sorted(r["file_id"] for r in table.select("file_id").collect()) == [2, 8, 9]
 
 
-def test_hot_feed_has_no_window(spark):
-    fields = drift.field_table(drifting(spark, [(1, "f", 1, "csv", "a\n1")]))
-    plan = drift.predecessors(fields)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Window" not in plan and F is not None
+def test_same_schema_is_one_version(spark):
+    files = [(k, "f", k, "csv", f"{'Brand Name' if k < 5 else 'brand-name'},x\nA,{k}") for k in range(1, 9)]
+    v = drift.fingerprints(drift.file_versions(drift.read_files(drifting(spark, files))))
+    assert sorted(r["file_id"] for r in v.where("new_version").collect()) == [1]
+
+
+def test_order_of_a_long_feed_with_gaps(spark, monkeypatch):
+    """Every file's predecessor, from ranges of any length, with gaps throughout."""
+    import random
+
+    rnd = random.Random(3)
+    numbers = sorted(rnd.sample(range(1, 400), 150))
+    read = spark.createDataFrame([(n, "f", n, None, [("a", f"v{n}", "text")], []) for n in numbers], drift.FILE_SCHEMA)
+    want = dict(zip(numbers, [None, *numbers]))
+    for width in (1000, 7, 1):
+        monkeypatch.setattr(drift, "RANGE", width)
+        assert {r["file_no"]: r["before_no"] for r in drift.file_versions(read).collect()} == want
