@@ -1,17 +1,20 @@
 """Text of scanned pages made continuous and readable.
 
 A noisy-channel reader: what a scan shows is the meant word sent through a channel that takes
-some characters for others. Candidates of a word are the known words that the confusion table
-leads to; per line Viterbi picks the chain of greatest channel probability times corpus n-gram
-likelihood (unigrams and bigrams over all texts). Lines are further told to be page numbers or
-running headers, and words divided at a line end are joined, unless they are compounds that
-have their hyphen anyway. What is left is folded into paragraphs.
+some characters for others. Which may be taken for which is a table; how often each is, is
+estimated from the corpus. Candidates of a word are the known words that confusions lead to;
+per line Viterbi picks the chain of greatest channel probability times corpus n-gram likelihood
+(unigrams and bigrams over all texts), figures by that of all figures. Lines are further told to be
+page numbers or running headers, and words divided at a line end are joined, unless they are compounds
+that have their hyphen anyway. What is left is folded into paragraphs. What is learned is fixed
+before the first line is read, so results don't depend on how rows are spread or ordered.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import ne
@@ -27,8 +30,8 @@ from proofmark.runtime import checkpointed, fits, spread
 #: Words and pairs known to the model: at least this share of all, so 1 / share of each at most.
 KNOWN_SHARE = 2e-6
 LEAST_COUNT = 3
-#: Probability that a character is read as another one, spread over the confusions.
-ERROR = 0.002
+#: Probability of a confusion before anything is counted, and the places of its character that this weighs as much as.
+ERROR, PRIOR = 0.002, 1000.0
 #: Times as common as the word read a candidate must be; words with digits among letters need it only be commoner.
 COMMONER = 10
 #: Words below the known share that are sent to the readers too; more are joined to the rows that ask for them.
@@ -45,6 +48,7 @@ MEANT: dict[str, list[str]] = defaultdict(list)
 for _read, _meant in CONFUSIONS:
     MEANT[_read].append(_meant)
 LONGEST = max(map(len, MEANT))
+MEANINGS = sorted({m for _, m in CONFUSIONS})
 DIGIT_FOR = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "i": "1", "|": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "G": "6", "b": "6", "g": "9", "q": "9"}
 
 WORD = re.compile(r"[+|]?[^\W_]+(?:['’|!$@+][^\W_]+)*[+|]?")
@@ -99,6 +103,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Times its expected slips up to which the occurrences of a suspect are taken for slips.
+EXPLAINED = 3
 #: Times that a word counts as seen though it isn't known.
 UNSEEN = 0.01
 
@@ -108,66 +114,106 @@ def is_mixed(w: str) -> bool:
     return re.search(r"[^\W\d_]", w) is not None and re.search(r"[\d|!$@+]", w) is not None
 
 
-def chains(w: str, levels: int) -> Iterator[dict[str, float]]:
-    """What one confusion, two and so on may have made w of, with the log channel probability."""
-    level = {w: 0.0}
-    for _ in range(levels):
-        nxt: dict[str, float] = {}
-        for s, p in level.items():
-            for i in range(len(s)):
-                for k in range(1, LONGEST + 1):
-                    for m in MEANT.get(s[i : i + k], ()) if len(s) - i >= k else ():
-                        v = s[:i] + m + s[i + k :]
-                        q = p + math.log(ERROR)
-                        if v != w and (v not in nxt or nxt[v] < q):
-                            nxt[v] = q
-        yield nxt
-        level = nxt if len(nxt) < 4000 else {}
+Channel = dict[tuple[str, str], float]
+
+
+def meanings(w: str, k: int, channel: Channel, vocabulary: list[str] | None = None) -> Iterator[tuple[str, float, tuple]]:
+    """(v, log channel probability, confusions) of all strings v that exactly k confusions, at places of
+    their own, may have made w of; of a sorted vocabulary, if one is given, all that can begin with
+    what is read so far decide whether a path goes on, so nothing is cut off."""
+    todo = [(0, "", k, 0.0, ())]
+    while todo:
+        i, out, left, p, used = todo.pop()
+        if i == len(w):
+            if not left and (vocabulary is None or ((at := bisect_left(vocabulary, out)) < len(vocabulary) and vocabulary[at] == out)):
+                yield out, p, used
+            continue
+        if len(w) - i < left:
+            continue
+        steps = [(1, w[i], left, p, used)]
+        for size in range(1, LONGEST + 1) if left else ():
+            read = w[i : i + size]
+            if len(read) == size:
+                steps += [(size, m, left - 1, p + channel.get((read, m), LOG_ERROR), (*used, (read, m))) for m in MEANT.get(read, ())]
+        for size, m, rest, q, u in steps:
+            v = out + m
+            if vocabulary is None or ((at := bisect_left(vocabulary, v)) < len(vocabulary) and vocabulary[at].startswith(v)):
+                todo.append((i + size, v, rest, q, u))
+
+
+LOG_ERROR = math.log(ERROR)
+
+
+def is_plain_word(v: str) -> bool:
+    return len(v) > 1 and v.replace("-", "").replace("'", "").isalpha()
 
 
 class Model:
-    """Known words, pairs and the reader that corrects lines."""
+    """Known words, pairs, the channel, and the reader that corrects lines."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, rare: dict[str, int] | None = None, longest: int | None = None):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, rare: dict[str, int] | None = None, longest: int | None = None, channel: Channel | None = None, suspects: frozenset[str] = frozenset()):
         self.words, self.pairs, self.total = words, pairs, max(1, total)
         self.counts = words | (rare or {})  # of words below the known share too
-        self.longest = (max(map(len, self.counts), default=0) if longest is None else longest) + 4  # no confusion chain shortens a word by more
+        self.vocabularies = [sorted(self.counts)]
+        self.longest = (max(map(len, self.counts), default=0) if longest is None else longest) + 4  # no confusions shorten a word by more
+        self.channel = channel or {}
+        self.suspects = suspects  # known words that may be frequent slips of commoner ones
+        self.figures = sum(n for w, n in words.items() if w.isdigit())
         self.asked: set[str] | None = None  # where set: what is looked up though not known
-        self.options: dict[str, list[tuple[str, float]]] = {}
-        self.suspects: set[str] = set()  # known words that may be frequent slips of commoner ones
+        self.options: dict[str, list[tuple[str, float]]] = {}  # what was found already, whoever asks
         self.clean: set[str] = set()  # words that can only be meant as they stand
 
+    def add_rare(self, counts: dict[str, int]) -> None:
+        """Counts that rows bring along; they hold all that the words of these rows may stand for."""
+        self.counts = self.words | counts
+        self.vocabularies[1:] = [sorted(counts)]
+        self.options.clear()
+        self.clean.clear()
+
+    def found(self, w: str) -> dict[str, tuple[float, tuple]]:
+        """Commoner known words that one confusion leads to, two in a word that is not known, three
+        where it has digits among its letters, with channel probability and confusions: those of
+        the fewest confusions that lead to any."""
+        mixed = is_mixed(w)
+        least = self.counts.get(w, 1) * (1 if mixed else COMMONER)
+        out: dict[str, tuple[float, tuple]] = {}
+        for k in range(1, (3 if mixed else 1 if w in self.words else 2) + 1):
+            for vocabulary in self.vocabularies:
+                for v, q, used in meanings(w, k, self.channel, vocabulary):
+                    if v != w and self.counts[v] > least and is_plain_word(v) and (v not in out or q > out[v][0]):
+                        out[v] = q, used
+            if out:
+                break
+        return out
+
     def candidates(self, w: str) -> list[tuple[str, float]]:
-        """(meant word, log channel probability): the word itself and commoner known words that one
-        confusion leads to, two in a word that is not known, three where it has digits among its
-        letters; such a word is not itself a candidate where it has others, however often it is
-        read so. A known word with a much commoner candidate is a suspect."""
+        """(meant word, log channel probability): the word itself and what is found for it; a word with
+        digits among its letters is not itself a candidate where it has others, however often it
+        is read so, and a suspect only as often as the channel doesn't explain."""
         if self.asked is not None and w not in self.words:
             self.asked.add(w)
         if w in self.options:
             return self.options[w]
         if len(w) > self.longest:
             return [(w, 0.0)]
-        mixed = is_mixed(w)
-        least = self.counts.get(w, 1) * (1 if mixed else COMMONER)
-        found: dict[str, float] = {}
-        for nxt in chains(w, 3 if mixed else 1 if w in self.words else 2):
-            for v, q in nxt.items():
-                n = self.counts.get(v, 0)
-                if n > least and len(v) > 1 and v.replace("-", "").replace("'", "").isalpha():
-                    # Below the known share a word has no likelihood but as a candidate: its own is added here.
-                    found[v] = q if v in self.words else q + math.log((n + UNSEEN) / UNSEEN)
-            if found:
-                break
-        out = list(found.items())
-        if not (mixed and out):
-            out.append((w, 0.0))
-            if found:
-                self.suspects.add(w)
+        # Below the known share a word has no likelihood but as a candidate: its own is added here.
+        found = self.found(w)
+        out = [(v, q if v in self.words else q + math.log((self.counts[v] + UNSEEN) / UNSEEN)) for v, (q, _) in found.items()]
+        if not (out and is_mixed(w)):
+            n = self.words.get(w, 0)
+            slips = EXPLAINED * max((self.counts[v] * math.exp(q) for v, (q, _) in found.items()), default=0.0)
+            out.append((w, math.log((max(0.0, n - slips) + UNSEEN) / (n + UNSEEN))))
         if len(self.options) < 500_000:
             self.options[w] = out
         return out
 
+    def is_figure(self, read: str, meant: str) -> bool:
+        """Whether a figure with letters for digits is meant as one: the channel's probability times
+        that of a figure, against the likelihood of what is read."""
+        chance = sum(self.channel.get((a.lower(), b), LOG_ERROR) for a, b in zip(read, meant) if a != b)
+        own = self.counts.get(read.lower(), 0) if any(c.isdigit() for c in read) else 0  # letters alone stand before %, where no word does
+        return chance + math.log(self.figures + 1.0) > math.log(own + UNSEEN)
+
     def likelihood(self, before: str, w: str) -> float:
         """Log probability of a word after another one. Pairs with a suspect aren't heard: where a
         slip is frequent its own neighbours would speak for it."""
@@ -212,10 +258,47 @@ class Model:
         return not (whole_a >= 5 and whole_b >= 5)
 
 
+def _slips(shared: object) -> object:
+    """Matcher of counted words (a, n): which confusions the words show that have one meaning only (read,
+    meant, n), how often the characters stand where nothing is confused ("", meant, n), and which
+    words are suspects (read null, the word, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        for b in batches:
+            out: Counter = Counter()
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = model.found(w) if len(w) <= model.longest else {}
+                mixed = is_mixed(w)
+                if found and not mixed and w in model.words:
+                    out[None, w] += n
+                if len(found) == 1:
+                    out.update({x: n for x in next(iter(found.values()))[1]})
+                figure = "".join(DIGIT_FOR.get(c, c) for c in w)
+                if mixed and not found and figure.isdigit():
+                    out.update({(a, b): n for a, b in zip(w, figure) if a != b})
+                if not found:
+                    out.update({("", m): n * k for m in MEANINGS if (k := w.count(m))} | {("", c): n * w.count(c) for c in set(w) if c.isdigit()})
+            if out:
+                yield pa.RecordBatch.from_pydict({"read": [a for a, _ in out], "meant": [b for _, b in out], "n": list(out.values())}, schema=pa.schema([("read", pa.string()), ("meant", pa.string()), ("n", pa.int64())]))
+
+    return run
+
+
+def _channel(rows: list[tuple[str, str, int]]) -> Channel:
+    """Log probability of each confusion seen: its count over the places of its character, the prior
+    beside them."""
+    places = {m: n for r, m, n in rows if r == ""}
+    seen = {(r, m): n for r, m, n in rows if r}
+    chance = lambda read, m: (seen.get((read, m), 0) + PRIOR * ERROR) / (places.get(m, 0) + seen.get((read, m), 0) + PRIOR)
+    return {x: math.log(chance(*x)) for x in {*CONFUSIONS, *seen}}
+
+
 def learn(texts: DataFrame) -> tuple[Model, DataFrame | None]:
     """The model over all texts (one string column). What is known is a fixed share of all words,
     so the size that is broadcast is bounded however large the corpus is. Rarer words seen twice at
-    least go with it where they are few; else they are a table (a, n) that is joined to the rows."""
+    least go with it where they are few; else they are a table (a, n) that is joined to the rows.
+    Confusion probabilities and suspects are worked out from all counted words, once."""
     counts = spread(texts).mapInArrow(_counts, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     n, single = F.col("n"), F.col("b").isNull()
     counts = counts.where((n >= LEAST_COUNT) | (single & (n >= 2)))
@@ -228,11 +311,17 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame | None]:
         rare = counts.where(single & (n < least)).select("a", "n")
         table = None if fits(rare, RARE_ROWS) else checkpointed(rare)
         few = {r["a"]: r["n"] for r in rare.collect()} if table is None else {}
+        words = {r["a"]: r["n"] for r in rows if r["b"] is None}
+        pairs = {(r["a"], r["b"]): r["n"] for r in rows if r["b"] is not None}
+        longest = max(longest or 0, max(map(len, words), default=0))
+        # What a known word may be a slip of is commoner, so known itself: suspects need the known words alone.
+        shared = texts.sparkSession.sparkContext.broadcast((words, {}, total, None, longest))
+        told = counts.where(single).select("a", "n").mapInArrow(_slips(shared), "read string, meant string, n bigint").groupBy("read", "meant").agg(F.sum("n").alias("n")).collect()
     finally:
         counts.unpersist()
-    words = {r["a"]: r["n"] for r in rows if r["b"] is None}
-    pairs = {(r["a"], r["b"]): r["n"] for r in rows if r["b"] is not None}
-    return Model(words, pairs, total, few, max(longest or 0, max(map(len, words), default=0))), table
+    suspects = frozenset(r["meant"] for r in told if r["read"] is None)
+    channel = _channel([tuple(r) for r in told if r["read"] is not None])
+    return Model(words, pairs, total, few, longest, channel, suspects), table
 
 
 # ---------------------------------------------------------------- lines
@@ -398,7 +487,7 @@ def odd_figure(line: str) -> list[tuple[int, int, str]]:
 def read_line(model: Model, line: str, skip: set[int] = frozenset()) -> tuple[list[tuple[int, int, str]], bool]:
     """Corrections (start, end, meant) of a line and whether there are any. skip: starts of
     words that are only pieces."""
-    fixes = odd_figure(line)
+    fixes = [(a, b, meant) for a, b, meant in odd_figure(line) if model.is_figure(line[a:b], meant)]
     if not fixes and not skip and model.clean.issuperset(WORD.findall(line.lower())):
         return fixes, False
     taken = {k for a, b, _ in fixes for k in range(a, b)}
@@ -557,6 +646,7 @@ def _with_rare(rows: DataFrame, shared: object, rare: DataFrame) -> DataFrame:
             for row_id, text, preview in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 own.asked = set()
                 own.clean.clear()  # its words would not be asked for again
+                own.options.clear()
                 if text is not None:
                     examine(own, text, False)
                 elif preview is not None:
@@ -569,7 +659,8 @@ def _with_rare(rows: DataFrame, shared: object, rare: DataFrame) -> DataFrame:
         longest = shared.value[4] + 4
         for b in batches:
             for w in b.column(0).to_pylist():
-                found = {w}.union(*chains(w, 3 if is_mixed(w) else 2)) if len(w) <= longest else {w}
+                levels = (3 if is_mixed(w) else 2) if len(w) <= longest else 0
+                found = {w}.union(v for k in range(1, levels + 1) for v, _, _ in meanings(w, k, {}))
                 yield pa.RecordBatch.from_pydict({"w": [w] * len(found), "a": list(found)}, schema=pa.schema([("w", pa.string()), ("a", pa.string())]))
 
     asked = checkpointed(spread(rows).mapInArrow(ask, "row_id bigint, w string"))
@@ -581,7 +672,7 @@ def _with_rare(rows: DataFrame, shared: object, rare: DataFrame) -> DataFrame:
 def _pass(batch: DataFrame, learned: tuple[Model, DataFrame | None], ddl: str, schema: pa.Schema, emit: object, repair: bool) -> DataFrame:
     model, table = learned
     few = {w: n for w, n in model.counts.items() if w not in model.words}
-    shared = batch.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, few, model.longest - 4))
+    shared = batch.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.total, few, model.longest - 4, model.channel, model.suspects))
     rows = batch.select("row_id", "detected_text", "ocr_text_preview")
     rows = rows if table is None else _with_rare(rows, shared, table)
 
@@ -589,8 +680,8 @@ def _pass(batch: DataFrame, learned: tuple[Model, DataFrame | None], ddl: str, s
         own = Model(*shared.value)
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for found in b.column(3).to_pylist() if b.num_columns > 3 else ():
-                own.counts.update(found or ())
+            if b.num_columns > 3:
+                own.add_rare({w: n for found in b.column(3).to_pylist() for w, n in found or ()})
             for row_id, text, preview in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if text is not None:
                     noise, clean = examine(own, text, repair)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from proofmark.llm import scan_noise as s
 
@@ -101,3 +102,39 @@ def test_a_rare_word_is_meant_by_a_misread(spark, monkeypatch):
     for few in (s.RARE_ROWS, 0):
         monkeypatch.setattr(s, "RARE_ROWS", few)
         assert sorted(map(tuple, s.noisy_lines(df).collect()), key=str) == sorted(want, key=str)
+
+
+def test_rows_do_not_depend_on_order_or_partitions(spark, data):
+    batch = spark.read.parquet(f"{data}/batch.parquet").select("row_id", "detected_text", "ocr_text_preview")
+    want = None
+    for df in (batch.coalesce(1), batch.repartition(3), batch.repartition(8), batch.orderBy(F.desc("row_id")), batch.orderBy(F.hash("row_id"))):
+        got = sorted(map(tuple, s.noisy_lines(df).collect()))
+        assert got == (want := want or got) and got
+
+
+def test_lines_read_before_change_nothing():
+    make = lambda: s.Model({"the": 900, "bat": 500, "hot": 600, "bot": 20, "hat": 30}, {("the", "bat"): 200, ("the", "hot"): 250, ("the", "bot"): 9}, 20_000, suspects=frozenset({"bot", "hat"}))
+    lines = [["the", "bot"], ["the", "bat"], ["the", "hat"], ["the", "hot"]]
+    forward, back = make(), make()
+    assert [forward.read(x) for x in lines] == [back.read(x) for x in lines[::-1]][::-1]
+
+
+def test_meanings_against_all_replacements():
+    """The search through the vocabulary finds what trying every replacement finds."""
+    import random
+
+    rnd = random.Random(2)
+    vocabulary = sorted({"".join(rnd.choice("rnmhiltecodb") for _ in range(rnd.randint(2, 6))) for _ in range(4000)})
+    for _ in range(60):
+        w = "".join(rnd.choice("rn1ltmce0b") for _ in range(rnd.randint(2, 6)))
+        for k in (1, 2, 3):
+            every = {v for v, _, _ in s.meanings(w, k, {})}
+            assert {v for v, _, _ in s.meanings(w, k, {}, vocabulary)} == every & set(vocabulary)
+    assert {v for v, _, _ in s.meanings("rn", 1, {})} == {"m", "rh", "ru"}
+
+
+def test_confusions_are_counted(spark):
+    body = "the quiet kettle rests"
+    df = spark.createDataFrame([(body,)] * 200 + [("the qu1et kett1e rests",)] * 20, "text string")
+    channel = s.learn(df)[0].channel
+    assert channel["1", "i"] > channel["|", "i"] and channel["1", "l"] > channel["l", "i"]
