@@ -6,11 +6,23 @@ patterns, so the classes are spelt out and phrase borders are matched by charact
 
 from __future__ import annotations
 
-from proofmark.functions.numbers import L_SIZES, ML_SIZES
-from proofmark.functions.text import FILE_WORDS
-from proofmark.operators.applications import FALSE, NO_FIELDS, TRUE
-from proofmark.operators.batch import TARGET_SECONDS
-from proofmark.operators.checks import BATCH_FALSE, HEADING, MARKER_DETECTED, MARKER_NOTE, STATEMENT, WARNING_PHRASES
+# The results depend on each of these, so they are stated here again, on their own.
+ML_SIZES, L_SIZES = [50, 100, 187, 200, 250, 300, 330, 341, 355, 375, 500, 700, 720, 750, 1000, 1500, 1750], [1.0, 1.5, 1.75]
+FILE_WORDS = "application applications app label labels ttb cola f510031 form test sample official filled pdf csv json txt distillery imports import importer company inc llc".split()
+TRUE, FALSE = ["true", "t", "yes", "y", "1", "required", "checked"], ["false", "f", "no", "n", "0", "not required", "unchecked"]
+BATCH_FALSE = ["false", "no", "n", "0", "not required", "unchecked"]
+NO_FIELDS = "No supported expected-field values were found. You can still enter the fields manually."
+TARGET_SECONDS = 5.0
+HEADING, STATEMENT = "GOVERNMENT WARNING:", "Standard government warning statement"
+MARKER_DETECTED = "Alcohol content marker found, but numeric value was not clearly captured"
+MARKER_NOTE = "OCR detected an alcohol-content marker such as '%', 'ALC/VOL', or 'PROOF', but did not capture a clear numeric value. Manual review or text correction is recommended."
+WARNING_PHRASES = [
+    "according to the surgeon general",
+    "women should not drink alcoholic beverages during pregnancy",
+    "risk of birth defects",
+    "consumption of alcoholic beverages impairs your ability to drive a car or operate machinery",
+    "may cause health problems",
+]
 
 # White space as Unicode has it.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -157,7 +169,8 @@ def repaired_rest(s: str) -> str:
     return strip(sub(s, "[,.;]+$", ""))
 
 
-def warning_sql() -> str:
+def warning_sql(src: str = "select row_id, failed_checks <> 2 as required, detected_text from batch") -> str:
+    """Of src(row_id, required, detected_text); the plain query asks for the warning where two checks didn't fail."""
     n, total = "len(found)", len(WARNING_PHRASES)
     cols = {
         "expected": ["'Not required'", "'Required'", q(HEADING), q(STATEMENT), q(STATEMENT), q(STATEMENT), q(STATEMENT)],
@@ -176,14 +189,14 @@ def warning_sql() -> str:
     when = ["not required", "one = ''", "wrong", f"heading and {n} = {total}", f"heading and {n} > 0", f"{n} >= 2"]
     case = lambda v: "case " + " ".join(f"when {w} then {x}" for w, x in zip(when, v)) + f" else {v[-1]} end"
     return f"""
-    with t as (select row_id, failed_checks is distinct from 2 as required0, failed_checks, {collapse(no_null('detected_text'))} as one, {phrase('detected_text')} as low from batch),
-    h as (select row_id, case when failed_checks is null then null else failed_checks <> 2 end as required, one, contains(one, {q(HEADING)}) as heading,
+    with t as (select row_id, required, {collapse(no_null('detected_text'))} as one, {phrase('detected_text')} as low from ({src})),
+    h as (select row_id, required, one, contains(one, {q(HEADING)}) as heading,
       list_filter({lst(WARNING_PHRASES)}, lambda p: contains(low, p)) as found, list_filter({lst(WARNING_PHRASES)}, lambda p: not contains(low, p)) as missing,
       not contains(one, {q(HEADING)}) and regexp_matches(one, '(?i)government\\s+warning\\s*:') as wrong from t)
     select row_id, {", ".join(f"{case(v)} as {k}" for k, v in cols.items())} from h"""
 
 
-def alcohol_sql() -> str:
+def alcohol_sql(src: str = "batch") -> str:
     near = lambda a, b, tol: f"abs({a} - {b}) <= {tol}::double"
     any_ = lambda xs, cond: f"len(list_filter({xs}, lambda d: {cond})) > 0"
     by_pct = f"list_transform(wp, lambda e: case when {any_('gp', near('e', 'd', 0.2))} then 1 when {any_('gq', near('e * 2', 'd', 0.5))} then 2 end)"
@@ -191,7 +204,7 @@ def alcohol_sql() -> str:
     notes = ["Expected ABV found on label.", "Expected ABV matches detected proof.", "Expected proof found on label.", "Expected proof matches detected ABV."]
     marker = spaced(r"(%|ALC\.?\s*/?\s*VOL\.?|ABV|PROOF)")
     return f"""
-    with a as (select row_id, {strip(no_null('alcohol_content'))} as e, {no_null('detected_text')} as t from batch),
+    with a as (select row_id, {strip(no_null('alcohol_content'))} as e, {no_null('detected_text')} as t from {src}),
     b as (select row_id, e, t, {plain_words(up('e'))} as ue, {plain_words(up('t'))} as ut from a),
     v as (select row_id, e, ut, {percents('ue')} as wp0, {proofs('ue')} as wq0, {percents('ut')} as gp0, {proofs('ut')} as gq0 from b),
     o as (select row_id, e, ut, {in_order('wp0')} as wp, {in_order('wq0')} as wq, {in_order('gp0')} as gp, {in_order('gq0')} as gq from v),
@@ -286,6 +299,15 @@ def text_applications_sql() -> str:
     from r"""
 
 
+def joined_cte() -> str:
+    """`j`: applications with the last text of their file name and the outcome of the join."""
+    last = "row_number() over (partition by file_name order by processed_at desc nulls last, detected_text desc nulls last)"
+    return f"""
+    with l as (select file_name as k, detected_text, processing_time_s from (select *, {last} as rn from batch where file_name is not null) where rn = 1),
+    a as (select *, {strip(no_null('file_name'))} as key from sample_application),
+    j as (select a.*, l.detected_text, l.processing_time_s, case when key = '' then 'missing_name' when l.k is null then 'missing_image' else 'matched' end as outcome from a left join l on a.key = l.k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     cc = strip(no_null("country_of_origin"))
     stem = f"trim({sub(f'lower({sub(no_null("file_name"), r"(?s)\.[^.]*$", "")})', '[^a-z0-9]+', ' ')})"
@@ -314,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "line_keys": f"select row_id, line_no, {key_of('line')} as line_key from {lines('batch')}",
         "line_repairs": f"select row_id, line_no, case when {head} then 'GOVERNMENT WARNING:' else {repaired_rest('s')} end as repaired from (select row_id, line_no, {repaired('line')} as s from {lines('batch')})",
         "field_candidates": candidates_sql(),
-        "join_outcome": f"with t as (select file_name, any_value(detected_text) as detected_text from (select file_name, detected_text, processed_at, row_number() over (partition by file_name order by processed_at desc nulls last, detected_text desc nulls last) as rn from batch where file_name is not null) where rn = 1 group by file_name), s as (select row_id, {strip(no_null('file_name'))} as k from sample_application) select s.row_id, case when k = '' then 'missing_name' when t.file_name is null then 'missing_image' else 'matched' end as outcome, cast(len(t.detected_text) as integer) as text_length from s left join t on s.k = t.file_name",
+        "join_outcome": f"{joined_cte()} select row_id, outcome, cast(len(detected_text) as integer) as text_length from j",
         "batch_summary": "select count(*) as total, count(*) filter (overall_result = 'PASS') as passed, count(*) filter (overall_result = 'MANUAL REVIEW RECOMMENDED') as review, count(*) filter (overall_result = 'FAIL') as failed from batch",
         "alcohol_checks": alcohol_sql(),
         "warning_checks": warning_sql(),
