@@ -15,12 +15,21 @@ from proofmark.runtime import exploded, strip, tasks
 ALC_VOL = ["ALC/ VOL", "ALC /VOL", "ALC / VOL", "ALC./VOL.", "ALC./VOL", "ALC/VOL."]
 CAPTIONS = ["BRANDLABEL", "BACKLABEL", "BRANDLABELBACKLABEL"]
 RECOVERED = "Recovered structured field candidates:"
+# Figures that make a line worth keeping, and the limits of the filter: letters of a short mark,
+# of a word, of a word that suffices alone; length from which shares count; shares of signs, of
+# different letters, of letters and digits.
 USEFUL = [r"\b\d{1,5}\b", r"\b\d{1,3}(?:\.\d+)?\s*%", r"\b\d{1,4}(?:\.\d+)?\s*(ML|L)\b", r"\b\d{1,3}(?:\.\d+)?\s*PROOF\b", r"\(\s*\d+\s*\)", r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"]
+MARK, WORD, SUFFICES, LONG, SIGNS, VARIED, SOLID = (2, 5), 3, 4, 8, 0.18, 0.35, 0.32
 WEIGHT = {"region": 3, "candidate": 2, "primary": 2}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body with value evaluated once: lambda bodies know no common subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def repaired_line(c: Column) -> Column:
-    """One line with common recognition errors repaired, in a fixed order of rewrites."""
+    """One line with common recognition errors repaired. The rewrites and their order."""
     s = strip(text.empty_if_null(c))
     s = F.regexp_replace(s, "^[\"`“”]+|[\"`“”]+$", "")
     s = text.collapse(s)
@@ -43,7 +52,7 @@ def upper_letters(c: Column) -> Column:
 
 
 def distinct_share(letters: Column) -> Column:
-    return F.size(F.array_distinct(F.split(letters, "(?!^)"))) / F.length(letters)
+    return F.size(F.array_distinct(F.regexp_extract_all(letters, F.lit("."), F.lit(0)))) / F.length(letters)
 
 
 def useful_figures(c: Column) -> Column:
@@ -54,35 +63,41 @@ def useful_figures(c: Column) -> Column:
     return out
 
 
-def word_shaped(c: Column) -> Column:
-    """Reads like words: a short mark in capitals, or enough words of some length with vowels."""
-    short = F.length(upper_letters(c)).between(2, 5) & (F.upper(c) == c) & c.rlike("^[A-Z0-9 .,%/:-]+$")
-    words = F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]{2,}"), F.lit(0)), F.upper)
-    good = F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike(r"(.)\1{3,}") & ~((F.length(w) >= 8) & (distinct_share(w) < 0.35)) & w.rlike("[AEIOU]"))
-    return short | (F.size(good) >= 2) | ((F.size(good) == 1) & (F.length(F.get(good, F.lit(0))) >= 4))
+def monotone(letters: Column) -> Column:
+    """Four equal letters in a row, or hardly any different ones; of strings long enough to tell."""
+    return letters.rlike(r"(.)\1{3,}") | ((F.length(letters) >= LONG) & (distinct_share(letters) < VARIED))
 
 
-def artifact(c: Column) -> Column:
-    """Border or decoration rather than text. c is trimmed and not null."""
+def line_figures(c: Column) -> Column:
+    """What the filter looks at in a trimmed line, worked out once: length, capital letters, letters and digits,
+    signs, whether it has a digit and useful figures, the words that can be read, whether it is a mark."""
     letters = upper_letters(c)
-    digit = c.rlike(r"\p{Nd}")
-    symbols = F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", ""))
-    repeated = (F.length(letters) >= 8) & (letters.rlike(r"(.)\1{3,}") | (distinct_share(letters) < 0.35))
-    return (
-        F.when(c == "", True)
-        .when(useful_figures(c), False)
-        .when((F.length(letters) <= 2) & ~digit, True)
-        .when((F.length(c) >= 8) & (symbols / F.length(c) >= 0.18), True)
-        .when(repeated, True)
-        .otherwise(~word_shaped(c))
-    )
+    words = F.filter(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]{2,}"), F.lit(0)), F.upper), lambda w: (F.length(w) >= WORD) & w.rlike("[AEIOU]") & ~monotone(w))
+    mark = F.length(letters).between(*MARK) & (F.upper(c) == c) & c.rlike("^[A-Z0-9 .,%/:-]+$")
+    return F.struct(
+        F.length(c).alias("n"), letters.alias("letters"), F.length(letters).alias("n_letters"), F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")).alias("solid"),
+        F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", "")).alias("signs"), c.rlike(r"\p{Nd}").alias("digit"), useful_figures(c).alias("useful"), words.alias("words"), mark.alias("mark"),
+    )
+
+
+def readable(f: Column) -> Column:
+    """A mark in capitals, two words, or one of some length."""
+    return f["mark"] | (F.size(f["words"]) >= 2) | ((F.size(f["words"]) == 1) & (F.length(F.get(f["words"], F.lit(0))) >= SUFFICES))
 
 
 def garbage(c: Column) -> Column:
-    letters = upper_letters(c)
-    alnum = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
-    digit = c.rlike(r"\p{Nd}")
-    return (c == "") | letters.isin(CAPTIONS) | artifact(c) | ((F.length(letters) <= 1) & ~digit) | (alnum == 0) | ((F.length(c) > 8) & (alnum / F.length(c) < 0.32))
+    """Whether a trimmed line is no text of the label: blank, a caption, barren of letters and digits,
+    or decoration, that is a line without useful figures that is bare, full of signs, monotone or
+    not readable."""
+
+    def judge(f: Column) -> Column:
+        bare = lambda most: (f["n_letters"] <= most) & ~f["digit"]
+        barren = bare(1) | (f["solid"] == 0) | ((f["n"] > LONG) & (f["solid"] / f["n"] < SOLID))
+        signs = (f["n"] >= LONG) & (f["signs"] / f["n"] >= SIGNS)
+        dull = (f["n_letters"] >= LONG) & monotone(f["letters"])
+        return (f["n"] == 0) | f["letters"].isin(CAPTIONS) | barren | (~f["useful"] & (bare(2) | signs | dull | ~readable(f)))
+
+    return let(line_figures(c), judge)
 
 
 def clean_lines(c: Column) -> Column:
@@ -95,11 +110,6 @@ def clean_text(c: Column) -> Column:
     return F.array_join(clean_lines(c), "\n")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value evaluated once: lambda bodies know no common subexpressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def folded_regions(regions: Column) -> Column:
     """The text of a label from its regions (array of struct(title, lines), in order): lines that
     repeat or lie within an earlier one are dropped, each title heads its first section once,
