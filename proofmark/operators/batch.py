@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import text
 from proofmark.operators import checks as ck
-from proofmark.runtime import fits
 
 REQUIRED = ["file_name", "brand_name", "class_type", "alcohol_content", "net_contents"]
 OPTIONAL = ["name_address", "country_of_origin", "warning_required"]
@@ -48,21 +47,27 @@ def ensure_checkable(rows: DataFrame, texts: DataFrame) -> None:
         raise ValueError("there are no texts to check against")
 
 
-def last_texts(texts: DataFrame, order: str) -> DataFrame:
-    """One text per file name, the last by `order`; equal places: the greatest text. Aggregated
-    before the shuffle, so a name that many rows carry is no hot group."""
-    return texts.where(F.col("file_name").isNotNull()).groupBy("file_name").agg(F.max_by("detected_text", F.struct(order, "detected_text")).alias("detected_text"), F.max_by("processing_time_s", F.struct(order, "detected_text")).alias("processing_time_s"))
+def last_texts(texts: DataFrame, order: str, key: str) -> DataFrame:
+    """(file_name, key): which row holds the last text of each file name, by `order` (null first), on
+    equal places the greatest key. Only names, places and keys are shuffled, pre-aggregated, so a
+    name that many rows carry is no hot group. Rows without a name or a key count for nothing."""
+    named = texts.where(F.col("file_name").isNotNull() & F.col(key).isNotNull())
+    return named.groupBy("file_name").agg(F.max(F.struct(order, key)).alias("_last")).select("file_name", F.col(f"_last.{key}").alias(key))
 
 
-def with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Left join on the trimmed file name with `outcome`: missing_name, missing_image, matched.
-    The text side is broadcast where a check finds it small."""
-    side = texts.select(F.col("file_name").alias("_name"), "detected_text", "processing_time_s", F.lit(True).alias("_present"))
-    if fits(side, 2_000):  # whole texts of some KB each
-        side = F.broadcast(side)
-    df = rows.withColumn("_key", text.clean_cell(F.col("file_name"))).join(side, F.col("_key") == F.col("_name"), "left")
-    outcome = F.when(F.col("_key") == "", "missing_name").when(F.col("_present").isNull(), "missing_image").otherwise("matched")
-    return df.withColumn("outcome", outcome).drop("_key", "_name", "_present")
+def with_texts(rows: DataFrame, texts: DataFrame, order: str, key: str) -> DataFrame:
+    """Rows with the last text of their trimmed file name (texts: file_name, detected_text,
+    processing_time_s, a unique key and an order) and `outcome`: missing_name, missing_image, matched.
+
+    Rows are led to the key of their text first; the texts themselves then take part in one join, on
+    that unique key. Nothing is hinted: adaptive execution broadcasts a side by its measured bytes
+    and splits a text that very many rows share."""
+    last = last_texts(texts, order, key).select(F.col("file_name").alias("_name"), F.col(key).alias("_text"))
+    df = rows.withColumn("_key", text.clean_cell(F.col("file_name"))).join(last, F.col("_key") == F.col("_name"), "left")
+    side = texts.select(F.col(key).alias("_text"), "detected_text", "processing_time_s")
+    df = df.join(side, "_text", "left")
+    outcome = F.when(F.col("_key") == "", "missing_name").when(F.col("_text").isNull(), "missing_image").otherwise("matched")
+    return df.select(*rows.columns, "detected_text", "processing_time_s", outcome.alias("outcome"))
 
 
 def results(joined: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,9 +116,13 @@ def status(result: Column) -> Column:
     return F.coalesce(F.create_map(*[F.lit(x) for kv in icons.items() for x in kv])[result], result)
 
 
-def overlay(rows: DataFrame, edits: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Reviewer edits over rows: a non-blank edit replaces a value, a blank one keeps it. Of
-    several edits of a key the greatest per field counts."""
-    e = edits.groupBy(F.col(key).alias("_k")).agg(*[F.max(F.nullif(text.clean_cell(F.col(f)), F.lit(""))).alias(f"_e_{f}") for f in fields])
+def overlay(rows: DataFrame, edits: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
+    """Reviewer edits over rows: a non-blank edit replaces a value, a blank one keeps it. Of several
+    edits of a key the last by `order` that isn't blank counts, field by field; on equal places the
+    greatest value. Edits without a key or a place count for nothing."""
+    told = lambda f: F.nullif(text.clean_cell(F.col(f)), F.lit(""))
+    last = lambda f: F.max(F.when(told(f).isNotNull(), F.struct(F.col(order).alias("at"), told(f).alias("v"))))["v"]
+    known = edits.where(F.col(key).isNotNull() & F.col(order).isNotNull())
+    e = known.groupBy(F.col(key).alias("_k")).agg(*[last(f).alias(f"_e_{f}") for f in fields])
     df = rows.join(e, F.col(key) == F.col("_k"), "left")
     return df.select(*[F.coalesce(F.col(f"_e_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in rows.columns])

@@ -301,7 +301,7 @@ def text_applications_sql() -> str:
 
 def joined_cte() -> str:
     """`j`: applications with the last text of their file name and the outcome of the join."""
-    last = "row_number() over (partition by file_name order by processed_at desc nulls last, detected_text desc nulls last)"
+    last = "row_number() over (partition by file_name order by processed_at desc nulls last, row_id desc)"
     return f"""
     with l as (select file_name as k, detected_text, processing_time_s from (select *, {last} as rn from batch where file_name is not null) where rn = 1),
     a as (select *, {strip(no_null('file_name'))} as key from sample_application),
@@ -343,7 +343,7 @@ def oracle_sql() -> dict[str, str]:
         "timing_summary": f"select count(t) as timed, avg(t) as mean_seconds, avg(t) <= {TARGET_SECONDS} as within_target, sum(t) as total_seconds from (select round_even(processing_time_s, 2) as t from batch)",
         "duplicate_names": "select file_name, count(*) as n from batch where file_name is not null group by file_name having count(*) > 1",
         "blank_names": f"select count(*) as rows, count(*) filter ({strip(no_null('file_name'))} = '') as blank_names, count(*) > 25 as large_batch from batch",
-        "reviewer_edits": f"with e as (select file_name, {', '.join(f'max(nullif({strip(no_null(c))}, {q("")})) as {c}' for c in edits)} from batch where file_name is not null group by file_name) select s.row_id, s.file_name, {', '.join(f'coalesce(e.{c}, s.{c}) as {c}' for c in edits)}, s.alcohol_content from sample_application s left join e on s.file_name = e.file_name",
+        "reviewer_edits": f"with e as (select file_name, {', '.join(f'arg_max(v_{c}, (processed_at, v_{c})) filter (v_{c} is not null) as {c}' for c in edits)} from (select file_name, processed_at, {', '.join(f'nullif({strip(no_null(c))}, {q("")}) as v_{c}' for c in edits)} from batch where file_name is not null and processed_at is not null) group by file_name) select s.row_id, s.file_name, {', '.join(f'coalesce(e.{c}, s.{c}) as {c}' for c in edits)}, s.alcohol_content from sample_application s left join e on s.file_name = e.file_name",
         "key_value_lines": f"with l as (select doc_id, line_no, {strip('line')} as s from {lines('documents')}), p as (select doc_id, line_no, {strip(f'regexp_extract(s, {q(kv)}, 1)')} as key, {strip(f'regexp_extract(s, {q(kv)}, 2)')} as value from l where regexp_matches(s, {q(kv)})) select doc_id, key, value from p where key <> '' and value <> '' qualify row_number() over (partition by doc_id, key order by line_no desc) = 1",
         "text_applications": text_applications_sql(),
         "p3_found": f"{records_cte()} select record_id, reason from f where reason is not null and reason <> 'no_header'",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import fuzzy, numbers, text
 from proofmark.operators import applications, batch, checks, filenames, ocr_text
-from proofmark.runtime import exploded, load, spread
+from proofmark.runtime import checkpointed, exploded, load, spread
 from proofmark.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,7 +67,8 @@ def field_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
     """Expected rows with the last text of their file name and the outcome of the join."""
-    return batch.with_texts(spread(S(spark, d)), batch.last_texts(B(spark, d), "processed_at"))
+    texts = B(spark, d).select("row_id", "file_name", "detected_text", "processing_time_s", "processed_at")
+    return batch.with_texts(spread(S(spark, d)), texts.withColumnRenamed("row_id", "text_id"), "processed_at", "text_id")
 
 
 def join_outcome(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +120,8 @@ def alcohol_checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def warning_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the warning is required is told by the number of failed checks here: not where it is two."""
+    """batch has no word on whether the warning is required, so it is told by the number of failed checks
+    here, not where it is two: for the branches that core_checks, which always requires it, never takes."""
     df = B(spark, d).select("row_id", (F.col("failed_checks") != 2).alias("required"), text.collapse(text.empty_if_null(F.col("detected_text"))).alias("t"))
     df = df.select("row_id", "required", (F.col("t") == "").alias("blank"), checks.heading_case(F.col("t")).alias("heading"), checks.phrases_found(F.col("t")).alias("found"))
     return df.select("row_id", checks.warning_check(*map(F.col, ("blank", "heading", "found", "required"))).alias("c")).select("row_id", *_unnested(F.col("c")))
@@ -148,8 +150,8 @@ def blank_names(spark: SparkSession, d: str) -> DataFrame:
 
 def reviewer_edits(spark: SparkSession, d: str) -> DataFrame:
     fields = ["brand_name", "class_type", "net_contents"]
-    edits = B(spark, d).where("file_name is not null").select("file_name", *fields)
-    return batch.overlay(S(spark, d).select("row_id", "file_name", *fields, "alcohol_content"), edits, "file_name", fields)
+    edits = B(spark, d).where("file_name is not null").select("file_name", *fields, "processed_at")
+    return batch.overlay(S(spark, d).select("row_id", "file_name", *fields, "alcohol_content"), edits, "file_name", fields, "processed_at")
 
 
 def key_value_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -203,9 +205,10 @@ def generated_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The files are parsed once: what was made of them is written and read twice."""
     files = application_files(spark, d)
     found = filenames.best_images(files.select(F.col("source_name").alias("file_name")), B(spark, d).where("file_name is not null"))
-    parsed = applications.parse_files(files)
+    parsed = checkpointed(applications.parse_files(files))
     return applications.batch_messages(parsed, applications.generated_batch(parsed, found))
 
 

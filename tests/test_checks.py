@@ -70,8 +70,8 @@ def test_optional_fields(spark):
 
 def test_batch_row(spark):
     df = spark.createDataFrame([(1, "a.png", "Old Tom Distillery", None, "45%", "750 mL", FULL, 1.005), (2, " ", "b", "c", "d", "e", None, None), (3, "z.png", "b", "c", "d", "e", None, None)], "row_id int, file_name string, brand_name string, class_type string, alcohol_content string, net_contents string, detected_text string, processing_time_s double")
-    texts = batch.last_texts(df.where("row_id = 1").withColumn("at", F.lit(1)), "at")
-    got = {r["row_id"]: r for r in batch.results(batch.with_texts(df.drop("detected_text", "processing_time_s"), texts), ["row_id"]).collect()}
+    texts = df.where("row_id = 1").withColumn("at", F.lit(1)).withColumnRenamed("row_id", "id")
+    got = {r["row_id"]: r for r in batch.results(batch.with_texts(df.drop("detected_text", "processing_time_s"), texts, "at", "id"), ["row_id"]).collect()}
     assert (got[1]["overall_result"], got[1]["passed_checks"], got[1]["manual_review_checks"], got[1]["failed_checks"]) == ("MANUAL REVIEW RECOMMENDED", 4, 1, 0)
     assert got[1]["issues"] == "Class/Type: No expected value was provided." and got[1]["class_type"] == ""
     assert got[2]["issues"] == batch.NO_NAME and got[3]["issues"] == batch.NO_IMAGE
@@ -80,13 +80,17 @@ def test_batch_row(spark):
 
 def test_matched_null_text_is_no_missing_image(spark):
     rows = spark.createDataFrame([("a.png",)], "file_name string")
-    texts = spark.createDataFrame([("a.png", None, None)], "file_name string, detected_text string, processing_time_s double")
-    assert batch.with_texts(rows, texts).first()["outcome"] == "matched"
+    texts = spark.createDataFrame([(1, 1, "a.png", None, None)], "id int, at int, file_name string, detected_text string, processing_time_s double")
+    assert batch.with_texts(rows, texts, "at", "id").first()["outcome"] == "matched"
 
 
 def test_last_text_wins(spark):
-    t = spark.createDataFrame([("a", "old", 1.0, 1), ("a", "new", 2.0, 2), (None, "x", 1.0, 3)], "file_name string, detected_text string, processing_time_s double, at int")
-    assert [tuple(r) for r in batch.last_texts(t, "at").collect()] == [("a", "new", 2.0)]
+    t = spark.createDataFrame([(1, "a", "old", 1.0, 1), (2, "a", "new", 2.0, 2), (3, "a", "newer", 3.0, 2), (9, "a", "undated", 1.0, None), (4, None, "x", 1.0, 3), (None, "a", "no key", 1.0, 9)], "id int, file_name string, detected_text string, processing_time_s double, at int")
+    assert [tuple(r) for r in batch.last_texts(t, "at", "id").collect()] == [("a", 3)]
+    rows = spark.createDataFrame([(" a ",), ("b",), (None,), ("a",)], "file_name string")
+    got = sorted((r["outcome"], r["detected_text"] or "") for r in batch.with_texts(rows, t, "at", "id").collect())
+    assert got == [("matched", "newer"), ("matched", "newer"), ("missing_image", ""), ("missing_name", "")]
+    assert batch.with_texts(rows, t.limit(0), "at", "id").count() == 4 and batch.with_texts(rows.limit(0), t, "at", "id").count() == 0
 
 
 def test_columns(spark):
@@ -106,8 +110,8 @@ def test_overall_and_timing(spark):
 
 def test_overlay(spark):
     r = spark.createDataFrame([("k", "a", "b"), (None, "c", "d")], "id string, x string, y string")
-    e = spark.createDataFrame([("k", "new", " "), ("k", "alt", None)], "id string, x string, y string")
-    assert sorted(map(tuple, batch.overlay(r, e, "id", ["x", "y"]).collect()), key=str) == [("k", "new", "b"), (None, "c", "d")]
+    e = spark.createDataFrame([("k", "new", " ", 1), ("k", "alt", None, 2), ("k", " ", None, 3), ("k", "zzz", "z", None), (None, "q", "q", 9)], "id string, x string, y string, at int")
+    assert sorted(map(tuple, batch.overlay(r, e, "id", ["x", "y"], "at").collect()), key=str) == [("k", "alt", "b"), (None, "c", "d")]
 
 
 def test_file_matches(spark):
