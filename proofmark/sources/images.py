@@ -1,23 +1,25 @@
-"""Label images through an injected recogniser.
+"""Label images through a recogniser: the Tesseract program where it is installed, or any function.
 
-Which parts of an image are read, and how, is a table of regions; the recogniser takes the bytes
-and one region and returns text. Everything after the raw text is column expressions. Without
-an imaging library only text sources work; `ready()` tells.
+Which parts of an image are read, and how, is a table of regions; the recogniser takes the prepared
+pixels of a region and returns text. Everything after the raw text is column expressions.
+`ready()` tells whether the program is there; without it text sources work all the same.
 """
 
 from __future__ import annotations
 
+import os
 import shutil
+import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofmark.operators import ocr_text
-
-MIN_WIDTH, THRESHOLD, DARK = 1600, 175, 225
+from proofmark.sources import pixels
 
 
 @dataclass(frozen=True)
@@ -51,55 +53,69 @@ REGIONS = [
     Region("general", "candidate", "", (0.0, 0.50, 1.0, 1.0), 11, True, True),
 ]
 
-Recogniser = Callable[[bytes, Region], str]
+Recogniser = Callable[[np.ndarray, Region], str]
 
+# Where the program is looked for beside the path, and the characters of numeric regions.
+PLACES = [r"C:\Program Files\Tesseract-OCR\tesseract.exe", r"C:\Program Files (x86)\Tesseract-OCR\tesseract.exe"]
+CHARACTERS = "0123456789.%ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz/"
 
-def ready() -> tuple[bool, str]:
-    """Whether a recogniser program can be found on this machine."""
-    at = shutil.which("tesseract")
-    return (True, f"Recogniser found at {at}.") if at else (False, "No recogniser found; supply detected text or a recogniser function.")
 
+def program() -> str | None:
+    """The Tesseract program of this machine."""
+    return shutil.which("tesseract") or next((p for p in PLACES if os.path.exists(p)), None)
 
-def side_by_side(width: int, height: int, left_dark: float, right_dark: float) -> bool:
-    """Two labels next to each other: wide enough, wider than high, ink on both halves."""
-    return width >= 500 and height > 0 and width / height >= 1.05 and min(left_dark, right_dark) >= 0.06
+
+def ready() -> tuple[bool, str]:
+    """Whether the program can be found on this machine."""
+    at = program()
+    return (True, f"Recogniser found at {at}.") if at else (False, "No recogniser found; supply detected text or a recogniser function.")
 
 
-def crop_box(box: tuple[float, float, float, float], width: int, height: int) -> tuple[int, int, int, int]:
-    """Pixels of a box, within the image and at least one pixel wide and high."""
-    l, t, r, b = (min(1.0, max(0.0, x)) for x in box)
-    x0, y0 = min(int(width * l), width - 1), min(int(height * t), height - 1)
-    return x0, y0, max(x0 + 1, int(width * r)), max(y0 + 1, int(height * b))
+def tesseract(region_pixels: np.ndarray, region: Region) -> str:
+    """Text of gray pixels by the program, which reads them from its input as a plain bitmap."""
+    at = program()
+    if at is None:
+        raise RuntimeError(ready()[1])
+    height, width = region_pixels.shape
+    options = ["-c", f"tessedit_char_whitelist={CHARACTERS}"] if region.numeric else []
+    done = subprocess.run([at, "stdin", "stdout", "--oem", "3", "--psm", str(region.psm), *options], input=b"P5 %d %d 255\n" % (width, height) + region_pixels.tobytes(), capture_output=True, check=True)
+    return done.stdout.decode("utf-8", "replace")
 
 
 def region_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, r.strategy, r.kind, r.title, *r.box, r.psm, r.threshold, r.numeric) for i, r in enumerate(REGIONS)], "region_ord int, strategy string, kind string, title string, l double, t double, r double, b double, psm int, threshold boolean, numeric boolean")
 
 
-def recognise(files: DataFrame, recogniser: Recogniser, strategy_of: Callable[[bytes], str], partitions: int | None = None) -> DataFrame:
-    """files(source_name, content) -> (file_name, region_ord, kind, title, source, raw_text), one row
-    per region read. Images are spread first: reading them is the cost. A region that fails
-    reads as empty text."""
+def recognise(files: DataFrame, recogniser: Recogniser = tesseract, partitions: int | None = None) -> DataFrame:
+    """files(source_name, content) -> (file_name, region_ord, kind, title, source, raw_text, error), one
+    row per region read: of side by side labels their own regions, else the general ones. Images
+    are spread first: reading them is the cost. A region that fails reads as empty text; an image
+    that can't be read is one row without a region, with the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for name, content in zip(b["source_name"], b["content"]):
-                strategy = strategy_of(bytes(content))
+                try:
+                    image = pixels.read_image(bytes(content))
+                except Exception as e:  # noqa: BLE001 - any reading error belongs to its row
+                    rows.append((name, None, None, None, None, "", f"{type(e).__name__}: {e}"))
+                    continue
+                strategy = "side_by_side" if pixels.side_by_side(image) else "general"
                 for i, r in enumerate(REGIONS):
                     if r.strategy != strategy:
                         continue
                     try:
-                        raw = recogniser(bytes(content), r)
+                        raw = recogniser(pixels.prepared(pixels.crop(image, r.box), pixels.THRESHOLD if r.threshold else None), r)
                     except Exception:  # noqa: BLE001 - as documented
                         raw = ""
                     source = "candidate" if r.kind == "candidate" else "region" if strategy == "side_by_side" else "primary"
-                    rows.append((name, i, r.kind, r.title, source, raw))
-            yield pd.DataFrame(rows, columns=["file_name", "region_ord", "kind", "title", "source", "raw_text"])
+                    rows.append((name, i, r.kind, r.title, source, raw, None))
+            yield pd.DataFrame(rows, columns=["file_name", "region_ord", "kind", "title", "source", "raw_text", "error"]).astype({"region_ord": "Int32"})
 
     spread = files.select("source_name", "content")
     spread = spread.repartition(partitions) if partitions else spread
-    return spread.mapInPandas(run, "file_name string, region_ord int, kind string, title string, source string, raw_text string")
+    return spread.mapInPandas(run, "file_name string, region_ord int, kind string, title string, source string, raw_text string, error string")
 
 
 def label_texts(regions: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""PDF forms through an injected reader: no PDF library is required until one is given.
+"""PDF forms through a reader: pypdf where it is installed, or any function.
 
 The reader takes the bytes of a file and returns (form fields, page text); field values may be
 dictionaries as form libraries give them.
@@ -17,6 +17,29 @@ from proofmark.operators import applications as ap
 Reader = Callable[[bytes], tuple[dict, str]]
 
 
+def pypdf_reader(content: bytes) -> tuple[dict, str]:
+    """Form fields, also under their other names, and the text of the pages; a page that fails has none."""
+    import io
+
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("no PDF library is installed: give a reader, or import CSV, JSON or TXT data") from e
+    document = PdfReader(io.BytesIO(content))
+    fields: dict[str, object] = {}
+    for name, field in (document.get_fields() or {}).items():
+        for label in (name, field.get("/TU"), field.get("/TM")):
+            if label:
+                fields.setdefault(str(label), dict(field))
+    pages = []
+    for page in document.pages:
+        try:
+            pages.append(page.extract_text() or "")
+        except Exception:  # noqa: BLE001 - as documented
+            continue
+    return fields, "\n".join(pages)
+
+
 def field_value(v: object) -> str:
     """Of a dictionary the first of value and default value, else the value itself."""
     if isinstance(v, dict):
@@ -24,7 +47,7 @@ def field_value(v: object) -> str:
     return "" if v is None else str(v).strip()
 
 
-def parse_pdf_files(files: DataFrame, reader: Reader) -> DataFrame:
+def parse_pdf_files(files: DataFrame, reader: Reader = pypdf_reader) -> DataFrame:
     """files(source_name, content binary) parsed like other applications. Form fields come before
     what the page text tells; a reader that fails leaves a message in the row."""
 

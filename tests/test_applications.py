@@ -1,11 +1,14 @@
 import json
+import struct
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from proofmark.operators import applications as ap
 from proofmark.operators import ocr_text
-from proofmark.sources import files, images, pdf
+from proofmark.sources import files, images, pdf, pixels
 
 
 def parse(spark, *named):
@@ -138,18 +141,96 @@ def test_garbage(spark, line, bad):
 
 
 def test_label_text_from_regions(spark):
-    def recogniser(raw, region):
+    def recogniser(image, region):
+        assert image.ndim == 2 and image.shape[1] >= 1600
         if region.kind == "candidate":
             return "43% ALC/VOL\n730 ML"
         return "OLD TOM\n45% ALC/VOL" if region.psm == 4 else "OLD TOM\nWHISKY AND MORE"
 
-    df = spark.createDataFrame([("a.png", bytearray(b"x"))], "source_name string, content binary")
-    regions = images.recognise(df, recogniser, lambda _: "general")
-    assert regions.count() == 7
-    assert images.label_texts(regions).first()["detected_text"] == "Label OCR:\nOLD TOM\n45% ALC/VOL\nWHISKY AND MORE\n\nRecovered structured field candidates:\n750 ML"
+    df = spark.createDataFrame([("a.png", bytearray(png(np.full((40, 60, 3), 200, np.uint8)))), ("b.jpg", bytearray(b"x")), ("c.png", bytearray(pixels.PNG + b"cut"))], "source_name string, content binary")
+    regions = images.recognise(df, recogniser).cache()
+    assert regions.where("error is null").count() == 7 and sorted(r["file_name"] for r in regions.where("error is not null").collect()) == ["b.jpg", "c.png"]
+    assert images.label_texts(regions.where("error is null")).first()["detected_text"] == "Label OCR:\nOLD TOM\n45% ALC/VOL\nWHISKY AND MORE\n\nRecovered structured field candidates:\n750 ML"
     assert len(images.REGIONS) == images.region_table(spark).count() == 15
-    assert images.crop_box((0.5, 0.5, 0.5, 2.0), 10, 10) == (5, 5, 6, 10)
-    assert images.side_by_side(600, 500, 0.1, 0.1) and not images.side_by_side(600, 500, 0.1, 0.01)
+
+
+def png(image, kind=0, exif=None):
+    """A PNG file of pixels, every line with the same filter."""
+    h, w, n = image.shape
+    flat = image.reshape(h, w * n).astype(int)
+    left = np.zeros_like(flat)
+    left[:, n:] = flat[:, :-n]
+    up = np.vstack([np.zeros((1, w * n), int), flat[:-1]])
+    corner = np.zeros_like(flat)
+    corner[1:, n:] = flat[:-1, :-n]
+    nearest = np.where((abs(up - corner) <= abs(left - corner)) & (abs(up - corner) <= abs(left + up - 2 * corner)), left, np.where(abs(left - corner) <= abs(left + up - 2 * corner), up, corner))
+    guess = [0 * flat, left, up, (left + up) // 2, nearest][kind]
+    raw = b"".join(bytes([kind]) + row.tobytes() for row in ((flat - guess) % 256).astype(np.uint8))
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    return pixels.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)) + (chunk(b"eXIf", exif) if exif else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kind", range(5))
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png_is_read_back(kind, channels):
+    image = np.random.default_rng(kind).integers(0, 256, (7, 5, channels), dtype=np.uint8)
+    want = image[:, :, :3] if channels > 2 else np.repeat(image[:, :, :1], 3, axis=2)
+    assert np.array_equal(pixels.read_image(png(image, kind)), want)
+    turned = b"MM\0*" + struct.pack(">IHHHIHH", 8, 1, 0x112, 3, 1, 6, 0)
+    assert np.array_equal(pixels.read_image(png(image, kind, turned)), np.rot90(want, -1))
+
+
+def test_orientations():
+    a = np.arange(6).reshape(2, 3)
+    want = {1: a, 2: a[:, ::-1], 3: np.rot90(a, 2), 4: a[::-1], 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a), 0: a}
+    assert all(np.array_equal(pixels.upright(a, k), w) for k, w in want.items()) and pixels.orientation_of(b"") == 1
+
+
+def test_prepared_pixels():
+    flat = np.full((10, 20, 3), 90, np.uint8)
+    assert pixels.prepared(flat).shape == (800, 1600) and set(np.unique(pixels.prepared(flat))) == {90}
+    step = np.zeros((4, 1700), np.uint8)
+    step[:, 850:] = 100
+    assert pixels.upscaled(step) is step  # wide enough
+    assert set(np.unique(pixels.prepared(step))) == {0, 255} and set(np.unique(pixels.prepared(step, 175))) == {0, 255}
+    grown = pixels.resized(np.tile(np.arange(0, 250, 10, dtype=np.uint8), (3, 1)), 50, 6)
+    assert grown.shape == (6, 50) and (np.diff(grown[0, 6:-6].astype(int)) >= 0).all() and np.array_equal(pixels.resized(step, 1700, 4), step)
+    # contrast doubles distances from the mean, the sharpened middle of a peak stands out more
+    peak = np.full((5, 1600), 100, np.uint8)
+    peak[2, 800] = 140
+    assert pixels.prepared(peak)[2, 800] == 255 and pixels.prepared(peak)[0, 0] == 0
+
+
+def test_ink_and_strategy():
+    assert pixels.dark_share(np.full((30, 30, 3), 255, np.uint8)) == 0.0 and pixels.dark_share(np.zeros((30, 30), np.uint8)) == 1.0
+    half = np.full((120, 120), 255, np.uint8)
+    half[:, :60] = 0
+    assert pixels.dark_share(half) == 0.5 and pixels.dark_share(half[:0]) == 0.0
+    sheet = np.full((400, 600, 3), 255, np.uint8)
+    sheet[100:300, 50:250] = 0
+    assert not pixels.side_by_side(sheet)  # the right half is blank
+    sheet[100:300, 350:550] = 0
+    assert pixels.side_by_side(sheet) and not pixels.side_by_side(sheet[:, :450]) and not pixels.side_by_side(np.repeat(sheet, 2, axis=0))
+    assert pixels.crop_box((0.5, 0.5, 0.5, 2.0), 10, 10) == (5, 5, 6, 10) and pixels.crop(sheet, (0, 0, 0.5, 0.5)).shape == (200, 300, 3)
+
+
+def test_the_program_reads_a_bitmap(tmp_path, monkeypatch):
+    fake = tmp_path / "tesseract"
+    fake.write_text("#!/bin/sh\nhead -c 12 | tr '\\n' ' '\necho \"$@\"\n")
+    fake.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:/usr/bin:/bin")
+    got = images.tesseract(np.zeros((2, 3), np.uint8), next(r for r in images.REGIONS if r.numeric))
+    assert got.startswith("P5 3 2 255 ") and f"--psm 11 -c tessedit_char_whitelist={images.CHARACTERS}" in got and images.ready()[0]
+    monkeypatch.setenv("PATH", "/nowhere")
+    assert not images.ready()[0]
+    with pytest.raises(RuntimeError, match="No recogniser"):
+        images.tesseract(np.zeros((2, 3), np.uint8), images.REGIONS[0])
+
+
+def test_pdf_without_a_library_says_so(spark):
+    df = spark.createDataFrame([("a.pdf", bytearray(b"%PDF"))], "source_name string, content binary")
+    row = pdf.parse_pdf_files(df).first()
+    assert row["messages"][0].startswith("Application parsing failed: ") and row["source_format"] == "PDF"
 
 
 def test_votes_first_seen_on_ties(spark):
