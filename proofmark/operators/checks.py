@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from proofmark.functions import numbers, text
 from proofmark.functions.fuzzy import best_lines
-from proofmark.runtime import exploded, strip
+from proofmark.runtime import exploded, let, strip
 
 PASS, REVIEW, FAIL = "PASS", "REVIEW", "FAIL"
 CHECK = "struct<check:string,expected:string,detected:string,result:string,notes:string>"
@@ -109,8 +109,7 @@ def has_marker(seen: Column) -> Column:
 
 
 def phrases_found(seen: Column) -> Column:
-    s = text.norm_phrase(seen)
-    return F.filter(F.array(*map(F.lit, WARNING_PHRASES)), lambda p: F.contains(s, p))
+    return let(text.norm_phrase(seen), lambda s: F.filter(F.array(*map(F.lit, WARNING_PHRASES)), lambda p: F.contains(s, p)))
 
 
 def phrases_missing(found: Column) -> Column:

@@ -3,13 +3,11 @@ recovery of structured values. All of it is column expressions on arrays of line
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofmark.functions import numbers, text
-from proofmark.runtime import exploded, strip, tasks
+from proofmark.runtime import exploded, let, strip, tasks
 
 # Spellings of ALC/VOL, captions that are no label text, and the heading of the block.
 ALC_VOL = ["ALC/ VOL", "ALC /VOL", "ALC / VOL", "ALC./VOL.", "ALC./VOL", "ALC/VOL."]
@@ -23,28 +21,31 @@ MARK, WORD, SUFFICES, LONG, SIGNS, VARIED, SOLID = (2, 5), 3, 4, 8, 0.18, 0.35,
 WEIGHT = {"region": 3, "candidate": 2, "primary": 2}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body with value evaluated once: lambda bodies know no common subexpressions."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repaired_line(c: Column) -> Column:
-    """One line with common recognition errors repaired. The rewrites and their order."""
-    s = strip(text.empty_if_null(c))
-    s = F.regexp_replace(s, "^[\"`“”]+|[\"`“”]+$", "")
-    s = text.collapse(s)
-    for spelling in ALC_VOL:
-        s = F.replace(s, F.lit(spelling), F.lit("ALC/VOL"))
-    s = F.regexp_replace(s, r"(?iU)\bAccording\s+to[.,]\s+the\b", "According to the")
-    s = strip(F.regexp_replace(s, r"(?U)\s*\|+$", ""))
-    s = strip(F.regexp_replace(s, r"(?U)^[|\\/\-–—_]+\s*", ""))
-    s = F.regexp_replace(s, r"(?iU)\bFREDERICK,\s*MD\b", "FREDERICK, MD")
-    rest = F.regexp_replace(s, r"(?iU)^\(?[3I|l]\)\s+According\b", "(1) According")
-    rest = F.regexp_replace(rest, r"(?iU)\bbevorages\b", "beverages")
-    rest = F.regexp_replace(rest, r"(?iU)\bmachinery\.\s+and\b", "machinery, and")
-    rest = F.regexp_replace(rest, r"(?U)\s+([,.;:])", "$1")
-    rest = strip(F.regexp_replace(rest, "[,.;]+$", ""))
-    return F.when(s.rlike(r"(?iU)^GOVERNMENT\s+WARNING:?$"), "GOVERNMENT WARNING:").otherwise(rest)
+    """One line with common recognition errors repaired. The rewrites and their order.
+    Rewrites of certain words run only on lines that have these words."""
+    has = lambda s, words: s.rlike(f"(?iU){words}")
+    s = text.collapse(F.regexp_replace(strip(text.empty_if_null(c)), "^[\"`“”]+|[\"`“”]+$", ""))
+
+    def first(s: Column) -> Column:
+        alcohol = s
+        for spelling in ALC_VOL:
+            alcohol = F.replace(alcohol, F.lit(spelling), F.lit("ALC/VOL"))
+        s = F.when(F.contains(s, F.lit("ALC")), alcohol).otherwise(s)
+        s = F.when(has(c, "According"), F.regexp_replace(s, r"(?iU)\bAccording\s+to[.,]\s+the\b", "According to the")).otherwise(s)
+        s = strip(F.regexp_replace(s, r"(?U)\s*\|+$", ""))
+        s = strip(F.regexp_replace(s, r"(?U)^[|\\/\-–—_]+\s*", ""))
+        return F.when(has(c, "FREDERICK"), F.regexp_replace(s, r"(?iU)\bFREDERICK,\s*MD\b", "FREDERICK, MD")).otherwise(s)
+
+    def second(s: Column) -> Column:
+        words = F.regexp_replace(s, r"(?iU)^\(?[3I|l]\)\s+According\b", "(1) According")
+        words = F.regexp_replace(words, r"(?iU)\bbevorages\b", "beverages")
+        words = F.regexp_replace(words, r"(?iU)\bmachinery\.\s+and\b", "machinery, and")
+        rest = F.when(has(s, "According|bevorages|machinery"), words).otherwise(s)
+        rest = strip(F.regexp_replace(F.regexp_replace(rest, r"(?U)\s+([,.;:])", "$1"), "[,.;]+$", ""))
+        return F.when(s.rlike(r"(?iU)^GOVERNMENT\s+WARNING:?$"), "GOVERNMENT WARNING:").otherwise(rest)
+
+    return let(let(s, first), second)
 
 
 def upper_letters(c: Column) -> Column:
@@ -70,19 +71,17 @@ def monotone(letters: Column) -> Column:
 
 def line_figures(c: Column) -> Column:
     """What the filter looks at in a trimmed line, worked out once: length, capital letters, letters and digits,
-    signs, whether it has a digit and useful figures, the words that can be read, whether it is a mark."""
+    whether it has a digit and useful figures."""
     letters = upper_letters(c)
-    words = F.filter(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]{2,}"), F.lit(0)), F.upper), lambda w: (F.length(w) >= WORD) & w.rlike("[AEIOU]") & ~monotone(w))
-    mark = F.length(letters).between(*MARK) & (F.upper(c) == c) & c.rlike("^[A-Z0-9 .,%/:-]+$")
-    return F.struct(
-        F.length(c).alias("n"), letters.alias("letters"), F.length(letters).alias("n_letters"), F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")).alias("solid"),
-        F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", "")).alias("signs"), c.rlike(r"\p{Nd}").alias("digit"), useful_figures(c).alias("useful"), words.alias("words"), mark.alias("mark"),
-    )
+    solid = F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    return F.struct(F.length(c).alias("n"), letters.alias("letters"), F.length(letters).alias("n_letters"), solid.alias("solid"), c.rlike(r"\p{Nd}").alias("digit"), useful_figures(c).alias("useful"))
 
 
-def readable(f: Column) -> Column:
-    """A mark in capitals, two words, or one of some length."""
-    return f["mark"] | (F.size(f["words"]) >= 2) | ((F.size(f["words"]) == 1) & (F.length(F.get(f["words"], F.lit(0))) >= SUFFICES))
+def readable(c: Column, f: Column) -> Column:
+    """A mark in capitals, two words that can be read, or one of some length."""
+    mark = f["n_letters"].between(*MARK) & (F.upper(c) == c) & c.rlike("^[A-Z0-9 .,%/:-]+$")
+    words = F.filter(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]{2,}"), F.lit(0)), F.upper), lambda w: (F.length(w) >= WORD) & w.rlike("[AEIOU]") & ~monotone(w))
+    return mark | let(words, lambda w: (F.size(w) >= 2) | ((F.size(w) == 1) & (F.length(F.get(w, F.lit(0))) >= SUFFICES)))
 
 
 def garbage(c: Column) -> Column:
@@ -93,9 +92,9 @@ def garbage(c: Column) -> Column:
     def judge(f: Column) -> Column:
         bare = lambda most: (f["n_letters"] <= most) & ~f["digit"]
         barren = bare(1) | (f["solid"] == 0) | ((f["n"] > LONG) & (f["solid"] / f["n"] < SOLID))
-        signs = (f["n"] >= LONG) & (f["signs"] / f["n"] >= SIGNS)
+        signs = (f["n"] >= LONG) & (f["solid"] < f["n"]) & (F.length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", "")) / f["n"] >= SIGNS)
         dull = (f["n_letters"] >= LONG) & monotone(f["letters"])
-        return (f["n"] == 0) | f["letters"].isin(CAPTIONS) | barren | (~f["useful"] & (bare(2) | signs | dull | ~readable(f)))
+        return (f["n"] == 0) | f["letters"].isin(CAPTIONS) | barren | (~f["useful"] & (bare(2) | signs | dull | ~readable(c, f)))
 
     return let(line_figures(c), judge)
 
