@@ -259,8 +259,8 @@ def loaded_sql() -> str:
     return f"{records_cte()} select record_id, source_file, record_no, {', '.join(f'nullif({at(n)}, {q('')}) as {n}' for n in texts)}, coalesce(lower({at('warning_required')}) not in {false}, true) as warning_required from f where reason is null"
 
 
-def units_sql() -> str:
-    """Amounts by unit words and, for bare numbers, by the source's note."""
+def units_sql(everything: bool = False) -> str:
+    """Amounts by unit words and, for bare numbers, by the source's note: those in other units, or all."""
     comma = "case when regexp_matches(x, '^[1-9][0-9]{0,2},[0-9]{3}$') then replace(x, ',', '') else replace(x, ',', '.') end"
     words = {"twenty": 20, "sixty": 60, "eighty": 80, "eighty-six": 86, "ninety": 90, "one hundred": 100}
     word = "case " + " ".join(f"when v like '{w} proof' then {n}" for w, n in words.items()) + " end"
@@ -273,13 +273,26 @@ def units_sql() -> str:
       when not regexp_matches(v, '[^0-9.,\s]') then (case when regexp_matches({size_note}, 'centilit|\bcl\b') then 'cl' when regexp_matches({size_note}, 'millilit') then 'ml' when regexp_matches({size_note}, 'fl oz|fluid ounce') then 'oz' when regexp_matches({size_note}, 'litre') then 'l' end) end"""
     half = f"coalesce(case when regexp_matches(v, '^half') then 0.5::decimal(18,6) when regexp_matches(v, '^one ') then 1 end, {number_in})"
     plus = r"coalesce(try_cast(nullif(regexp_extract(v, 'pint ([0-9.]+) fl oz', 1), '') as decimal(18,6)), 0)"
-    return f"""
+    ctes = f"""
     with s as (select source_id, lower(min(note)) as note from application_source group by source_id),
-    r as (select a.row_id, lower(a.alcohol_content) as a, lower(a.net_contents) as n, s.note from sample_application a left join s on a.source_id = s.source_id),
+    r as (select a.row_id, lower(a.alcohol_content) as a, lower(a.net_contents) as n, a.source_id, a.alcohol_content as ta, a.net_contents as tn, s.note from sample_application a left join s on a.source_id = s.source_id),
     x as (select row_id, a as v, {unit_a.replace('(v,', '(a,')} as unit from r),
     al as (select row_id, v, unit, coalesce({word}, {number_in}) as num from x where unit is not null),
     y as (select row_id, n as v, {unit_n.replace('(v,', '(n,')} as unit from r),
     ne as (select row_id, v, unit, {half} as num, {plus} as more from y where unit is not null)
+    """
+    if everything:
+        before = lambda unit: f"(select try_cast({comma} as decimal(18,6)) from (select nullif(regexp_extract(v, '([0-9][0-9.,]*[0-9]|[0-9])\\s*(?:{unit})', 1), '') as x))"
+        mille = "case when v like '%ml%' then 'ml/l' else 'per mille' end"
+        return ctes + f"""
+        , aa as (select r.row_id, source_id, ta, unit, coalesce(case when unit = 'percent' then {before('%|percent|per cent')} end, {word}, {number_in}) as num, r.a as v from r join x using (row_id)),
+        nn as (select r.row_id, source_id, tn, unit, coalesce(case when unit = 'ml' then {before('ml|millilit')} end, {half}) as num, {plus} as more, r.n as v from r join y using (row_id))
+        select row_id, source_id, 'alcohol_content' as field, ta as text, cast(round(num * case unit when 'percent' then 100 when 'proof' then 50 when 'mille' then 10 when 'one' then 10000 end, 0) as bigint) as amount,
+          case when num is null or unit is null then '' when unit = 'mille' then {mille} when unit = 'one' then 'fraction' else unit end as unit, coalesce(unit = 'percent' and num is not null, false) as own from aa
+        union all
+        select row_id, source_id, 'net_contents', tn, cast(round(num * case unit when 'ml' then 1 when 'cl' then 10 when 'dl' then 100 when 'l' then 1000 when 'oz' then 29.5735 when 'pint' then 473.176 when 'quart' then 946.353 when 'gallon' then 3785.41 end + more * 29.5735, 0) as bigint),
+          case when num is null or unit is null then '' when unit = 'oz' then 'fl oz' when unit = 'pint' and more > 0 then 'pint+fl oz' else unit end, coalesce(unit = 'ml' and num is not null, false) from nn"""
+    return ctes + f"""
     select row_id, 'alcohol_content' as field, cast(round(num * case unit when 'proof' then 50 when 'mille' then 10 when 'one' then 10000 end, 0) as bigint) as amount from al where unit <> 'percent' and num is not null
     union all
     select row_id, 'net_contents', cast(round(num * case unit when 'cl' then 10 when 'dl' then 100 when 'l' then 1000 when 'oz' then 29.5735 when 'pint' then 473.176 when 'quart' then 946.353 when 'gallon' then 3785.41 end + more * 29.5735, 0) as bigint) from ne where unit <> 'ml' and num is not null"""
@@ -299,6 +312,15 @@ def text_applications_sql() -> str:
     from r"""
 
 
+def region_table_sql() -> str:
+    front, back, label = "Front / Brand Label OCR", "Back Label OCR", "Label OCR"
+    side = [(front, (0.03, 0.04, 0.49, 0.27), 6), (front, (0.06, 0.22, 0.48, 0.51), 6), (front, (0.03, 0.58, 0.50, 0.90), 6), (back, (0.55, 0.04, 0.98, 0.31), 6), (back, (0.55, 0.22, 0.98, 0.44), 6), (back, (0.55, 0.34, 0.98, 0.86), 6), ("", (0.02, 0.58, 0.50, 0.90), 6), ("", (0.08, 0.66, 0.48, 0.91), 11)]
+    general = [(label, (0, 0, 1, 1), 4), (label, (0, 0, 1, 1), 11), (label, (0, 0, 1, 0.28), 6), (label, (0, 0.12, 1, 0.45), 6), (label, (0, 0.30, 1, 0.96), 6), ("", (0, 0.50, 1, 1), 6), ("", (0, 0.50, 1, 1), 11)]
+    rows = [(i, "side_by_side" if i < 8 else "general", *r) for i, r in enumerate(side + general)]
+    one = lambda i, strategy, title, box, psm: f"({i}, {q(strategy)}, {q(title)}, {', '.join(f'{x}::double' for x in box)}, {psm}, {i in (5, 7, 13, 14)}, {i in (7, 14)})"
+    return f"select region_ord, strategy, case when title = '' then 'candidate' else 'visible' end as kind, title, l, t, r, b, psm, threshold, \"numeric\" from (values {', '.join(one(*r) for r in rows)}) x(region_ord, strategy, title, l, t, r, b, psm, threshold, \"numeric\")"
+
+
 def joined_cte() -> str:
     """`j`: applications with the last text of their file name and the outcome of the join."""
     last = "row_number() over (partition by file_name order by processed_at desc nulls last, row_id desc)"
@@ -350,4 +372,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_rejects": f"{records_cte()} select record_id, source_file, record_no, reason, raw_record as corrupt_text from f where reason is not null",
         "p3_loaded": loaded_sql(),
         "p5_found": units_sql(),
+        "p5_amounts": units_sql(True),
+        "region_table": region_table_sql(),
     }
