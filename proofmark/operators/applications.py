@@ -30,6 +30,7 @@ ALIASES = {
     "name_address": ["name address", "name and address", "name and address of applicant", "applicant name and address", "applicant address", "bottler address", "producer address", "importer address", "item 8", "item 8 name and address", "8 name and address"],
     "country_of_origin": ["country of origin", "origin country", "import country", "country"],
 }
+# Labels, words and messages, on which the results depend.
 LABELS = {"brand_name": "Brand Name", "class_type": "Class/Type", "alcohol_content": "Alcohol Content", "net_contents": "Net Contents", "product_type": "Product Type", "fanciful_name": "Fanciful Name", "name_address": "Name / Address", "country_of_origin": "Country of Origin"}
 METADATA = ["product_type", "fanciful_name", "name_address", "country_of_origin"]
 TRUE, FALSE = ["true", "t", "yes", "y", "1", "required", "checked"], ["false", "f", "no", "n", "0", "not required", "unchecked"]

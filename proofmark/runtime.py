@@ -71,6 +71,12 @@ def _removed(sc: object, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Free what finished jobs left on the driver: broadcast tables and shuffle records are given up only
+    when the driver's garbage is collected, which a loop of many small jobs may outrun."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     """Tasks for work that is heavy beside its bytes: two for each core, the shuffle setting at least."""
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
