@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from proofmark.llm.address_parts import parse
 from proofmark.llm.canonical import abbreviates, deletions, distance
-from proofmark.runtime import checkpointed, tasks
+from proofmark.runtime import checkpointed, release, tasks
 
 PARTS = ["number", "direction", "street", "kind", "town", "state", "zip"]
 #: Street names known to the reader: at least this share of all records, so 1 / share at most.
@@ -96,7 +96,12 @@ def _spellings(parts: DataFrame) -> DataFrame:
     return parts.select(F.explode_outer(both).alias("x")).select("x.*").where(F.col("v").isNotNull())
 
 
-def mine(parts: DataFrame) -> DataFrame:
+def spelling_totals(parts: DataFrame) -> dict[str, float]:
+    """How many records tell a street, and a town; rewriting doesn't change it."""
+    return parts.agg(F.count("street").cast("double").alias("street"), F.count("town").cast("double").alias("town")).first().asDict()
+
+
+def mine(parts: DataFrame, totals: dict[str, float]) -> DataFrame:
     """(part, old, new): rewrites of streets and towns from records that agree elsewhere, that is on
     one of the keys below, and differ in the part.
 
@@ -122,9 +127,8 @@ def mine(parts: DataFrame) -> DataFrame:
     # Of the places of a spelling only those count where a commoner one stands beside it.
     places = seen.where(F.col("v") != F.col("top.v")).groupBy("part", F.col("v").alias("old")).agg(F.sum("in_key").alias("n_places"))
     found = found.join(places, ["part", "old"])
-    n = parts.agg(F.count("street").cast("double").alias("street"), F.count("town").cast("double").alias("town")).first()
     d = lambda c: F.col(c).cast("double")
-    whole = F.when(F.col("part") == "street", n["street"]).otherwise(n["town"])
+    whole = F.when(F.col("part") == "street", totals["street"]).otherwise(totals["town"])
     found = found.where(_rewrite_holds("old", "new", d("n_both"), d("n_places"), d("n_new"), whole))
     return found.groupBy("part", "old").agg(F.max_by("new", F.struct("n_both", "n_new", "new")).alias("new"))
 
@@ -222,11 +226,12 @@ def rewritten(parts: DataFrame, rewrites: DataFrame) -> DataFrame:
 def normalised_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parts at the fixed point and all rewrites (part, old, new, round)."""
     parts = checkpointed(read_parts(address_records(rows)))
+    totals = spelling_totals(parts)
     log: list[DataFrame] = []
     mined: list[DataFrame] = []
     slips: list[str] | None = None
     for n in count(1):  # ends: a rewrite leads to a commoner spelling, so each round leaves fewer
-        new = checkpointed(mine(parts).withColumn("round", F.lit(n)))
+        new = checkpointed(mine(parts, totals).withColumn("round", F.lit(n)))
         if not new.isEmpty():
             mined.append(new)
         else:
@@ -236,6 +241,7 @@ def normalised_parts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 break
         log.append(new)
         parts = checkpointed(rewritten(parts, new))
+        release(parts.sparkSession)
     empty = parts.sparkSession.createDataFrame([], "part string, old string, new string, round int")
     return parts, reduce(DataFrame.unionByName, log, empty)
 

@@ -97,7 +97,7 @@ def test_rounds_go_on_until_nothing_is_new(spark, monkeypatch):
     words = [f"W{k}" for k in range(14)]
     found = iter([*zip(words, words[1:]), None])
 
-    def mined(parts):
+    def mined(parts, totals):
         x = next(found)
         return spark.createDataFrame([("town", *x)] if x else [], "part string, old string, new string")
 
